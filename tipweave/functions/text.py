@@ -22,6 +22,14 @@ EMOJI = (
 EDIT_MARKERS = ("<This message was edited>", "<הודעה זו נערכה>", "<הודעה נערכה>")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it.
+
+    Expressions inside lambdas and conditional branches are not shared by the optimizer.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def strip(c: Column) -> Column:
     """Both ends, any white space (the built-in trim takes plain spaces only)."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import contains_all, contains_any
-from tipweave.functions.text import blank, fold_spaces, non_blank, only_emoji, strip
+from tipweave.functions.text import blank, fold_spaces, let, non_blank, only_emoji, strip
 from tipweave.operators.dictionary import Rule, first_label, voted_label
 from tipweave.runtime import rows_if_small
 
 # How much of a folded note or of the context counts.
 NOTE_HEAD = 420
 SUBLABEL_NOTE = 600
-_RULES_PER_STEP = 15
 
 
 def from_text(text: Column, rules: Sequence[Rule]) -> Column:
@@ -69,12 +67,18 @@ class Guard:
 
 
 def guarded(label: Column, name: Column, note: Column, guards: Sequence[Guard]) -> Column:
-    out = label
-    for g in guards:
-        n = fold_spaces(note) if g.head is None else F.substring(fold_spaces(note), 1, g.head)
-        seen = contains_any(F.concat_ws(" ", fold_spaces(name), n), g.markers, casefold=True)
-        out = F.when((out == g.label) & ~seen, "").otherwise(out)
-    return out
+    n, whole = fold_spaces(name), fold_spaces(note)
+
+    def seen(g: Guard) -> Column:
+        text = whole if g.head is None else F.substring(whole, 1, g.head)
+        return contains_any(F.concat_ws(" ", n, text), g.markers, casefold=True)
+
+    return let(
+        label,
+        lambda x: F.coalesce(
+            *[F.when((x == g.label) & ~seen(g), F.lit("")) for g in guards], x
+        ),
+    )
 
 
 # --- sub-labels -------------------------------------------------------------------------------
@@ -184,19 +188,25 @@ def drop_emoji_only(category: Column) -> Column:
     return F.when(only_emoji(category), "").otherwise(category)
 
 
+# Marks the start and the end of a scope text, so that phrases can ask for them.
+START, END = "\u0002", "\u0003"
+
+
 @dataclass(frozen=True)
 class NormRule:
     """Set the category to ``target`` where a phrase of ``include`` is in a scope column.
 
-    ``patterns`` are regexes for whole words, prefixes and suffixes; ``unless_name_says`` skips
-    rows whose name alone gives another category.
+    A phrase may begin with ``START`` or end with ``END``. ``unless`` maps a phrase to a longer
+    word it must not be part of. ``exclude`` is looked for in name and category together, or in
+    the category alone if that is the whole scope. ``unless_name_says`` skips rows whose name
+    alone gives another category.
     """
 
     target: str
     scope: Sequence[str] = ("name", "field")
     include: Sequence[str] = ()
     exclude: Sequence[str] = ()
-    patterns: Sequence[str] = ()
+    unless: Sequence[tuple[str, str]] = ()
     unless_name_says: bool = False
 
 
@@ -205,35 +215,60 @@ def normalise(
 ) -> DataFrame:
     """Apply the rules in order; each sees the category the earlier ones left.
 
-    One projection per ``_RULES_PER_STEP`` rules keeps the generated methods small.
+    The rules are one constant array folded over the category, so the expression stays the same
+    size however many rules there are.
     """
-    out = entries
-    needs_name = any(r.unless_name_says for r in rules)
-    if needs_name:
-        out = out.withColumn("_by_name", from_text(F.col("name"), name_rules))
-    for start in range(0, len(rules), _RULES_PER_STEP):
-        step = rules[start : start + _RULES_PER_STEP]
-        out = out.withColumn("field", reduce(_apply_rule, step, blank(F.col("field"))))
-    return out.drop("_by_name") if needs_name else out
-
-
-def _apply_rule(current: Column, r: NormRule) -> Column:
-    columns = {"name": blank(F.col("name")), "field": current}
-    if "note" in r.scope:
-        columns["note"] = blank(F.col("note"))
-    hit = F.lit(False)
-    for s in r.scope:
-        text = strip(columns[s])
-        if r.include:
-            hit = hit | contains_any(text, r.include)
-        for p in r.patterns:
-            hit = hit | text.rlike(p)
-    if r.exclude:
-        checked = current if tuple(r.scope) == ("field",) else F.concat_ws(" ", columns["name"], current)
-        hit = hit & ~contains_any(checked, r.exclude)
-    if r.unless_name_says:
-        hit = hit & F.col("_by_name").isin("", r.target)
-    return F.when(hit, F.lit(r.target)).otherwise(current)
+    if not rules:
+        return entries
+    texts = F.struct(
+        strip(blank(F.col("name"))).alias("name"),
+        (strip(blank(F.col("note"))) if any("note" in r.scope for r in rules) else F.lit("")).alias(
+            "note"
+        ),
+        (
+            from_text(F.col("name"), name_rules)
+            if any(r.unless_name_says for r in rules)
+            else F.lit("")
+        ).alias("by_name"),
+    )
+    table = F.array(*[_rule_struct(r) for r in rules])
+    out = let(
+        texts, lambda t: F.aggregate(table, blank(F.col("field")), lambda f, r: _apply_rule(f, t, r))
+    )
+    return entries.withColumn("field", out)
+
+
+def _rule_struct(r: NormRule) -> Column:
+    words = [(w, "") for w in r.include] + list(r.unless)
+    return F.struct(
+        F.lit(r.target).alias("target"),
+        *[F.lit(s in r.scope).alias(s) for s in ("name", "field", "note")],
+        F.arrays_zip(
+            F.lit([w for w, _ in words]).alias("word"), F.lit([u for _, u in words]).alias("unless")
+        ).alias("include"),
+        F.lit(list(r.exclude) or [""]).alias("exclude"),
+        F.lit(r.unless_name_says).alias("by_name"),
+    )
+
+
+def _apply_rule(current: Column, texts: Column, r: Column) -> Column:
+    def has(text: Column) -> Column:
+        framed = F.concat(F.lit(START), text, F.lit(END))
+        return F.exists(
+            r["include"],
+            lambda i: F.contains(framed, i["word"])
+            & ((i["unless"] == "") | ~F.contains(text, i["unless"])),
+        )
+
+    hit = (
+        (r["field"] & has(strip(current)))
+        | (r["name"] & has(texts["name"]))
+        | (r["note"] & has(texts["note"]))
+    )
+    checked = F.when(r["name"], F.concat_ws(" ", texts["name"], current)).otherwise(current)
+    barred = F.exists(r["exclude"], lambda w: (w != "") & F.contains(checked, w))
+    fits = ~r["by_name"] | texts["by_name"].isin("") | (texts["by_name"] == r["target"])
+    return F.when(hit & ~barred & fits, r["target"]).otherwise(current)
 
 
 def fill_empty(entries: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -258,14 +293,13 @@ def shadowed_rules(rules: DataFrame) -> DataFrame:
     later = rules.filter("guard IS NULL" if "guard" in rules.columns else "true").select(
         "priority", "keyword", "label"
     )
-    letters = F.split(F.col("keyword"), "")
+    size = F.length("keyword")
     parts = F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.size(letters)),
+                F.sequence(F.lit(1), size),
                 lambda i: F.transform(
-                    F.sequence(F.lit(1), F.size(letters) - i + 1),
-                    lambda n: F.array_join(F.slice(letters, i, n), ""),
+                    F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("keyword", i, n)
                 ),
             )
         )

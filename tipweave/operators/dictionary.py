@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import any_true, contains_any
-from tipweave.functions.text import blank, occurrences
+from tipweave.functions.text import blank, let, occurrences
 from tipweave.runtime import rows_if_small
 
 MAX_INLINE_RULES = 5_000
@@ -119,30 +119,27 @@ def voted_label(text: Column, rules: Sequence[Rule], max_chars: int | None = Non
     if not rules:
         return F.lit("")
     t = blank(text) if max_chars is None else F.substring(blank(text), 1, max_chars)
-    hits = _hits(t, rules, True)
-    labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))
 
-    def tally(label: Column) -> Column:
-        own = F.filter(hits, lambda h: h["label"] == label)
-        total = F.aggregate(own, F.lit(0).cast("long"), lambda acc, h: acc + h["n"])
-        earliest = F.array_min(F.transform(own, lambda h: h["priority"]))
-        return F.struct(total.alias("n"), (-earliest).alias("rank"), label.alias("label"))
+    def winner(hits: Column) -> Column:
+        def tally(label: Column) -> Column:
+            own = F.filter(hits, lambda h: h["label"] == label)
+            total = F.aggregate(own, F.lit(0).cast("long"), lambda acc, h: acc + h["n"])
+            earliest = F.array_min(F.transform(own, lambda h: h["priority"]))
+            return F.struct(total.alias("n"), (-earliest).alias("rank"), label.alias("label"))
 
-    winner = F.array_max(F.transform(labels, tally))["label"]
-    return F.coalesce(F.when(_anything(t, rules, True), winner), F.lit(""))
+        labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))
+        return F.array_max(F.transform(labels, tally))["label"]
 
+    found = let(_hits(t, rules, True), winner)
+    return F.coalesce(F.when(_anything(t, rules, True), found), F.lit(""))
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    letters = F.split(text, "")
 
-    def of(size: int) -> Column:
-        last = F.size(letters) - size
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.lit([]).cast("array<int>"))
-        return F.transform(
-            starts, lambda i: F.array_join(F.slice(letters, i + 1, F.lit(size)), "")
-        )
-
-    return F.array_distinct(F.concat(*[of(s) for s in sizes]))
+def grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of letters of the given sizes, read in one pass per size."""
+    runs = [
+        F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes
+    ]
+    return F.array_distinct(F.concat(*runs) if len(runs) > 1 else runs[0])
 
 
 def match_by_grams(
@@ -161,7 +158,7 @@ def match_by_grams(
         "_gram",
         F.explode(
             F.when(F.length("keyword") < gram, F.array("keyword")).otherwise(
-                _grams(F.col("keyword"), [gram])
+                grams(F.col("keyword"), [gram])
             )
         ),
     )
@@ -172,7 +169,7 @@ def match_by_grams(
         .agg(F.min_by("_gram", F.struct("_sharing", "_gram")).alias("_gram"))
     )
     spread = texts.select(
-        row_id, F.explode(_grams(F.col(text), range(1, gram + 1))).alias("_gram")
+        row_id, F.explode(grams(F.col(text), range(1, gram + 1))).alias("_gram")
     )
     candidates = spread.join(anchors, "_gram").drop("_gram")
     return (

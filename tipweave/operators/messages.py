@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import any_true, contains_all, contains_any
-from tipweave.functions.text import fold_spaces
+from tipweave.functions.text import fold_spaces, let
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,10 @@ def reject_reason(body: Column, r: MessageRules) -> Column:
         "opening": asks_opening,
         "question": ends_as_question,
     }
-    return F.coalesce(*[F.when(check(body, r), F.lit(name)) for name, check in checks.items()])
+    return let(
+        body,
+        lambda b: F.coalesce(*[F.when(check(b, r), F.lit(name)) for name, check in checks.items()]),
+    )
 
 
 def loose_context(body: Column, r: MessageRules, permissive: bool = False) -> Column:

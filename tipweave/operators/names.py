@@ -15,6 +15,7 @@ from tipweave.functions.text import (
     drop_edit_markers,
     emoji_count,
     fold_spaces,
+    let,
     strip,
     strip_chars,
     words,
@@ -87,9 +88,14 @@ def is_chat_junk(c: Column, r: NameRules) -> Column:
 
 def reject_rule(name: Column, r: NameRules) -> Column:
     """First rule that rejects the name, null for a plausible one."""
-    s = strip_outer(name)
+    return let(
+        strip_outer(name),
+        lambda s: let(words(s), lambda parts: _first_failed(s, parts, r)),
+    )
+
+
+def _first_failed(s: Column, parts: Column, r: NameRules) -> Column:
     curated = F.contains(s, F.lit(" — ")) | F.contains(s, F.lit(" / "))
-    parts = words(s)
     first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     n_words = F.size(parts)
     longest = F.when(curated, LONGEST_CURATED).otherwise(LONGEST)
@@ -185,9 +191,11 @@ def clean_name(raw: Column, r: NameRules, scrub: tuple[str, str] | None = None)
     for pattern, new in r.clean_patterns:
         t = strip(F.regexp_replace(t, pattern, new))
     if scrub:
-        t = scrub_foreign_letters(t, *scrub)
-    t = F.substring(t, 1, CLEAN_LENGTH)
-    return F.when(lengths & ~bad & is_plausible(t, r), t)
+        t = let(t, lambda v: scrub_foreign_letters(v, *scrub))
+    tidy = let(
+        F.substring(t, 1, CLEAN_LENGTH), lambda v: F.when(is_plausible(v, r), v)
+    )
+    return F.when(lengths & ~bad, tidy)
 
 
 def is_generic_label(name: Column, r: NameRules) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tipweave.operators.dictionary import grams
+
 SEPARATOR = " | "
 MAX_NOTES_PER_ROW = 512
 PART_WIDTH = 4096
@@ -78,36 +80,21 @@ def _keep_new(base: str, notes: str) -> Column:
     return F.aggregate(notes, start, step, lambda acc: acc["kept"])
 
 
-def _runs(text: Column, size: int) -> Column:
-    letters = F.split(text, "")
-    return F.when(
-        F.size(letters) >= size,
-        F.transform(
-            F.sequence(F.lit(1), F.size(letters) - size + 1),
-            lambda i: F.array_join(F.slice(letters, i, F.lit(size)), ""),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFrame:
     """Drop each note that an earlier, longer note of the same key contains."""
     lengths = (*_SHORT_GRAMS, _LONG_GRAM)
     runs = notes.select(
         key,
         order,
-        F.explode(F.array_distinct(F.concat(*[_runs(F.col(note), n) for n in lengths]))).alias("_run"),
+        F.explode(grams(F.col(note), lengths)).alias("_run"),
     )
-    size = F.length(note)
+    size, middle = F.length(note), max(_SHORT_GRAMS)
     own = (
-        F.when(size >= _LONG_GRAM, _LONG_GRAM)
-        .when(size >= max(_SHORT_GRAMS), max(_SHORT_GRAMS))
-        .otherwise(size)
-    )
-    offered = notes.select(key, order, F.explode(F.array_distinct(
-        F.when(own == _LONG_GRAM, _runs(F.col(note), _LONG_GRAM))
-        .when(own == max(_SHORT_GRAMS), _runs(F.col(note), max(_SHORT_GRAMS)))
+        F.when(size >= _LONG_GRAM, grams(F.col(note), [_LONG_GRAM]))
+        .when(size >= middle, grams(F.col(note), [middle]))
         .otherwise(F.array(note))
-    )).alias("_run"))
+    )
+    offered = notes.select(key, order, F.explode(own).alias("_run"))
     common = runs.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
         offered.join(common, [key, "_run"])

@@ -15,6 +15,7 @@ from tipweave.functions.text import (
     blank,
     cap,
     fold_spaces,
+    let,
     non_blank,
     strip,
     strip_trailing_note,
@@ -49,6 +50,10 @@ class NamePattern:
     needs: Sequence[str] = ()
 
 
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,stop:int,name:string>>")
+
+
 def _spans(text: Column, p: NamePattern) -> Column:
     """Matches as (start, stop, name), found left to right."""
     whole = F.regexp_extract_all(text, F.lit(f"({p.regex})"), F.lit(1))
@@ -56,7 +61,7 @@ def _spans(text: Column, p: NamePattern) -> Column:
     pairs = F.arrays_zip(whole.alias("whole"), names.alias("name"))
     start = F.struct(
         F.lit(1).alias("at"),
-        F.array().cast("array<struct<start:int,stop:int,name:string>>").alias("out"),
+        _no_spans().alias("out"),
     )
 
     def step(acc: Column, m: Column) -> Column:
@@ -85,34 +90,59 @@ def _good(p: NamePattern) -> Callable[[Column], Column]:
 
 def extract_names(body: Column, patterns: Sequence[NamePattern], r: NameRules) -> Column:
     """Names in a message in pattern order, first spelling of each kept."""
-    none = F.array().cast("array<struct<start:int,stop:int,name:string>>")
-    leads, found = none, []
-    for p in patterns:
-        spans = F.when(body.rlike(p.regex), F.filter(_spans(body, p), _good(p))).otherwise(none)
-        if p.lead:
-            spans = F.filter(spans, lambda m: ~is_junk_capture(m["name"], r))
-            leads = F.concat(leads, spans)
-        elif not p.always and any(q.lead for q in patterns):
-            hidden = leads
-            spans = F.filter(
-                spans,
-                lambda m: ~F.exists(
-                    hidden, lambda h: (m["start"] >= h["start"]) & (m["start"] < h["stop"])
-                ),
-            )
-        found.append(F.transform(spans, lambda m: fold_spaces(m["name"]) if p.lead else m["name"]))
-    kept = F.filter(F.concat(*found), lambda n: ~is_junk_capture(n, r))
-    return first_spellings(kept)
+    with_leads = any(p.lead for p in patterns)
+
+    def spans(p: NamePattern) -> Column:
+        if with_leads:
+            return F.when(body.rlike(p.regex), _spans(body, p)).otherwise(_no_spans())
+        names = F.regexp_extract_all(body, F.lit(p.regex), F.lit(p.group))
+        return F.transform(names, lambda n: F.struct(strip(n).alias("name")))
+
+    def names(leads: Column | None) -> Column:
+        found = []
+        for p in patterns:
+            if p.lead:
+                found.append(F.transform(leads, lambda m: fold_spaces(m["name"])))
+                continue
+            own = F.filter(spans(p), _good(p))
+            if leads is not None and not p.always:
+                own = F.filter(
+                    own,
+                    lambda m: ~F.exists(
+                        leads, lambda h: (m["start"] >= h["start"]) & (m["start"] < h["stop"])
+                    ),
+                )
+            found.append(F.transform(own, lambda m: m["name"]))
+        everything = F.concat(*found) if len(found) > 1 else found[0]
+        return first_spellings(F.filter(everything, lambda n: ~is_junk_capture(n, r)))
+
+    if not with_leads:
+        return names(None)
+    (lead,) = [p for p in patterns if p.lead]
+    accepted = F.filter(
+        F.filter(spans(lead), _good(lead)), lambda m: ~is_junk_capture(m["name"], r)
+    )
+    return let(accepted, names)
 
 
 def first_spellings(names: Column) -> Column:
     """Distinct names in order; names that differ in case only count as one."""
-    keys = F.transform(names, lambda n: strip(F.lower(n)))
-    return F.filter(
-        names,
-        lambda n, i: F.array_position(keys, strip(F.lower(n))) == i + 1,
+    keyed = F.transform(
+        names, lambda n, i: F.struct(strip(F.lower(n)).alias("key"), i.alias("i"), n.alias("name"))
     )
 
+    def firsts(rows: Column) -> Column:
+        keys = F.transform(rows, lambda r: r["key"])
+        return let(
+            keys,
+            lambda ks: F.transform(
+                F.filter(rows, lambda r: F.array_position(ks, r["key"]) == r["i"] + 1),
+                lambda r: r["name"],
+            ),
+        )
+
+    return let(keyed, firsts)
+
 
 @dataclass(frozen=True)
 class PlaceRules:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tipweave.operators.overlay import merge_overlay, public_entries, public_venues
 from tipweave.operators.votes import with_votes
@@ -13,9 +12,7 @@ def served_contacts(
     base: DataFrame, added: DataFrame, changes: DataFrame, votes: DataFrame
 ) -> DataFrame:
     merged = merge_overlay(base, added, changes)
-    return public_entries(with_votes(merged, votes, "entry", "item_key")).withColumn(
-        "_order", F.struct("src_rank", "seq")
-    ).drop("src_rank", "seq").withColumnRenamed("_order", "order")
+    return public_entries(with_votes(merged, votes, "entry", "item_key"))
 
 
 def served_venues(venues: DataFrame, votes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ NO_NAME = "איש קשר"
 def escape(c: Column) -> Column:
     c = blank(c)
     for written, escaped in (
-        ("\\", "\\\\"), ("\r\n", "\n"), ("\r", "\n"), ("\n", "\\n"), (";", "\;"), (",", "\\,"),
+        ("\\", "\\\\"), ("\r\n", "\n"), ("\r", "\n"), ("\n", "\\n"), (";", "\\;"), (",", "\\,"),
     ):
         c = F.replace(c, F.lit(written), F.lit(escaped))
     return c
@@ -28,7 +28,7 @@ def card_text(name: Column, phones: Column, field: Column, extra: Column) -> Col
         F.filter(F.transform(phones, lambda p: strip(blank(p))), lambda p: p != ""), 1, MOST_PHONES
     )
     numbers = F.filter(F.transform(listed, international), lambda p: p != "")
-    mobiles = F.transform(numbers, is_mobile)
+    mobiles = F.transform(numbers, lambda p: is_mobile(p))
     preferred = F.array_position(mobiles, F.lit(True))
     lines = F.transform(
         numbers,
