@@ -16,7 +16,7 @@ ENTRY_NAME = """
        ELSE p_name || ' new of ' || p_type || ' make' END
 """
 ENTRY_PHONE = """
-  CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size < 30 THEN '050' || lpad(CAST(p_partkey AS VARCHAR), 7, '0')
+  CASE WHEN p_type = 'PROMO' AND p_size < 20 THEN '' WHEN p_size < 30 THEN '050' || lpad(CAST(p_partkey AS VARCHAR), 7, '0')
        ELSE '03' || lpad(CAST(p_size AS VARCHAR), 7, '0') END
 """
 ENTRY_NOTE = "CASE WHEN p_size < 25 THEN p_type ELSE p_brand || ' ' || p_type END"

@@ -52,11 +52,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType, renamed: dict[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    renamed: dict[str, str] | None = None,
+    one_per_line: bool = False,
 ) -> DataFrame:
-    """Records of a JSON catalogue, one array per file or one record per line.
+    """Records of a JSON catalogue: one array per file, or one record per line.
 
-    A missing path is an empty catalogue and records that are no objects are dropped. ``renamed``
+    An array file is read by one task; files of one record per line are split. A missing path is an empty catalogue and records that are no objects are dropped. ``renamed``
     maps names in the file to names in the schema.
     """
     if not path_exists(spark, path):
@@ -67,7 +71,7 @@ def read_json(
         + [T.StructField("_corrupt_record", T.StringType())]
     )
     raw = (
-        spark.read.schema(stored).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        spark.read.schema(stored).option("multiLine", not one_per_line).option("mode", "PERMISSIVE").json(path)
     )
     rows = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     for old, new in (renamed or {}).items():
