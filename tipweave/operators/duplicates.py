@@ -154,6 +154,9 @@ def related_names(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataF
 # --- from related names to groups of rows ---------------------------------------------------
 
 
+_HUB = "\u0002"
+
+
 def _node(field: Column, name: Column, phone: Column) -> Column:
     return F.md5(F.concat_ws("\u0001", field, name, phone).cast("binary"))
 
@@ -178,83 +181,82 @@ def _links(nodes: DataFrame, related: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "p", "q")],
         )
 
-    pairs = (
-        related.select("norm_field", F.col("short_name").alias("a_name"), F.col("long_name").alias("b_name"))
+    pairs = durable(
+        related.select(
+            "norm_field",
+            F.col("short_name").alias("a_name"),
+            F.col("long_name").alias("b_name"),
+        )
         .join(side("a"), ["norm_field", "a_name"])
         .join(side("b"), ["norm_field", "b_name"])
     )
-    mirrored = pairs.select(
-        "norm_field",
-        *[F.col(f"b_{c}").alias(f"a_{c}") for c in ("name", "n", "p", "q")],
-        *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("name", "n", "p", "q")],
-    )
-    both = pairs.unionByName(mirrored)
     f = F.col("norm_field")
 
     def row(tag: str, phone: str) -> Column:
-        return _node(f, F.col(f"{tag}_name"), F.col(phone))
+        return _node(f, F.col(f"{tag}_name"), F.col(f"{tag}_{phone}"))
 
     def hub(tag: str) -> Column:
-        return _node(f, F.col(f"{tag}_name"), F.lit("\u0002"))
-
-    # one phone each
-    single = pairs.filter("a_n = 1 AND b_n = 1 AND a_p <> b_p").select(
-        row("a", "a_p").alias("u"), row("b", "b_p").alias("v")
-    )
-    # one phone against two: the two phones are known, link those that differ
-    one_two = both.filter("a_n = 1 AND b_n = 2")
-    two = [
-        one_two.filter(F.col("a_p") != F.col(x)).select(
-            row("a", "a_p").alias("u"), row("b", x).alias("v")
+        return _node(f, F.col(f"{tag}_name"), F.lit(_HUB))
+
+    def edge(condition: str, u: Column, v: Column) -> Column:
+        return F.when(F.expr(condition), F.struct(u.alias("u"), v.alias("v")))
+
+    same_two = "a_n = 2 AND b_n = 2 AND a_p = b_p AND a_q = b_q"
+    whole = f"a_n >= 2 AND b_n >= 2 AND NOT ({same_two})"
+    direct = F.array(
+        edge("a_n = 1 AND b_n = 1 AND a_p <> b_p", row("a", "p"), row("b", "p")),
+        edge("a_n = 1 AND b_n = 2 AND a_p <> b_p", row("a", "p"), row("b", "p")),
+        edge("a_n = 1 AND b_n = 2 AND a_p <> b_q", row("a", "p"), row("b", "q")),
+        edge("b_n = 1 AND a_n = 2 AND b_p <> a_p", row("b", "p"), row("a", "p")),
+        edge("b_n = 1 AND a_n = 2 AND b_p <> a_q", row("b", "p"), row("a", "q")),
+        edge(same_two, row("a", "p"), row("b", "q")),
+        edge(same_two, row("a", "q"), row("b", "p")),
+        edge(whole, hub("a"), hub("b")),
+        edge("a_n = 1 AND b_n >= 3", row("a", "p"), hub("b")),
+        edge("b_n = 1 AND a_n >= 3", row("b", "p"), hub("a")),
+    )
+    edges = pairs.select(F.explode(F.array_compact(direct)).alias("e")).select("e.*")
+
+    def use(condition: str, name: str, phone: Column) -> Column:
+        return F.when(
+            F.expr(condition), F.struct(F.col(name).alias("norm_name"), phone.alias("norm_phone"))
         )
-        for x in ("b_p", "b_q")
-    ]
-    # the same two phones on both sides: crosswise
-    same_two = pairs.filter("a_n = 2 AND b_n = 2 AND a_p = b_p AND a_q = b_q")
-    cross = [
-        same_two.select(row("a", x).alias("u"), row("b", y).alias("v"))
-        for x, y in (("a_p", "b_q"), ("a_q", "b_p"))
-    ]
-    # several phones on both sides with three or more together: everything is connected
-    whole = pairs.filter(
-        "a_n >= 2 AND b_n >= 2 AND NOT (a_n = 2 AND b_n = 2 AND a_p = b_p AND a_q = b_q)"
-    )
-    hubs = [whole.select(hub("a").alias("u"), hub("b").alias("v"))]
-    filled = [whole.select("norm_field", F.col(f"{t}_name").alias("norm_name")) for t in ("a", "b")]
-
-    # one phone against three or more: linked to the name's hub; the hub takes all phones but,
-    # if every partner has one and the same phone of this name, that phone
-    one_many = both.filter("a_n = 1 AND b_n >= 3")
-    owns = nodes.select(
-        "norm_field", F.col("norm_name").alias("b_name"), F.col("norm_phone").alias("a_p")
-    ).withColumn("_owned", F.lit(True))
-    reached = one_many.join(owns, ["norm_field", "b_name", "a_p"], "left")
-    hubs.append(reached.select(row("a", "a_p").alias("u"), hub("b").alias("v")))
-    spared = reached.groupBy("norm_field", F.col("b_name").alias("norm_name")).agg(
-        F.max(F.col("_owned").isNull()).alias("_other"),
-        F.min("a_p").alias("_p"),
-        F.max("a_p").alias("_q"),
-    )
-    full_names = filled[0].union(filled[1]).withColumn("_full", F.lit(True)).distinct()
-    taken = spared.join(full_names, ["norm_field", "norm_name"], "full").select(
+
+    no_phone = F.lit(None).cast("string")
+    uses = pairs.select(
         "norm_field",
-        "norm_name",
-        F.when(
-            F.col("_full").isNull() & ~F.col("_other") & (F.col("_p") == F.col("_q")), F.col("_p")
-        ).alias("_spared"),
+        F.explode(
+            F.array_compact(
+                F.array(
+                    use(whole, "a_name", no_phone),
+                    use(whole, "b_name", no_phone),
+                    use("a_n = 1 AND b_n >= 3", "b_name", F.col("a_p")),
+                    use("b_n = 1 AND a_n >= 3", "a_name", F.col("b_p")),
+                )
+            )
+        ).alias("x"),
+    ).select("norm_field", "x.*").distinct()
+    keys = ["norm_field", "norm_name"]
+    owned = nodes.withColumn("_own", F.lit(True))
+    hubs = (
+        uses.join(owned, [*keys, "norm_phone"], "left")
+        .groupBy(*keys)
+        .agg(
+            F.bool_or(F.col("_own").isNull()).alias("_other"),
+            F.min("norm_phone").alias("_p"),
+            F.max("norm_phone").alias("_q"),
+        )
+        .select(*keys, F.when(~F.col("_other") & (F.col("_p") == F.col("_q")), F.col("_p")).alias("_spared"))
     )
     spokes = (
-        nodes.join(taken, ["norm_field", "norm_name"])
+        nodes.join(hubs, keys)
         .filter(F.col("_spared").isNull() | (F.col("norm_phone") != F.col("_spared")))
         .select(
             _node(f, F.col("norm_name"), F.col("norm_phone")).alias("u"),
-            _node(f, F.col("norm_name"), F.lit("\u0002")).alias("v"),
+            _node(f, F.col("norm_name"), F.lit(_HUB)).alias("v"),
         )
     )
-    out = single
-    for part in (*two, *cross, *hubs, spokes):
-        out = out.union(part)
-    return out
+    return edges.union(spokes)
 
 
 def extended_members(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
@@ -264,12 +266,12 @@ def extended_members(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> Da
         .select("norm_field", "norm_name", "norm_phone")
         .distinct()
     )
-    related = durable(related_names(k, generic))
+    related = related_names(k, generic)
     parts = connected_components(_links(nodes, related))
     placed = nodes.withColumn(
         "node", _node(F.col("norm_field"), F.col("norm_name"), F.col("norm_phone"))
     )
-    return placed.join(parts, "node").drop("node")
+    return durable(placed.join(parts, "node").drop("node"))
 
 
 def extended_groups(k: DataFrame, members: DataFrame) -> DataFrame:
@@ -281,30 +283,33 @@ def extended_groups(k: DataFrame, members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_s")
     )
     m = members.join(rows, ["norm_field", "norm_name", "norm_phone"])
-    phones = m.groupBy("component", "norm_phone").agg(F.lit(1).alias("_x"))
-    n_phones = phones.groupBy("component").agg(F.count(F.lit(1)).alias("n_phones"))
-    names = m.select("component", "norm_name").distinct()
-    ranked = names.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("component").orderBy("norm_name"))
-    ).filter(F.col("_rn") <= NAMES_IN_LABEL)
-    labels = ranked.groupBy("component").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "norm_name"))),
-                                 lambda n: n["norm_name"]), SEPARATOR).alias("_label")
-    )
-    n_names = names.groupBy("component").agg(F.count(F.lit(1)).alias("n_names"))
     code = F.xxhash64("norm_phone", "norm_name")
-    stats = m.groupBy("component", "norm_field").agg(
-        F.sum("_n").alias("n_entries"),
-        F.min("_s").alias("first_seq"),
-        F.count(F.lit(1)).alias("_triples"),
-        F.bit_xor(code).alias("_xor"),
-        F.sum(code.cast("decimal(38,0)")).alias("_sum"),
-    )
-    groups = (
-        stats.join(n_phones.filter("n_phones >= 2"), "component")
-        .join(n_names.filter("n_names >= 2"), "component")
-        .join(labels, "component")
+    stats = (
+        m.groupBy("component", "norm_field")
+        .agg(
+            F.count_distinct("norm_phone").alias("n_phones"),
+            F.count_distinct("norm_name").alias("n_names"),
+            F.sum("_n").alias("n_entries"),
+            F.min("_s").alias("first_seq"),
+            F.count(F.lit(1)).alias("_triples"),
+            F.bit_xor(code).alias("_xor"),
+            F.sum(code.cast("decimal(38,0)")).alias("_sum"),
+        )
+        .filter("n_phones >= 2 AND n_names >= 2")
+    )
+    ranked = (
+        members.select("component", "norm_name")
+        .distinct()
+        .withColumn(
+            "_rn", F.row_number().over(Window.partitionBy("component").orderBy("norm_name"))
+        )
+        .filter(F.col("_rn") <= NAMES_IN_LABEL)
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("_rn", "norm_name")))
+    labels = ranked.groupBy("component").agg(
+        F.array_join(F.transform(in_order, lambda n: n["norm_name"]), SEPARATOR).alias("_label")
     )
+    groups = stats.join(labels, "component")
     fields = k.filter("norm_name <> ''").groupBy("norm_field").agg(F.min("_seq").alias("field_seq"))
     groups = groups.join(fields, "norm_field")
     firsts = groups.groupBy("_triples", "_xor", "_sum").agg(
@@ -328,7 +333,7 @@ def all_groups(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> tuple[Da
     """
     exact = exact_groups(k, generic)
     exact_id = F.concat(F.lit("x"), _node(F.col("norm_field"), F.col("norm_name"), F.lit("")))
-    members = durable(extended_members(k, generic))
+    members = extended_members(k, generic)
     extended = durable(extended_groups(k, members))
     groups = exact.select(
         exact_id.alias("group_id"),

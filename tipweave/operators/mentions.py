@@ -20,7 +20,9 @@ from tipweave.functions.text import (
 from tipweave.operators.sequence import around
 
 # The attachment mark and the sizes of context, messages and notes.
-ATTACHED = r"(?iU)(.+?\.vcf)\s*\(file attached\)"
+# The pattern starts at a line start or where the last match ended: tried anywhere, it would read
+# every line once per letter.
+ATTACHED = r"(?imdU)(?:^|\G)(.+?\.vcf)\s*\(file attached\)"
 BEFORE, AFTER = 5, 3
 SHOWN_MESSAGE = 400
 NOTE_MESSAGE, NOTE_REQUEST, NOTE_LENGTH = 150, 200, 350

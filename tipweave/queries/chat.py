@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tipweave.operators import mentions as m
 from tipweave.operators import messages as msg
+from tipweave.operators.dictionary import first_label
 from tipweave.operators.notes import fold_notes, note_texts
 from tipweave.operators.sequence import with_frames
 from tipweave.queries.registry import any_contains, query, table
+from tipweave.queries.text import KEYWORDS, RULE_TABLE
 from tipweave.runtime import fresh_path
 from tipweave.sources.cards import contacts, lookup, parse_cards, read_cards
 from tipweave.sources.chat import read_chat, since_year
@@ -462,3 +464,32 @@ def message_context_flags(spark, folder):
         msg.commerce_cue(body, RULES).alias("commerce"),
         msg.is_tribute(body, RULES).alias("tribute"),
     )
+
+
+@query(
+    "recommendation_topics",
+    f"""
+    WITH {RULE_TABLE},
+    m AS (SELECT row_number() OVER () AS id, text FROM conversations
+          WHERE NOT {any_contains("lower(text)", [x.lower() for x in RULES.exclude])}),
+    exact AS (SELECT id, arg_min(label, priority) AS label FROM m, r WHERE contains(text, keyword) GROUP BY 1),
+    loose AS (SELECT id, arg_min(label, priority) AS label FROM m, r
+              WHERE contains(lower(text), lower(keyword)) GROUP BY 1),
+    l AS (SELECT coalesce(e.label, o.label, '') AS label, {any_contains("text", RULES.strong)} AS recommends,
+            length(text) AS chars
+          FROM m LEFT JOIN exact e USING (id) LEFT JOIN loose o USING (id))
+    SELECT label, recommends, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM l GROUP BY 1, 2
+    """,
+)
+def recommendation_topics(spark, folder):
+    """From export text to topics: stitch messages, drop excluded ones, label and count."""
+    path = export_chat(spark, table(spark, folder, "conversations"), "chat")
+    kept = read_chat(spark, path).filter(~msg.excluded(F.col("body"), RULES))
+    labelled = kept.select(
+        first_label(F.col("body"), KEYWORDS).alias("label"),
+        msg.recommends(F.col("body"), RULES).alias("recommends"),
+        F.length("body").alias("chars"),
+    )
+    return labelled.groupBy("label", "recommends").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").cast("long").alias("chars")
+    )

@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tipweave.runtime import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -18,8 +20,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows are costly to work on, or many.
+SPREAD = ("documents", "conversations", "pages", "events", "orders", "part", "customer", "lineitem")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in SPREAD else df
 
 
 def values(rows) -> str:

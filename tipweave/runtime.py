@@ -56,3 +56,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting; a bigger side keeps the planner's shuffled join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work to all cores when the input has fewer splits than cores.
+
+    A large input has many more splits than cores and is left as it is; a file with one row group
+    would otherwise be read, and everything up to the next shuffle done, by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
