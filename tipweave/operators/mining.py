@@ -46,12 +46,13 @@ def suggested_keywords(
 
 def phrase_counts(
     entries: DataFrame,
-    counters: Sequence[tuple[str, Sequence[tuple[str, str]], Sequence[tuple[str, str]]]],
+    counters: Sequence[tuple],
     top: int | None = TOP_PHRASES,
 ) -> DataFrame:
-    """(phrase, n) for counters ``(phrase, any_of, none_of)`` over (column, word) tests.
+    """(phrase, n) for counters ``(phrase, groups[, none_of])``.
 
-    All counters are one aggregate over the rows.
+    A group is a list of (column, word) tests of which one must hold; all groups must hold, and
+    none of ``none_of``. All counters are one aggregate over the rows.
     """
     name = strip(blank(F.col("name")))
     note = F.substring(strip(blank(F.col("note"))), 1, NOTE_LENGTH)
@@ -60,16 +61,19 @@ def phrase_counts(
     def test(pairs):
         return any_true(F.contains(columns[c], F.lit(w)) for c, w in pairs)
 
-    sums = [
-        F.count_if(test(any_of) & ~test(none_of)).alias(f"c{i}")
-        for i, (_, any_of, none_of) in enumerate(counters)
-    ]
+    def holds(groups, none_of=()):
+        fits = ~test(none_of)
+        for group in groups:
+            fits = fits & test(group)
+        return fits
+
+    sums = [F.count_if(holds(*c[1:])).alias(f"c{i}") for i, c in enumerate(counters)]
     totals = entries.agg(*sums)
     rows = F.explode(
         F.array(
             *[
                 F.struct(F.lit(phrase).alias("phrase"), F.col(f"c{i}").alias("n"))
-                for i, (phrase, _, _) in enumerate(counters)
+                for i, (phrase, *_) in enumerate(counters)
             ]
         )
     )

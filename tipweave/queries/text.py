@@ -413,10 +413,10 @@ def phrase_counters(spark, folder):
         F.col("p_name").alias("name"), F.col("p_type").alias("note")
     )
     counters = [
-        ("hot things", [("name", "hot")], []),
-        ("rings", [("name", "ring")], [("name", "red")]),
-        ("small or promo", [("note", "SMALL"), ("note", "PROMO")], []),
-        ("no gears", [("name", "zzz")], []),
+        ("hot things", [[("name", "hot")]]),
+        ("rings", [[("name", "ring")]], [("name", "red")]),
+        ("small or promo", [[("note", "SMALL"), ("note", "PROMO")]]),
+        ("no gears", [[("name", "gear")], [("name", "zzz")]]),
     ]
     return mining.phrase_counts(entries, counters)
 

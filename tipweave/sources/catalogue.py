@@ -66,14 +66,20 @@ def read_json(
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     back = {new: old for old, new in (renamed or {}).items()}
-    stored = T.StructType(
-        [T.StructField(back.get(f.name, f.name), f.dataType) for f in schema]
-        + [T.StructField("_corrupt_record", T.StringType())]
-    )
-    raw = (
-        spark.read.schema(stored).option("multiLine", not one_per_line).option("mode", "PERMISSIVE").json(path)
-    )
-    rows = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    stored = T.StructType([T.StructField(back.get(f.name, f.name), f.dataType) for f in schema])
+    if one_per_line:
+        bad = T.StructField("_corrupt_record", T.StringType())
+        raw = spark.read.schema(T.StructType([*stored.fields, bad])).json(path)
+        rows = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    else:
+        # Element by element, so that one odd element does not cost the whole file.
+        whole = spark.read.text(path, wholetext=True).filter(strip(F.col("value")).startswith("["))
+        elements = whole.select(F.explode(F.from_json("value", "array<string>")).alias("element"))
+        rows = (
+            elements.filter(strip(F.col("element")).startswith("{"))
+            .select(F.from_json("element", stored).alias("r"))
+            .select("r.*")
+        )
     for old, new in (renamed or {}).items():
         rows = rows.withColumnRenamed(old, new)
     return rows
