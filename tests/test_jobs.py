@@ -146,7 +146,7 @@ def test_message_rules(spark):
         spark,
         lambda c: msg.reject_reason(c, r),
         [
-            "מחפשת מסעדה טובה", "המלצה \U0001f64f\U0001f3fd‍♀️ למסעדה", "מסעדת הגפן? איך היא",
+            "מחפשת מסעדה טובה", "תודה מראש \U0001f64f\U0001f3fd\u200d\u2640\ufe0f", "מסעדת הגפן? איך היא",
             "איפה המסעדות הטובות?", "מסעדת דגים באזור? תודה", "בית הקפה פתוח בשבת? כן",
             "מסעדת הגפן פתוחה?", "אינסטלטור מומלץ", "מומלץ בחום מסעדת הגפן",
         ],

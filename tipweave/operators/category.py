@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import contains_all, contains_any
-from tipweave.functions.text import blank, fold_spaces, let, non_blank, only_emoji, strip
+from tipweave.functions.text import blank, fold_spaces, let, non_blank, only_emoji, strip, unify_spelling
 from tipweave.operators.dictionary import Rule, first_label, voted_label
 from tipweave.runtime import rows_if_small
 
@@ -18,17 +18,33 @@ NOTE_HEAD = 420
 SUBLABEL_NOTE = 600
 
 
-def from_text(text: Column, rules: Sequence[Rule]) -> Column:
-    return first_label(fold_spaces(text), rules)
+def _tidy(text: Column, spellings: dict[str, str] | None) -> Column:
+    return unify_spelling(fold_spaces(text), spellings or {})
 
 
-def from_note(note: Column, rules: Sequence[Rule], max_chars: int | None = NOTE_HEAD) -> Column:
-    return voted_label(fold_spaces(note), rules, max_chars)
+def from_text(
+    text: Column, rules: Sequence[Rule], spellings: dict[str, str] | None = None
+) -> Column:
+    return let(_tidy(text, spellings), lambda t: first_label(t, rules))
+
+
+def from_note(
+    note: Column,
+    rules: Sequence[Rule],
+    max_chars: int | None = NOTE_HEAD,
+    spellings: dict[str, str] | None = None,
+) -> Column:
+    return let(_tidy(note, spellings), lambda t: voted_label(t, rules, max_chars))
 
 
-def from_context(texts: Column, rules: Sequence[Rule], max_chars: int = NOTE_HEAD) -> Column:
-    joined = fold_spaces(F.array_join(texts, " "))
-    return first_label(F.right(joined, F.lit(max_chars)), rules)
+def from_context(
+    texts: Column,
+    rules: Sequence[Rule],
+    max_chars: int = NOTE_HEAD,
+    spellings: dict[str, str] | None = None,
+) -> Column:
+    joined = _tidy(F.array_join(texts, " "), spellings)
+    return let(F.right(joined, F.lit(max_chars)), lambda t: first_label(t, rules))
 
 
 def cascade(sources: Sequence[Column]) -> Column:
@@ -44,15 +60,16 @@ def entry_category(
     before: Column,
     after: Column,
     rules: Sequence[Rule],
+    spellings: dict[str, str] | None = None,
 ) -> Column:
     return cascade(
         [
-            from_text(name, rules),
-            from_text(stem, rules),
-            from_text(title_org, rules),
-            from_note(note, rules),
-            from_context(before, rules),
-            from_context(after, rules),
+            from_text(name, rules, spellings),
+            from_text(stem, rules, spellings),
+            from_text(title_org, rules, spellings),
+            from_note(note, rules, NOTE_HEAD, spellings),
+            from_context(before, rules, NOTE_HEAD, spellings),
+            from_context(after, rules, NOTE_HEAD, spellings),
         ]
     )
 
@@ -271,10 +288,14 @@ def _apply_rule(current: Column, texts: Column, r: Column) -> Column:
     return F.when(hit & ~barred & fits, r["target"]).otherwise(current)
 
 
-def fill_empty(entries: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def fill_empty(
+    entries: DataFrame, rules: Sequence[Rule], spellings: dict[str, str] | None = None
+) -> DataFrame:
     """Category for entries without one: from the name, else by vote over the note."""
     name, note = F.col("name"), F.col("note")
-    found = cascade([from_text(name, rules), from_note(note, rules)])
+    found = cascade(
+        [from_text(name, rules, spellings), from_note(note, rules, NOTE_HEAD, spellings)]
+    )
     empty = strip(blank(F.col("field"))) == ""
     return entries.withColumn("field", F.when(empty, found).otherwise(F.col("field")))
 

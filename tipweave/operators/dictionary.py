@@ -18,7 +18,7 @@ from tipweave.functions.phrases import any_true, contains_any
 from tipweave.functions.text import blank, let, occurrences
 from tipweave.runtime import rows_if_small
 
-MAX_INLINE_RULES = 5_000
+MAX_INLINE_RULES = 2_000
 GRAM = 3
 
 

@@ -152,14 +152,15 @@ def include_all(mentions: DataFrame) -> DataFrame:
 
 
 def first_included(candidates: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """The first included mention of every phone; a minimum, so it combines before the shuffle."""
+    """The first included mention of every phone.
+
+    Only the order columns go through the minimum, which combines before the shuffle; the rows
+    themselves are then found by their full key, which no two rows share.
+    """
     kept = candidates.filter("include AND error IS NULL")
-    rest = [c for c in candidates.columns if c not in ("phone_key", *order)]
-    first = kept.groupBy("phone_key").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_entry"),
-        F.min(F.struct(*order)).alias("_order"),
-    )
-    return first.select("phone_key", "_order.*", "_entry.*")
+    firsts = kept.groupBy("phone_key").agg(F.min(F.struct(*order)).alias("_first"))
+    keys = firsts.select("phone_key", "_first.*")
+    return kept.join(keys, ["phone_key", *order], "left_semi")
 
 
 def later_mentions(

@@ -27,6 +27,7 @@ class ContactRules:
     sub_labels: Sequence[cat.SubRule] = ()
     recommend: Sequence[str] = field(default_factory=tuple)
     limit: int | None = None
+    spellings: dict[str, str] = field(default_factory=dict)
 
 
 def candidates(messages: DataFrame, contacts: DataFrame, r: ContactRules) -> DataFrame:
@@ -74,6 +75,7 @@ def build_contacts(
         m.bodies(F.col("ctx_before")),
         m.bodies(F.col("ctx_after")),
         r.keywords,
+        r.spellings,
     )
     if use_judged_field:
         at_first = F.coalesce(non_blank(blank(F.col("judged_field"))), at_first)
@@ -90,8 +92,8 @@ def build_contacts(
     )
     again = cat.cascade(
         [
-            cat.from_text(F.col("name"), r.keywords),
-            cat.from_note(F.col("_head"), r.keywords),
+            cat.from_text(F.col("name"), r.keywords, r.spellings),
+            cat.from_note(F.col("_head"), r.keywords, cat.NOTE_HEAD, r.spellings),
             F.col("_first_field"),
         ]
     )

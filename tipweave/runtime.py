@@ -36,13 +36,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: columnar, with sizes the planner can see."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
     """The rows of a rule table if there are at most ``max_rows``, else None.
 
@@ -52,12 +45,6 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting; a bigger side keeps the planner's shuffled join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work to all cores when the input has fewer splits than cores.
 
