@@ -1,9 +1,9 @@
 """Text against a rule dictionary: first matching label, label vote, longest alias.
 
-A rule table is a DataFrame ``(priority, keyword, label, guard)``. Tables of an ordinary size
-(some hundred to some thousand rows) are read once and become a constant of the plan: matching is
-then a map over the texts with no join, no row blow-up and no shuffle. A bigger table is matched by
-an equi-join on character grams (``match_by_grams``), which gives the same matches.
+A rule table is a DataFrame ``(priority, keyword, label, guard)``. A table of at most
+``MAX_INLINE_RULES`` rows is read once and becomes a constant of the plan: matching is then a map
+over the texts with no join, no row blow-up and no shuffle. A bigger table is matched by an
+equi-join on character grams (``match_by_grams``), which gives the same matches.
 """
 
 from __future__ import annotations
