@@ -23,6 +23,7 @@ from tipweave.sources.cards import contacts, parse_cards, read_cards
 from tipweave.sources.chat import read_chat
 from tipweave.streaming.changes import start_snapshots
 from tipweave.streaming.messages import stream_mentions, stream_venues
+from tipweave.streaming import votes as votes_stream
 from tipweave.streaming.votes import current_counters, start_counters
 
 KEYWORDS = [
@@ -242,7 +243,8 @@ def test_judged_venues_and_fallback(spark):
 EVENT = "event_id long, ts timestamp, item_type string, item_key string, seq long, prev string, next string"
 
 
-def test_vote_stream_equals_batch(spark, folder):
+def test_vote_stream_equals_batch(spark, folder, monkeypatch):
+    monkeypatch.setattr(votes_stream, "SNAPSHOT_EVERY", 2)
     rows = [(i, "entry", f"k{i % 3}", i, ["none", "like", "dislike"][i % 3], ["like", "dislike", "none"][i // 2 % 3]) for i in range(40)]
     events = spark.createDataFrame(rows, "event_id long, item_type string, item_key string, seq long, prev string, next string").withColumn(
         "ts", F.timestamp_seconds(F.col("event_id") + 1_700_000_000)

@@ -223,8 +223,9 @@ def _groups_by_pairs(entries):
     }
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_extended_groups_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, most_paired", [(0, 24), (1, 24), (1, 3)])
+def test_extended_groups_equal_all_pairs(spark, monkeypatch, seed, most_paired):
+    monkeypatch.setattr(dup, "MOST_PAIRED", most_paired)
     rng = random.Random(seed)
     words = ["dan", "cohen", "plumber", "north", "new"]
     entries = [

@@ -23,6 +23,8 @@ from tipweave.runtime import durable
 LEAD_LETTER = "ל"
 GENERIC_NAMES = ("ניקוי ספות",)
 NAMES_IN_LABEL = 4
+# Names with more words are met by single words, as their pairs of words would be too many.
+MOST_PAIRED = 24
 
 
 def keyed(entries: DataFrame, seq: str = "seq") -> DataFrame:
@@ -94,12 +96,45 @@ def _ordered_pairs(tokens: Column) -> Column:
     )
 
 
+def _inside(shorts: DataFrame, longs: DataFrame, blocks: Column) -> DataFrame:
+    """Ordered subsequences: each short name meets the long ones on its rarest block."""
+    offered = longs.withColumn("_block", F.explode(blocks))
+    common = offered.groupBy("norm_field", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = shorts.withColumn("_block", F.explode(blocks))
+    rarest = (
+        wanted.join(common, ["norm_field", "_block"], "left")
+        .groupBy("norm_field", F.col("norm_name").alias("short_name"))
+        .agg(
+            F.min_by("_block", F.struct(F.coalesce("_n", F.lit(0)), "_block")).alias("_block"),
+            F.first("_bare").alias("_short"),
+        )
+    )
+    return (
+        rarest.join(
+            offered.select(
+                "norm_field",
+                "_block",
+                F.col("norm_name").alias("long_name"),
+                F.col("_bare").alias("_long"),
+            ),
+            ["norm_field", "_block"],
+        )
+        .filter(
+            (F.length("short_name") < F.length("long_name"))
+            & (F.size("_short") < F.size("_long"))
+            & _in_order(F.col("_short"), F.col("_long"))
+        )
+        .select("norm_field", "short_name", "long_name")
+    )
+
+
 def related_names(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
     """``norm_field, short_name, long_name`` of related distinct names.
 
     Prefix: every name is looked up by each of its own leading parts, so a name adds at most as
     many rows as it has words. Ordered subsequence: short and long names meet on the ordered pair
-    of words of the short name that the fewest names have, and are then checked.
+    of words of the short name that the fewest names have (on its rarest word if the long name has
+    very many words), and are then checked.
     """
     names = (
         k.filter((F.col("norm_name") != "") & ~equals_any(F.col("norm_name"), generic))
@@ -125,29 +160,11 @@ def related_names(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataF
     bare = names.select(
         "norm_field", "norm_name", F.filter(_bare(F.col("_tokens")), lambda t: t != "").alias("_bare")
     ).filter(F.size("_bare") >= 3)
-    pairs = bare.withColumn("_pair", F.explode(_ordered_pairs(F.col("_bare"))))
-    common = pairs.groupBy("norm_field", "_pair").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (
-        pairs.join(common, ["norm_field", "_pair"])
-        .groupBy("norm_field", "norm_name")
-        .agg(
-            F.min_by("_pair", F.struct("_n", "_pair")).alias("_pair"),
-            F.first("_bare").alias("_short"),
-        )
-        .withColumnRenamed("norm_name", "short_name")
-    )
-    longs = pairs.select(
-        "norm_field", "_pair", F.col("norm_name").alias("long_name"), F.col("_bare").alias("_long")
-    )
-    inside = (
-        rarest.join(longs, ["norm_field", "_pair"])
-        .filter(
-            (F.length("short_name") < F.length("long_name"))
-            & (F.size("_short") < F.size("_long"))
-            & _in_order(F.col("_short"), F.col("_long"))
-        )
-        .select("norm_field", "short_name", "long_name")
-    )
+    few_words = F.size("_bare") <= MOST_PAIRED
+    paired = bare.filter(few_words)
+    by_pair = _inside(paired, paired, _ordered_pairs(F.col("_bare")))
+    by_word = _inside(bare, bare.filter(~few_words), F.array_distinct("_bare"))
+    inside = by_pair.unionByName(by_word)
     return prefixes.unionByName(inside).distinct()
 
 

@@ -16,7 +16,7 @@ from tipweave.queries.registry import any_contains, query, table, values
 from tipweave.runtime import fresh_path
 from tipweave.sources.cards import contacts
 from tipweave.sources.catalogue import with_legacy_column
-from tipweave.streaming.changes import start_snapshots
+from tipweave.streaming.changes import current_snapshot, start_snapshots
 
 KEYWORDS = [r for r in text.KEYWORDS if r.keyword not in ("tion", "er", "en", "a")]
 RULE_TABLE = f"r(priority, keyword, label) AS (VALUES {values((r.priority, r.keyword, r.label) for r in KEYWORDS)})"
@@ -139,8 +139,7 @@ def change_stream(spark, folder):
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1_000).parquet(log)
     root = fresh_path(spark, "snapshots")
     start_snapshots(stream, base, root, fresh_path(spark, "snapshots-log")).awaitTermination()
-    latest = f"{root}/batch={0:010d}"
-    return spark.read.parquet(latest).select("name", "phone", "field", "from_local", "note")
+    return current_snapshot(spark, root).select("name", "phone", "field", "from_local", "note")
 
 
 @query(

@@ -7,18 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tipweave.operators.overlay import stored_rows
-from tipweave.sources.catalogue import path_exists
-
-
-def _list(spark: SparkSession, root: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+from tipweave.sources.catalogue import folder_names, path_exists
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Complete versions, oldest first; one is complete once its success file is there."""
-    found = sorted(n for n in _list(spark, root) if n.startswith("v"))
+    found = sorted(n for n in folder_names(spark, root) if n.startswith("v"))
     return [v for v in found if path_exists(spark, f"{root}/{v}/_SUCCESS")]
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipweave.functions.phone import national
-from tipweave.functions.text import blank, name_from_first_letter, non_blank, strip
+from tipweave.functions.text import blank, let, name_from_first_letter, non_blank, strip
 
 # Fixed value: a run of at least nine phone characters, searched in the whole line.
 PHONE_RUN = r"[0-9\-+\s]{9,}"
@@ -24,44 +24,59 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
 def parse_cards(files: DataFrame) -> DataFrame:
     """One row per card: the last FN, the first usable phone, the last ORG, NOTE and TITLE.
 
-    A file may hold several cards; each becomes a row. Lines of a card are read as rows and folded
-    per card, whose size is bounded by its file.
+    A file may hold several cards; each becomes a row. The lines of a card are an array inside its
+    row, so parsing is a map and shuffles nothing.
     """
     cards = files.select(
         "file_path",
         F.posexplode(F.split("content", r"(?i)(?=BEGIN:VCARD)")).alias("card_no", "card"),
     ).filter(F.upper("card").contains("BEGIN:VCARD"))
-    lines = cards.select(
-        "file_path", "card_no", F.posexplode(F.split("card", r"\r\n|[\r\n]")).alias("no", "raw")
-    ).withColumn("line", strip(F.col("raw")))
-    prop = F.when(
-        F.col("line").contains(":"), F.upper(F.substring_index("line", ":", 1))
-    ).otherwise("")
-    value = strip(F.regexp_replace("line", r"(?s)^[^:]*:", ""))
-    is_name = F.col("line").startswith("FN:")
-    is_phone = ~is_name & prop.contains("TEL") & ~prop.contains("LABEL")
-    other = ~is_name & ~is_phone
-    phone = national(F.regexp_extract("line", PHONE_RUN, 0))
-    parts = F.split(F.substring("raw", 3, 1 << 30), ";")
+    lines = F.transform(
+        F.split("card", r"\r\n|[\r\n]"),
+        lambda raw: let(
+            strip(raw),
+            lambda line: F.struct(raw.alias("raw"), line.alias("line"), _property(line).alias("prop")),
+        ),
+    )
+
+    def last_value(name: str):
+        own = F.filter("lines", lambda x: _is_other(x) & x["prop"].startswith(name))
+        return _value(F.try_element_at(own, F.lit(-1))["line"])
+
+    fn = F.try_element_at(F.filter("lines", lambda x: x["line"].startswith("FN:")), F.lit(-1))
+    n_line = F.try_element_at(F.filter("lines", lambda x: x["raw"].startswith("N:")), F.lit(1))
+    parts = F.split(F.substring(n_line["raw"], 3, 1 << 30), ";")
     given = strip(
         F.concat_ws(" ", F.try_element_at(parts, F.lit(3)), F.try_element_at(parts, F.lit(2)))
     )
-    n_name = F.coalesce(non_blank(given), F.try_element_at(parts, F.lit(2)))
+    numbers = F.transform(
+        F.filter("lines", _is_phone), lambda x: national(F.regexp_extract(x["line"], PHONE_RUN, 0))
+    )
+    return cards.select("file_path", "card_no", lines.alias("lines")).select(
+        "file_path",
+        "card_no",
+        _value(fn["line"]).alias("fn"),
+        F.coalesce(non_blank(given), F.try_element_at(parts, F.lit(2))).alias("n_name"),
+        F.try_element_at(F.filter(numbers, lambda p: p != ""), F.lit(1)).alias("phone"),
+        *[last_value(n).alias(c) for n, c in (("ORG", "org"), ("NOTE", "note_vcf"), ("TITLE", "title_vcf"))],
+    )
 
-    def last(cond, col):
-        return F.max_by(F.when(cond, col), F.when(cond, F.col("no")))
 
-    def first(cond, col):
-        return F.min_by(F.when(cond, col), F.when(cond, F.col("no")))
+def _property(line: Column) -> Column:
+    return F.when(line.contains(":"), F.upper(F.substring_index(line, ":", 1))).otherwise("")
 
-    return lines.groupBy("file_path", "card_no").agg(
-        last(is_name, value).alias("fn"),
-        first(F.col("raw").startswith("N:"), n_name).alias("n_name"),
-        first(is_phone & (phone != ""), phone).alias("phone"),
-        last(other & prop.startswith("ORG"), value).alias("org"),
-        last(other & prop.startswith("NOTE"), value).alias("note_vcf"),
-        last(other & prop.startswith("TITLE"), value).alias("title_vcf"),
-    )
+
+def _value(line: Column) -> Column:
+    return strip(F.regexp_replace(line, r"(?s)^[^:]*:", ""))
+
+
+def _is_phone(x: Column) -> Column:
+    in_name = x["prop"].contains("TEL") & ~x["prop"].contains("LABEL")
+    return in_name & ~x["line"].startswith("FN:")
+
+
+def _is_other(x: Column) -> Column:
+    return ~x["line"].startswith("FN:") & ~_is_phone(x)
 
 
 def contacts(cards: DataFrame) -> DataFrame:

@@ -51,6 +51,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm_path))
 
 
+def folder_names(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def complete_numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
+    """Numbers of the completely written folders ``kind=<number>``, in order."""
+    return sorted(
+        int(n.split("=")[1])
+        for n in folder_names(spark, root)
+        if n.startswith(f"{kind}=") and path_exists(spark, f"{root}/{n}/_SUCCESS")
+    )
+
+
 def read_json(
     spark: SparkSession,
     path: str,

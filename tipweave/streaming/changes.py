@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tipweave.operators.overlay import merge_overlay, stored_rows
-from tipweave.sources.catalogue import ENTRY_SCHEMA, path_exists
+from tipweave.sources.catalogue import ENTRY_SCHEMA, complete_numbers, path_exists
+
+
+def current_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The catalogue after the last complete batch."""
+    done = complete_numbers(spark, root, "batch")
+    return spark.read.parquet(f"{root}/batch={done[-1]:010d}") if done else None
 
 
 def start_snapshots(

@@ -1,8 +1,9 @@
 """Vote stream to live counters.
 
 A micro-batch is reduced by the same closed form as the batch job (a hot item is cut into ranges),
-then folded into the stored counters. The state is a versioned table: batch *n* reads the table of
-batch *n-1* and writes its own, so a batch repeated after a failure gives the same result.
+then folded into the stored counters of the items it touches. The state is a log: batch *n* writes
+the new counters of its items only, and every so often a full snapshot is written. Batch *n* reads
+what came before it and writes its own folder, so a batch repeated after a failure gives the same.
 """
 
 from __future__ import annotations
@@ -11,28 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tipweave.operators.votes import COUNTERS, ITEM, apply_votes
-from tipweave.sources.catalogue import VOTE_SCHEMA, path_exists
+from tipweave.operators.votes import COUNTERS, ITEM, apply_votes, clean_state
+from tipweave.sources.catalogue import VOTE_SCHEMA, complete_numbers
 
 
-def read_state(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """Counters after the batch; an empty table before the first."""
-    path = f"{root}/batch={batch:010d}"
-    if batch < 0 or not path_exists(spark, f"{path}/_SUCCESS"):
-        return spark.createDataFrame([], VOTE_SCHEMA)
-    return spark.read.schema(VOTE_SCHEMA).parquet(path)
+SNAPSHOT_EVERY = 64
+
 
+def _folder(root: str, kind: str, number: int) -> str:
+    return f"{root}/{kind}={number:010d}"
 
-def latest_batch(spark: SparkSession, root: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [
-        int(n[6:]) for n in names if n.startswith("batch=") and path_exists(spark, f"{root}/{n}/_SUCCESS")
-    ]
-    return max(done, default=-1)
+
+def read_state(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """Counters before the batch: the newest snapshot, and the batches since then on top."""
+    snapshots = [n for n in complete_numbers(spark, root, "snapshot") if n <= batch]
+    start = snapshots[-1] if snapshots else 0
+    state = spark.createDataFrame([], VOTE_SCHEMA).withColumn("_batch", F.lit(-1))
+    if snapshots:
+        kept = spark.read.schema(VOTE_SCHEMA).parquet(_folder(root, "snapshot", start))
+        state = kept.withColumn("_batch", F.lit(-1))
+    paths = [(n, _folder(root, "batch", n)) for n in complete_numbers(spark, root, "batch") if start <= n < batch]
+    for number, path in paths:
+        newer = spark.read.schema(VOTE_SCHEMA).parquet(path).withColumn("_batch", F.lit(number))
+        state = state.unionByName(newer)
+    newest = F.max_by(F.struct(*COUNTERS), "_batch")
+    return state.groupBy(*ITEM).agg(newest.alias("c")).select(*ITEM, "c.*")
 
 
 def start_counters(
@@ -52,15 +56,17 @@ def start_counters(
             ["event_id"]
         )
 
+    spark = events.sparkSession
+    if initial is not None and not complete_numbers(spark, root, "snapshot"):
+        _write(initial, _folder(root, "snapshot", 0))
+
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = read_state(spark, root, batch_id - 1)
-        if batch_id == 0 and initial is not None:
-            state = initial
-        out = apply_votes(batch, state).select(
-            *ITEM, *[F.col(c).cast("long").alias(c) for c in COUNTERS]
-        )
-        out.write.mode("overwrite").parquet(f"{root}/batch={batch_id:010d}")
+        before = read_state(batch.sparkSession, root, batch_id)
+        if batch_id and batch_id % SNAPSHOT_EVERY == 0:
+            _write(before, _folder(root, "snapshot", batch_id))
+        touched = batch.select(*ITEM).distinct()
+        own = before.join(touched, list(ITEM), "left_semi")
+        _write(apply_votes(batch, own), _folder(root, "batch", batch_id))
 
     return (
         events.writeStream.foreachBatch(fold)
@@ -70,5 +76,12 @@ def start_counters(
     )
 
 
+def _write(state: DataFrame, path: str) -> None:
+    columns = [F.col(c).cast("long").alias(c) for c in COUNTERS]
+    state.select(*ITEM, *columns).write.mode("overwrite").parquet(path)
+
+
 def current_counters(spark: SparkSession, root: str) -> DataFrame:
-    return read_state(spark, root, latest_batch(spark, root))
+    """Counters after the last complete batch; stored negatives are read as zero."""
+    done = complete_numbers(spark, root, "batch")
+    return clean_state(read_state(spark, root, done[-1] + 1 if done else 0))
