@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipweave.operators.dictionary import grams
+from tipweave.runtime import durable
 
 SEPARATOR = " | "
 MAX_NOTES_PER_ROW = 512
@@ -32,35 +33,35 @@ def fold_notes(
     in one place: each is compared, by a join on a rare run of letters, with the notes that can
     contain it (``many`` is true for these keys).
     """
-    said = later.filter(F.col(note) != "").join(
-        base.select(key, F.col(note).alias("_base")), key
-    ).filter(~F.contains("_base", F.col(note)))
-    distinct = said.groupBy(key, note).agg(F.min(F.struct(*order)).alias("_order"))
+    base = durable(base.select(key, *order, note))
+    texts = base.select(key, F.col(note).alias("_base"))
+    said = later.filter(F.col(note) != "").join(texts, key)
+    distinct = durable(
+        said.filter(~F.contains("_base", F.col(note)))
+        .groupBy(key, note)
+        .agg(F.min(F.struct(*order)).alias("_order"))
+    )
     sizes = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.filter(F.col("_n") > max_notes).select(key)
-    few = distinct.join(big, key, "left_anti")
-    many = distinct.join(big, key, "left_semi")
+    any_big = not big.isEmpty()
+    few = distinct.join(big, key, "left_anti") if any_big else distinct
 
     folded = (
         few.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("_order", F.col(note).alias("_note")))).alias("_all"))
-        .join(base.select(key, F.col(note).alias("_base")), key)
+        .join(texts, key)
     )
     kept_few = folded.select(key, F.explode(_keep_new("_base", "_all")).alias("_kept")).select(
         key, "_kept._order", F.col("_kept._note").alias(note), F.lit(False).alias("many")
     )
-    kept_many = _not_contained(many, key, "_order", note).withColumn("many", F.lit(True))
-    first = base.select(
-        key,
-        F.struct(*order).alias("_order"),
-        note,
-        F.lit(False).alias("many"),
-    )
-    return (
-        first.unionByName(kept_few)
-        .unionByName(kept_many)
-        .select(key, *[F.col(f"_order.{o}").alias(o) for o in order], note, "many")
-    )
+    first = base.select(key, F.struct(*order).alias("_order"), note, F.lit(False).alias("many"))
+    kept = first.unionByName(kept_few)
+    if any_big:
+        many = durable(distinct.join(big, key, "left_semi"))
+        kept = kept.unionByName(
+            _not_contained(many, key, "_order", note).withColumn("many", F.lit(True))
+        )
+    return kept.select(key, *[F.col(f"_order.{o}").alias(o) for o in order], note, "many")
 
 
 def _keep_new(base: str, notes: str) -> Column:

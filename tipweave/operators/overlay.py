@@ -55,25 +55,33 @@ def with_display_phone(changes: DataFrame) -> DataFrame:
     return changes.unionByName(follow)
 
 
-def latest_edits(changes: DataFrame, columns: Sequence[str] = EDITABLE) -> DataFrame:
-    """One row per key: ``has_<column>`` and the latest ``<column>`` of every edited column."""
-    edits = changes.filter("op = 'edit'")
+def _edit_aggregates(columns: Sequence[str]) -> list[Column]:
     aggs = []
     for c in (*columns, "phones"):
-        mine = F.col("column") == c
+        mine = (F.col("op") == "edit") & (F.col("column") == c)
         value = F.col("phones") if c == "phones" else strip(blank(F.col("value")))
-        newest = F.max_by(
-            F.when(mine, F.struct(value.alias("v"))), F.when(mine, F.col("seq"))
-        )
+        newest = F.max_by(F.when(mine, F.struct(value.alias("v"))), F.when(mine, F.col("seq")))
         aggs += [newest.isNotNull().alias(f"has_{c}"), newest["v"].alias(f"new_{c}")]
-    return edits.groupBy("key").agg(*aggs)
+    return aggs
 
 
-def latest_value(changes: DataFrame, op: str, out: str) -> DataFrame:
-    return (
-        changes.filter(F.col("op") == op)
-        .groupBy("key")
-        .agg(F.max_by(F.struct("value"), "seq")["value"].alias(out))
+def latest_edits(changes: DataFrame, columns: Sequence[str] = EDITABLE) -> DataFrame:
+    """One row per key: ``has_<column>`` and the latest ``<column>`` of every edited column."""
+    return changes.filter("op = 'edit'").groupBy("key").agg(*_edit_aggregates(columns))
+
+
+def latest_changes(changes: DataFrame, columns: Sequence[str] = EDITABLE) -> DataFrame:
+    """All that the log says about a key, in one pass: edits, flag, note, deletion."""
+
+    def newest(op: str) -> Column:
+        mine = F.col("op") == op
+        return F.max_by(F.when(mine, F.struct("value")), F.when(mine, F.col("seq")))["value"]
+
+    return changes.groupBy("key").agg(
+        *_edit_aggregates(columns),
+        newest("flag").alias("_flag"),
+        newest("note").alias("_note"),
+        F.bool_or(F.col("op") == "delete").alias("_deleted"),
     )
 
 
@@ -108,30 +116,20 @@ def merge_overlay(
             ).otherwise(F.col("phone_display")),
         }
     )
-    deleted = changes.filter("op = 'delete'").select("key").distinct()
-    alive = rows.join(deleted, "key", "left_anti")
-    columns = [c for c in alive.columns if c not in ("key", "src_rank", "seq")]
+    columns = [c for c in rows.columns if c not in ("key", "src_rank", "seq")]
     order = F.struct("src_rank", "seq")
-
-    def firsts(df: DataFrame) -> DataFrame:
-        best = df.groupBy("key").agg(
-            F.min(order).alias("_order"), F.min_by(F.struct(*columns), order).alias("_row")
-        )
-        return best.select("key", "_order.*", "_row.*")
-
-    keyless = F.col("key") == ""
-    if collapse_blank_keys:
-        unique = firsts(alive)
-    else:
-        unique = firsts(alive.filter(~keyless)).unionByName(
-            alive.filter(keyless).select("key", "src_rank", "seq", *columns)
-        )
-    edits = latest_edits(changes)
-    joined = (
-        unique.join(edits, "key", "left")
-        .join(latest_value(changes, "flag", "_flag"), "key", "left")
-        .join(latest_value(changes, "note", "_note"), "key", "left")
+    keyed = rows if collapse_blank_keys else rows.filter("key <> ''")
+    first = (
+        keyed.groupBy("key")
+        .agg(F.min(order).alias("_order"), F.min_by(F.struct(*columns), order).alias("_row"))
+        .select("key", "_order.*", "_row.*")
+    )
+    # Both sides are grouped by key already, so this join moves nothing.
+    joined = first.join(latest_changes(changes), "key", "left").filter(
+        ~F.coalesce("_deleted", F.lit(False))
     )
+    if not collapse_blank_keys:
+        joined = joined.unionByName(rows.filter("key = ''"), allowMissingColumns=True)
 
     def edited(c: str) -> Column:
         return F.when(F.col(f"has_{c}"), F.col(f"new_{c}")).otherwise(F.col(c))

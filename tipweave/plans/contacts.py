@@ -35,7 +35,7 @@ def candidates(messages: DataFrame, contacts: DataFrame, r: ContactRules) -> Dat
     found = m.find_mentions(messages)
     if r.limit is not None:
         found = found.orderBy(*m.ORDER).limit(r.limit)
-    known = m.valid_candidates(m.with_contacts(found, lookup(contacts)))
+    known = durable(m.valid_candidates(m.with_contacts(found, lookup(contacts))))
     seen = m.with_context(known, messages)
     return seen.withColumn(
         "note", m.build_note(F.col("body"), F.col("ctx_before"), r.request_markers)
