@@ -159,7 +159,8 @@ def test_labels_inline_and_joined(spark):
     assert {(r.id, r.keyword, r.n) for r in matches} == want
 
 
-def test_label_rows_gives_the_same_for_big_tables(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_label_rows_gives_the_same_for_big_tables(spark, monkeypatch, limit):
     plain = [r for r in RULES if not r.guard]
     table = spark.createDataFrame(
         [(r.priority, r.keyword, r.label) for r in plain], "priority long, keyword string, label string"
@@ -168,6 +169,7 @@ def test_label_rows_gives_the_same_for_big_tables(spark, monkeypatch):
     for mode in ("first", "vote"):
         small = {r.id: r.label for r in di.label_rows(df, "id", "t", table, mode).collect()}
         monkeypatch.setattr(di, "inline_rules", lambda rules: None)
+        monkeypatch.setattr(di, "MAX_BROADCAST_RULES", limit)
         big = {r.id: r.label for r in di.label_rows(df, "id", "t", table, mode).collect()}
         monkeypatch.undo()
         assert small == big

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import any_true, contains_any
 from tipweave.functions.text import blank, let, occurrences
-from tipweave.runtime import rows_if_small
+from tipweave.runtime import broadcast_if_small, rows_if_small
 
 MAX_INLINE_RULES = 2_000
+MAX_BROADCAST_RULES = 200_000
 GRAM = 3
 
 
@@ -168,10 +169,13 @@ def match_by_grams(
         .groupBy("priority", "label", "keyword")
         .agg(F.min_by("_gram", F.struct("_sharing", "_gram")).alias("_gram"))
     )
+    # The exploded side is far bigger than the planner can know, so the rule side is the one to
+    # build from: in every task if it is small, else per partition of the grams.
     spread = texts.select(
         row_id, F.explode(grams(F.col(text), range(1, gram + 1))).alias("_gram")
     )
-    candidates = spread.join(anchors, "_gram").drop("_gram")
+    built = broadcast_if_small(anchors, MAX_BROADCAST_RULES, otherwise="shuffle_hash")
+    candidates = spread.join(built, "_gram").drop("_gram")
     return (
         candidates.join(texts.select(row_id, text), row_id)
         .filter(F.contains(text, F.col("keyword")))

@@ -98,7 +98,8 @@ def _ordered_pairs(tokens: Column) -> Column:
 
 def _inside(shorts: DataFrame, longs: DataFrame, blocks: Column) -> DataFrame:
     """Ordered subsequences: each short name meets the long ones on its rarest block."""
-    offered = longs.withColumn("_block", F.explode(blocks))
+    # One shuffle by block serves the count and both joins.
+    offered = longs.withColumn("_block", F.explode(blocks)).repartition("norm_field", "_block")
     common = offered.groupBy("norm_field", "_block").agg(F.count(F.lit(1)).alias("_n"))
     wanted = shorts.withColumn("_block", F.explode(blocks))
     rarest = (

@@ -88,7 +88,7 @@ def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFra
         key,
         order,
         F.explode(grams(F.col(note), lengths)).alias("_run"),
-    )
+    ).repartition(key, "_run")
     size, middle = F.length(note), max(_SHORT_GRAMS)
     own = (
         F.when(size >= _LONG_GRAM, grams(F.col(note), [_LONG_GRAM]))

@@ -45,6 +45,12 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int, otherwise: str) -> DataFrame:
+    """Hint a broadcast if a count says so; a bigger table gets the ``otherwise`` join hint."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df.hint(otherwise)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work to all cores when the input has fewer splits than cores.
 
