@@ -241,7 +241,7 @@ def test_extended_groups_equal_all_pairs(spark, monkeypatch, seed, most_paired):
     ]
     df = spark.createDataFrame(entries, "seq long, name string, phone string, field string")
     k = dup.keyed(df)
-    found = dup.extended_members(k)
+    found = dup.extended_members(dup.triples(k))
     rows = k.join(found, ["norm_field", "norm_name", "norm_phone"]).select("component", "seq").collect()
     got: dict[str, set] = {}
     for r in rows:

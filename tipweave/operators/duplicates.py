@@ -38,21 +38,30 @@ def keyed(entries: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def triples(k: DataFrame) -> DataFrame:
+    """Distinct ``norm_field, norm_name, norm_phone`` with their rows ``n`` and first ``seq``.
+
+    The one pass over the entries: all groups are found from this table, which is kept.
+    """
+    return durable(
+        k.groupBy("norm_field", "norm_name", "norm_phone").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_seq").alias("first")
+        )
+    )
+
+
 # --- exact groups ---------------------------------------------------------------------------
 
 
-def exact_groups(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
+def exact_groups(t: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
     """``norm_field, norm_name, n_phones, n_entries, first_seq`` of names with several phones."""
-    named = k.filter((F.col("norm_name") != "") & ~equals_any(F.col("norm_name"), generic))
-    per_phone = named.groupBy("norm_field", "norm_name", "norm_phone").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_s")
-    )
+    named = t.filter((F.col("norm_name") != "") & ~equals_any(F.col("norm_name"), generic))
     return (
-        per_phone.groupBy("norm_field", "norm_name")
+        named.groupBy("norm_field", "norm_name")
         .agg(
             F.count_if(F.col("norm_phone") != "").alias("n_phones"),
-            F.sum("_n").alias("n_entries"),
-            F.min("_s").alias("first_seq"),
+            F.sum("n").alias("n_entries"),
+            F.min("first").alias("first_seq"),
         )
         .filter("n_phones >= 2")
     )
@@ -129,7 +138,7 @@ def _inside(shorts: DataFrame, longs: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
-def related_names(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
+def related_names(t: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
     """``norm_field, short_name, long_name`` of related distinct names.
 
     Prefix: every name is looked up by each of its own leading parts, so a name adds at most as
@@ -138,7 +147,7 @@ def related_names(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataF
     very many words), and are then checked.
     """
     names = (
-        k.filter((F.col("norm_name") != "") & ~equals_any(F.col("norm_name"), generic))
+        t.filter((F.col("norm_name") != "") & ~equals_any(F.col("norm_name"), generic))
         .select("norm_field", "norm_name")
         .distinct()
         .withColumn("_tokens", words(F.col("norm_name")))
@@ -277,14 +286,12 @@ def _links(nodes: DataFrame, related: DataFrame) -> DataFrame:
     return edges.union(spokes)
 
 
-def extended_members(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
+def extended_members(t: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> DataFrame:
     """``component, norm_field, norm_name, norm_phone`` of every row triple in a related group."""
-    nodes = (
-        k.filter((F.col("norm_name") != "") & (F.col("norm_phone") != ""))
-        .select("norm_field", "norm_name", "norm_phone")
-        .distinct()
+    nodes = t.filter((F.col("norm_name") != "") & (F.col("norm_phone") != "")).select(
+        "norm_field", "norm_name", "norm_phone"
     )
-    related = related_names(k, generic)
+    related = related_names(t, generic)
     parts = connected_components(_links(nodes, related))
     placed = nodes.withColumn(
         "node", _node(F.col("norm_field"), F.col("norm_name"), F.col("norm_phone"))
@@ -292,23 +299,20 @@ def extended_members(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> Da
     return durable(placed.join(parts, "node").drop("node"))
 
 
-def extended_groups(k: DataFrame, members: DataFrame) -> DataFrame:
+def extended_groups(t: DataFrame, members: DataFrame) -> DataFrame:
     """Groups of several phones and names, without groups that repeat one of another category.
 
     ``component, norm_field, n_phones, n_names, n_entries, first_seq, label``.
     """
-    rows = k.groupBy("norm_field", "norm_name", "norm_phone").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_s")
-    )
-    m = members.join(rows, ["norm_field", "norm_name", "norm_phone"])
+    m = members.join(t, ["norm_field", "norm_name", "norm_phone"])
     code = F.xxhash64("norm_phone", "norm_name")
     stats = (
         m.groupBy("component", "norm_field")
         .agg(
             F.count_distinct("norm_phone").alias("n_phones"),
             F.count_distinct("norm_name").alias("n_names"),
-            F.sum("_n").alias("n_entries"),
-            F.min("_s").alias("first_seq"),
+            F.sum("n").alias("n_entries"),
+            F.min("first").alias("first_seq"),
             F.count(F.lit(1)).alias("_triples"),
             F.bit_xor(code).alias("_xor"),
             F.sum(code.cast("decimal(38,0)")).alias("_sum"),
@@ -328,7 +332,9 @@ def extended_groups(k: DataFrame, members: DataFrame) -> DataFrame:
         F.array_join(F.transform(in_order, lambda n: n["norm_name"]), SEPARATOR).alias("_label")
     )
     groups = stats.join(labels, "component")
-    fields = k.filter("norm_name <> ''").groupBy("norm_field").agg(F.min("_seq").alias("field_seq"))
+    fields = t.filter("norm_name <> ''").groupBy("norm_field").agg(
+        F.min("first").alias("field_seq")
+    )
     groups = groups.join(fields, "norm_field")
     firsts = groups.groupBy("_triples", "_xor", "_sum").agg(
         F.min_by("component", F.struct("field_seq", "first_seq")).alias("component")
@@ -343,16 +349,16 @@ def extended_groups(k: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def all_groups(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> tuple[DataFrame, DataFrame]:
+def all_groups(t: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> tuple[DataFrame, DataFrame]:
     """Exact and extended groups together.
 
     Returns ``(groups, members)``: groups with their rank in discovery order (later groups win a
     phone), members as ``group_id`` with the row triple.
     """
-    exact = exact_groups(k, generic)
+    exact = exact_groups(t, generic)
     exact_id = F.concat(F.lit("x"), _node(F.col("norm_field"), F.col("norm_name"), F.lit("")))
-    members = extended_members(k, generic)
-    extended = durable(extended_groups(k, members))
+    members = extended_members(t, generic)
+    extended = durable(extended_groups(t, members))
     groups = exact.select(
         exact_id.alias("group_id"),
         F.struct(F.lit(0).alias("kind"), F.col("first_seq").alias("a"), F.lit(0).cast("long").alias("b")).alias("rank"),
@@ -362,8 +368,7 @@ def all_groups(k: DataFrame, generic: Sequence[str] = GENERIC_NAMES) -> tuple[Da
             F.struct(F.lit(1).alias("kind"), F.col("field_seq").alias("a"), F.col("first_seq").alias("b")).alias("rank"),
         )
     )
-    triples = k.filter("norm_name <> ''").select("norm_field", "norm_name", "norm_phone").distinct()
-    of_exact = triples.join(
+    of_exact = t.filter("norm_name <> ''").join(
         exact.select("norm_field", "norm_name", exact_id.alias("group_id")),
         ["norm_field", "norm_name"],
     )
@@ -424,7 +429,7 @@ def apply_merge(entries: DataFrame, seq: str = "seq", generic: Sequence[str] = G
     is null for rows that were not merged.
     """
     k = keyed(entries, seq)
-    groups, members = all_groups(k, generic)
+    groups, members = all_groups(triples(k), generic)
     holders = members.filter("norm_phone <> ''").join(groups, "group_id")
     owner = holders.groupBy("norm_phone").agg(F.max_by("group_id", "rank").alias("group_id"))
     placed = k.join(owner, "norm_phone", "left")

@@ -81,7 +81,7 @@ EXTENDED_SQL = f"""
     """,
 )
 def dup_exact(spark, folder):
-    return dup.exact_groups(dup.keyed(entries(spark, folder)))
+    return dup.exact_groups(dup.triples(dup.keyed(entries(spark, folder))))
 
 
 @query(
@@ -97,7 +97,7 @@ def dup_exact(spark, folder):
     """,
 )
 def related_names(spark, folder):
-    return dup.related_names(dup.keyed(entries(spark, folder)))
+    return dup.related_names(dup.triples(dup.keyed(entries(spark, folder))))
 
 
 @query(
@@ -113,8 +113,8 @@ def related_names(spark, folder):
     """,
 )
 def dup_extended(spark, folder):
-    k = dup.keyed(entries(spark, folder))
-    groups = dup.extended_groups(k, dup.extended_members(k))
+    t = dup.triples(dup.keyed(entries(spark, folder)))
+    groups = dup.extended_groups(t, dup.extended_members(t))
     return groups.select("norm_field", "n_phones", "n_names", "n_entries", "first_seq", "label")
 
 
@@ -185,7 +185,7 @@ def dup_merge_phones(spark, folder):
     """,
 )
 def dup_report_lines(spark, folder):
-    k = dup.keyed(entries(spark, folder))
+    k = dup.triples(dup.keyed(entries(spark, folder)))
     groups = dup.exact_groups(k).withColumn("group_id", F.concat_ws("|", "norm_field", "norm_name"))
     phones = (
         k.filter("norm_phone <> ''")
