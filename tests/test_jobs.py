@@ -9,6 +9,7 @@ from tipweave.operators import messages as msg
 from tipweave.operators import mining
 from tipweave.operators import names as nm
 from tipweave.operators import overlay as ov
+from tipweave.operators import search as se
 from tipweave.operators import venues as vn
 from tipweave.operators import verdicts as vd
 from tipweave.operators import votes as vt
@@ -313,3 +314,9 @@ def test_served_catalogue(spark):
     venues = spark.createDataFrame([("v1", "V", 1)], "id string, name string, _internal int")
     shown = served_venues(venues, votes).first().asDict()
     assert shown["likes"] == 2 and "_internal" not in shown
+
+
+def test_facets_in_order(spark):
+    values = spark.createDataFrame([("ב",), ("א",), ("b",), ("A",)], "value string")
+    assert [r.value for r in se.facet_order(values).collect()] == ["A", "b", "א", "ב"]
+    assert [r.value for r in se.facet_order(values, "he").collect()] == ["א", "ב", "A", "b"]

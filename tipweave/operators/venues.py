@@ -20,7 +20,7 @@ from tipweave.functions.text import (
     strip,
     strip_trailing_note,
 )
-from tipweave.operators.dictionary import Rule, longest_alias
+from tipweave.operators.dictionary import longest_alias
 from tipweave.operators.messages import MessageRules, qualifies, reject_reason
 from tipweave.operators.names import NameRules, clean_name, is_junk_capture, is_plausible
 from tipweave.sources.chat import worth_scanning
@@ -462,7 +462,7 @@ def assemble(
     return with_websites(merged, websites) if websites is not None else merged
 
 
-def union_sources(sources: Sequence[DataFrame], order: Sequence[str] = ("seq",)) -> DataFrame:
+def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
     """Venue sources one after the other, in the order given."""
     ranked = [
         df.withColumn("src_rank", F.lit(i)) for i, df in enumerate(sources)
@@ -471,7 +471,3 @@ def union_sources(sources: Sequence[DataFrame], order: Sequence[str] = ("seq",))
     for df in ranked[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
-
-
-def type_rules(rules: Sequence[Rule]) -> list[tuple[str, str]]:
-    return [(rf"\Q{r.keyword}\E", r.label) for r in sorted(rules, key=lambda r: r.priority)]

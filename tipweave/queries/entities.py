@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tipweave.operators import duplicates as dup
 from tipweave.queries.registry import query, table
-from tipweave.sinks.reports import duplicate_lines
+from tipweave.sinks.reports import duplicate_groups, duplicate_lines
 
 ENTRY_NAME = """
   CASE WHEN p_size <= 12 THEN p_name
@@ -193,3 +193,24 @@ def dup_report_lines(spark, folder):
         .distinct()
     )
     return duplicate_lines(groups, phones, "exact", "norm_name").select("line")
+
+
+@query(
+    "dup_report_groups",
+    f"""
+    WITH RECURSIVE {EXTENDED_SQL},
+    names AS (SELECT DISTINCT comp, nm FROM rows_in),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY nm) AS rn FROM names),
+    label AS (SELECT comp, string_agg(nm, ' | ' ORDER BY nm) AS label FROM ranked WHERE rn <= 4 GROUP BY 1)
+    SELECT 'exact_name' AS match_kind, nm AS label, field AS norm_field,
+      count(DISTINCT CASE WHEN phone <> '' THEN phone END) AS n_phones, count(*) AS n_entries
+    FROM e WHERE nm <> '' GROUP BY 2, 3 HAVING count(DISTINCT CASE WHEN phone <> '' THEN phone END) >= 2
+    UNION ALL
+    SELECT 'extended_prefix_or_subsequence', label || CASE WHEN n_names > 4 THEN ' | …' ELSE '' END, field, n_phones,
+      CAST(n_entries AS BIGINT) FROM ext JOIN label USING (comp)
+    """,
+)
+def dup_report_groups(spark, folder):
+    t = dup.triples(dup.keyed(entries(spark, folder)))
+    extended = dup.extended_groups(t, dup.extended_members(t))
+    return duplicate_groups(dup.exact_groups(t), extended)

@@ -520,3 +520,22 @@ def folded_names(spark, folder):
         tx.name_from_first_letter(title).alias("from_letter"),
         F.length(title).cast("long").alias("n"),
     )
+
+
+@query(
+    "keyword_report",
+    """
+    WITH h AS (SELECT CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'gear') THEN 'gear' END AS phrase,
+                 CASE WHEN contains(p_name, 'ring') THEN 'metal' ELSE 'machine' END AS field FROM part WHERE p_size < 20),
+    n AS (SELECT phrase, field, count(*) AS n FROM h WHERE phrase IS NOT NULL GROUP BY 1, 2)
+    SELECT printf('  %4d  ''%s'' -> %s', n, phrase, field) AS line FROM n
+    UNION ALL SELECT printf('  %4d  %s', count(*), 'red') FROM part WHERE p_size < 20 AND contains(p_name, 'red')
+    """,
+)
+def keyword_report(spark, folder):
+    from tipweave.sinks.reports import suggestion_lines
+
+    entries = _parts_as_entries(spark, folder).filter("p_size < 20")
+    suggested = mining.suggested_keywords(entries, [("ring", "metal"), ("gear", "machine")], "name")
+    phrases = mining.phrase_counts(entries, [("red", [[("name", "red")]])])
+    return suggestion_lines(suggested, phrases).select("line")

@@ -56,6 +56,33 @@ def duplicate_lines(groups: DataFrame, phones: DataFrame, kind: str, label: str)
     return head.unionByName(body).orderBy("_rank", "norm_field", "_label", "group_id", "_phone")
 
 
+def duplicate_groups(exact: DataFrame, extended: DataFrame) -> DataFrame:
+    """Both kinds of groups in one table, biggest first within a kind."""
+    columns = ["match_kind", "label", "norm_field", "n_phones", "n_entries"]
+    both = exact.select(
+        F.lit("exact_name").alias("match_kind"), F.col("norm_name").alias("label"), *columns[2:]
+    ).unionByName(
+        extended.select(
+            F.lit("extended_prefix_or_subsequence").alias("match_kind"), "label", *columns[2:]
+        )
+    )
+    return both.orderBy("match_kind", F.desc("n_phones"), "norm_field", "label")
+
+
+def suggestion_lines(suggested: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Lines of the keyword report: phrase and category pairs, then phrase counters."""
+    pairs = suggested.select(
+        F.lit(0).alias("section"),
+        "n",
+        "phrase",
+        F.format_string("  %4d  '%s' -> %s", "n", "phrase", "field").alias("line"),
+    )
+    counters = phrases.select(
+        F.lit(1).alias("section"), "n", "phrase", F.format_string("  %4d  %s", "n", "phrase").alias("line")
+    )
+    return pairs.unionByName(counters).orderBy("section", F.desc("n"), "phrase")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
