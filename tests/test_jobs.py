@@ -14,7 +14,7 @@ from tipweave.operators import venues as vn
 from tipweave.operators import verdicts as vd
 from tipweave.operators import votes as vt
 from tipweave.operators.dictionary import Rule, first_label
-from tipweave.plans.contacts import ContactRules, build_contacts
+from tipweave.plans.contacts import ContactRules, build_contacts, merge_contacts
 from tipweave.plans.serving import served_contacts, served_venues
 from tipweave.plans.venues import build_venues
 from tipweave.rules import hebrew
@@ -87,6 +87,8 @@ def test_contacts_from_chat_and_cards(spark, folder):
     assert one.from_local is False
     assert got["0500000002"].field == "נגרות"
     assert parts.filter("part > 0").count() == 0
+    merged, _, _ = merge_contacts(entries)
+    assert sorted(r.phone for r in merged.collect()) == ["0500000001", "0500000002"]
     everything, _ = build_contacts(
         messages, cards, rules,
         verdicts=spark.createDataFrame(

@@ -157,12 +157,15 @@ class PlaceRules:
 
 def guess_place(body: Column, r: PlaceRules) -> Column:
     """Longest place named in the text; ``bounded`` places must stand as a word of their own."""
-    by_alias = longest_alias(body, r.aliases)
-    out = by_alias
-    for place, pattern in r.bounded:
-        better = body.rlike(pattern) & (F.length(out) < len(place))
-        out = F.when(better, F.lit(place)).otherwise(out)
-    return F.substring(out, 1, 200)
+
+    def best(found: Column) -> Column:
+        named = [
+            F.when(body.rlike(pattern) & (F.length(found) < len(place)), F.lit(place))
+            for place, pattern in sorted(r.bounded, key=lambda b: -len(b[0]))
+        ]
+        return F.coalesce(*named, found)
+
+    return F.substring(let(longest_alias(body, r.aliases), best), 1, 200)
 
 
 def place_near_name(body: Column, name: Column, r: PlaceRules) -> Column:
@@ -195,12 +198,14 @@ def split_place(name: Column, r: PlaceRules) -> Column:
             lambda t: s.endswith(t["suffix"])
             & (F.length(fold_spaces(_head(s, F.length(t["suffix"])))) >= 2),
         )
-        hit = F.try_element_at(fits, F.lit(1))
-        out = F.when(
-            hit.isNotNull(),
-            F.struct(
-                fold_spaces(_head(s, F.length(hit["suffix"]))).alias("name"),
-                hit["place"].alias("location"),
+        out = let(
+            F.try_element_at(fits, F.lit(1)),
+            lambda hit: F.when(
+                hit.isNotNull(),
+                F.struct(
+                    fold_spaces(_head(s, F.length(hit["suffix"]))).alias("name"),
+                    hit["place"].alias("location"),
+                ),
             ),
         )
     plain = F.struct(s.alias("name"), F.lit("").alias("location"))

@@ -12,7 +12,9 @@ from tipweave.functions.text import blank, non_blank
 from tipweave.operators import category as cat
 from tipweave.operators import mentions as m
 from tipweave.operators.dictionary import Rule
+from tipweave.operators.duplicates import apply_merge
 from tipweave.operators.notes import fold_notes, note_heads, note_texts
+from tipweave.operators.sequence import numbered
 from tipweave.operators.verdicts import with_verdicts
 from tipweave.runtime import durable
 from tipweave.sources.cards import lookup
@@ -112,3 +114,12 @@ def build_contacts(
         cat.sub_label(F.col("name"), F.col("note"), F.col("field"), r.sub_labels).alias("extra_info"),
     )
     return out, texts
+
+
+def merge_contacts(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of ``build_contacts`` with duplicate contacts merged.
+
+    ``(catalogue, phones, notes)`` as from ``duplicates.apply_merge``, in chat order.
+    """
+    ordered = numbered(entries, list(m.ORDER)).drop(*m.ORDER)
+    return apply_merge(durable(ordered), "seq")

@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 from tipweave.operators.evidence import keep_evident
 from tipweave.operators.search import by_name
+from tipweave.operators.sequence import numbered
 from tipweave.operators.venues import VenueRules, assemble, strict_rows, union_sources
+from tipweave.runtime import durable
 from tipweave.sources.bulletin import seed_since
 from tipweave.sources.chat import since_year
 
 
-def numbered(rows: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
-    """A distinct integer per row that follows ``order``.
-
-    Rows are sorted into ranges and numbered inside them; ranges are as even as the data allows.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.withColumn(out, F.monotonically_increasing_id())
-
-
 def build_venues(
     messages: DataFrame,
     r: VenueRules,
@@ -49,7 +42,9 @@ def build_venues(
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None))
     seq = numbered(rows, ["src_rank", "chat_id", "msg_seq", "name_no", "id"])
-    out = assemble(seq.drop("src_rank", "chat_id", "msg_seq", "name_no"), r, websites)
+    # The merge reads its rows several times; the chats are read and searched once.
+    found = durable(seq.drop("src_rank", "chat_id", "msg_seq", "name_no"))
+    out = assemble(found, r, websites)
     if evidence is not None:
         out = keep_evident(out, evidence)
     return by_name(out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tipweave.operators import overlay as ov
 from tipweave.operators import search as se
 from tipweave.operators import venues as vn
+from tipweave.operators.messages import MessageRules
 from tipweave.operators.verdicts import candidates_to_judge
 from tipweave.plans.contacts import ContactRules, build_contacts
 from tipweave.plans.venues import build_venues
@@ -80,7 +81,7 @@ def contacts_catalogue(spark, folder):
 
 
 VENUE_RULES = vn.VenueRules(
-    messages=chat.RULES,
+    messages=MessageRules(exclude=("rewh",), strong=("the", "de "), anchors=("e",)),
     names=venues.NAMES,
     patterns=venues.PATTERNS,
     places=vn.PlaceRules(aliases=venues.ALIASES, prefix="in "),
