@@ -397,3 +397,30 @@ def test_verdict_texts(spark):
     venues = spark.createDataFrame([('x {"venues": [{"name": " A "}, {"name": ""}]} y',), ("bad",)], "t string")
     found = venues.select(read_venues(F.col("t"))).collect()
     assert [v.name for v in found[0][0]] == ["A"] and not found[1][0]
+
+
+def test_entry_stub_cuts_notes(spark):
+    from tipweave.sinks.reports import entry_stub
+
+    df = spark.createDataFrame(
+        [("A", "1", None, True, "n" * 201), ("B", "2", "f", False, None)],
+        "name string, phone string, field string, from_local boolean, note string",
+    )
+    rows = entry_stub(df).collect()
+    assert rows[0].note_preview == "n" * 200 + "…" and rows[0].field == "" and rows[1].note_preview == ""
+
+
+def test_limit_takes_the_first_mentions(spark):
+    from tipweave.plans.contacts import ContactRules, candidates
+
+    messages = spark.createDataFrame(
+        [("c", i, "s", "d", f"P{i}.vcf (file attached)") for i in range(5)],
+        "chat_id string, msg_seq long, sender string, date_str string, body string",
+    )
+    cards = spark.createDataFrame(
+        [(f"p{i}.vcf", f"p{i}", "x", 0, f"P{i}", f"050000000{i}", "", "", "", f"P{i}.vcf") for i in range(5)],
+        "file_key string, stem_key string, file_path string, card_no int, name string, phone string,"
+        "org string, note_vcf string, title_vcf string, vcf_filename string",
+    )
+    got = candidates(messages, cards, ContactRules((), (), [], limit=2)).select("name").collect()
+    assert sorted(r.name for r in got) == ["P0", "P1"]

@@ -449,16 +449,18 @@ def apply_merge(entries: DataFrame, seq: str = "seq", generic: Sequence[str] = G
     return catalogue, phones, notes
 
 
-def nest_phones(catalogue: DataFrame, phones: DataFrame) -> DataFrame:
-    """Catalogue with ``phones`` as an array where a record has more than one."""
-    lists = phones.groupBy("group_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("sort_key", "norm_phone"))), lambda p: p["norm_phone"]
-        ).alias("phones")
-    )
-    return catalogue.join(lists, "group_id", "left").withColumn(
-        "phones", F.when(F.size("phones") > 1, F.col("phones"))
+def nest_phones(catalogue: DataFrame, phones: DataFrame, most: int = 10_000) -> DataFrame:
+    """Catalogue with ``phones`` as an array where a record has more than one.
+
+    A record with more than ``most`` phones has them in the ``phones`` table only.
+    """
+    sizes = phones.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
+    listed = phones.join(sizes.filter(F.col("_n").between(2, most)), "group_id", "left_semi")
+    in_order = F.array_sort(F.collect_list(F.struct("sort_key", "norm_phone")))
+    lists = listed.groupBy("group_id").agg(
+        F.transform(in_order, lambda p: p["norm_phone"]).alias("phones")
     )
+    return catalogue.join(lists, "group_id", "left")
 
 
 def report_order(groups: DataFrame, label: str) -> DataFrame:
