@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import any_true
-from tipweave.functions.text import blank, strip
+from tipweave.functions.text import blank, let, strip
 
 TOP_PAIRS, TOP_PHRASES = 80, 40
 PHRASE_LENGTH, NOTE_LENGTH = 50, 200
@@ -23,13 +23,14 @@ def suggested_keywords(
 ) -> DataFrame:
     """(phrase, field, n): what the first fitting pattern of each row matched, most frequent first."""
     hits = [
-        F.when(
-            F.col(text).rlike(f"(?iU){p}"),
-            F.struct(
-                F.substring(
-                    strip(F.regexp_extract(F.col(text), f"(?iU)({p})", 1)), 1, PHRASE_LENGTH
-                ).alias("phrase"),
-                F.lit(label).alias("field"),
+        let(
+            F.regexp_extract(F.col(text), f"(?iU)({p})", 1),
+            lambda m, label=label: F.when(
+                m != "",
+                F.struct(
+                    F.substring(strip(m), 1, PHRASE_LENGTH).alias("phrase"),
+                    F.lit(label).alias("field"),
+                ),
             ),
         )
         for p, label in patterns

@@ -17,6 +17,7 @@ from tipweave.operators.dictionary import (
 )
 from tipweave.operators.verdicts import read_venues, read_verdict
 from tipweave.queries.registry import query, table, values
+from tipweave.sinks import reports
 
 KEYWORDS = [
     Rule(i, word, label)
@@ -100,14 +101,12 @@ def phone_keys(spark, folder):
     """,
 )
 def rejected_phones(spark, folder):
-    from tipweave.sinks.reports import rejected_phones as rejected
-
     contacts = phones(spark, folder).select(
         ph.national(F.col("raw")).alias("phone"),
         F.col("c_name").alias("name"),
         F.col("c_name").alias("vcf_filename"),
     )
-    return rejected(contacts).select("phone", "name")
+    return reports.rejected_phones(contacts).select("phone", "name")
 
 
 @query(
@@ -428,14 +427,12 @@ def phrase_counters(spark, folder):
     """,
 )
 def empty_category_report(spark, folder):
-    from tipweave.sinks.reports import without_category
-
     entries = table(spark, folder, "part").select(
         F.col("p_name").alias("name"),
         F.concat_ws(" ", "p_brand", "p_type").alias("note"),
         F.when(F.col("p_size") < 10, "  ").otherwise(F.col("p_type")).alias("field"),
     )
-    return without_category(entries)
+    return reports.without_category(entries)
 
 
 def answers(spark, folder):
@@ -526,16 +523,14 @@ def folded_names(spark, folder):
     "keyword_report",
     """
     WITH h AS (SELECT CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'gear') THEN 'gear' END AS phrase,
-                 CASE WHEN contains(p_name, 'ring') THEN 'metal' ELSE 'machine' END AS field FROM part WHERE p_size < 20),
+                 CASE WHEN contains(p_name, 'ring') THEN 'metal' ELSE 'machine' END AS field FROM part),
     n AS (SELECT phrase, field, count(*) AS n FROM h WHERE phrase IS NOT NULL GROUP BY 1, 2)
     SELECT printf('  %4d  ''%s'' -> %s', n, phrase, field) AS line FROM n
-    UNION ALL SELECT printf('  %4d  %s', count(*), 'red') FROM part WHERE p_size < 20 AND contains(p_name, 'red')
+    UNION ALL SELECT printf('  %4d  %s', count(*), 'red') FROM part WHERE contains(p_name, 'red')
     """,
 )
 def keyword_report(spark, folder):
-    from tipweave.sinks.reports import suggestion_lines
-
-    entries = _parts_as_entries(spark, folder).filter("p_size < 20")
+    entries = _parts_as_entries(spark, folder)
     suggested = mining.suggested_keywords(entries, [("ring", "metal"), ("gear", "machine")], "name")
     phrases = mining.phrase_counts(entries, [("red", [[("name", "red")]])])
-    return suggestion_lines(suggested, phrases).select("line")
+    return reports.suggestion_lines(suggested, phrases).select("line")
