@@ -116,10 +116,11 @@ def mentions_place(body: Column, ctx: Sequence[Column], markers: Sequence[str])
     return contains_any(body, markers) | around_it
 
 
-def rule_gate(
-    mentions: DataFrame, recommend: Sequence[str], request: Sequence[str]
-) -> DataFrame:
-    """Verdicts by rule: recommending words in or near the message, or a request before it."""
+def gate_columns(recommend: Sequence[str], request: Sequence[str]) -> dict[str, Column]:
+    """Verdict by rule, as columns of a mention with its context.
+
+    A mention is included if recommending words are in or near the message, or a request before it.
+    """
     said = contains_any(F.col("body"), recommend)
     near = F.exists(
         F.concat(bodies(F.col("ctx_before")), bodies(F.col("ctx_after"))),
@@ -132,13 +133,20 @@ def rule_gate(
         .when(asked, "answers a request")
         .otherwise("no recommendation or request")
     )
-    return mentions.select(
-        "mention_id",
-        (said | near | asked).alias("include"),
-        F.lit("").alias("field"),
-        reason.alias("reason"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    return {
+        "include": said | near | asked,
+        "field": F.lit(""),
+        "reason": reason,
+        "error": F.lit(None).cast("string"),
+    }
+
+
+def rule_gate(
+    mentions: DataFrame, recommend: Sequence[str], request: Sequence[str]
+) -> DataFrame:
+    """A table of verdicts by rule, of the shape an outside judge delivers."""
+    columns = gate_columns(recommend, request)
+    return mentions.select("mention_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def include_all(mentions: DataFrame) -> DataFrame:

@@ -58,8 +58,11 @@ def build_contacts(
     """
     all_candidates = durable(candidates(messages, contacts, r))
     if verdicts is None:
-        verdicts = m.rule_gate(all_candidates, r.recommend, r.request_markers)
-    judged = with_verdicts(all_candidates, verdicts)
+        gate = m.gate_columns(r.recommend, r.request_markers)
+        gate["judged_field"] = gate.pop("field")
+        judged = all_candidates.withColumns(gate)
+    else:
+        judged = with_verdicts(all_candidates, verdicts)
     first = m.first_included(judged)
     later = m.later_mentions(judged, first)
     kept = durable(fold_notes(first, later, "phone_key", m.ORDER, "note"))
