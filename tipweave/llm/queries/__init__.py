@@ -1,4 +1,4 @@
 """The dealt operators as queries over the given tables."""
 
-from tipweave.llm.queries import duplicates, rows, search  # noqa: F401
+from tipweave.llm.queries import duplicates, pages, rows, search  # noqa: F401
 from tipweave.llm.queries.registry import QUERIES, SQL  # noqa: F401
