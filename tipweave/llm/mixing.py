@@ -102,7 +102,7 @@ def draw(
     summed = running(found, order, words, group="source")
     targets = targets.select(marked("source").alias("__source"), "source_size", "target")
     placed = summed.withColumn("__source", marked("source")).join(targets, "__source")
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
     middle = F.col("words_before") + F.col("size") * F.col("times_found") / 2
     inside = (F.col("size") > 0) & (middle <= rest)
