@@ -18,7 +18,8 @@ the same text, so headings and one-word paragraphs stay.
 References are decoded, white space inside a block becomes one space, blocks are joined by one
 line break. Defined cases: a null or empty page, and one without text outside the zones, has the
 text ''; broken markup is read as browsers do: unclosed elements end with what closes around them,
-a paragraph ends where the next block begins, stray end tags are ignored. Equal rows give equal
+a paragraph ends where the next block begins, stray end tags and a tag cut off by the end of the
+page are ignored. Equal rows give equal
 results; extra columns are ignored.
 """
 
@@ -42,7 +43,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
+    r"|</?[a-zA-Z][^>]*+\Z",
     re.S,
 )
 _ATTRIBUTE = re.compile(

@@ -233,7 +233,7 @@ def one_of_each(
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
     first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     # How often the first row itself occurs, so that its copies can be told from a single row.
-    times = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    times = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__times"))
     chosen = stored(
         first.select("root", "first.doc_id", "first.text_hash").alias("a")
         .join(
@@ -242,7 +242,7 @@ def one_of_each(
             & (F.col("a.text_hash") == F.col("b.text_hash")),
         )
         .select(
-            F.col("a.doc_id").alias("__id"), F.col("a.text_hash").alias("__hash"), "times"
+            F.col("a.doc_id").alias("__id"), F.col("a.text_hash").alias("__hash"), "__times"
         ),
         "chosen",
     )
@@ -251,7 +251,7 @@ def one_of_each(
         chosen,
         keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__text_hash"] == chosen["__hash"]),
     )
-    single = kept.where("times = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.where("times > 1")
+    single = kept.where("__times = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = kept.where("__times > 1")
     first_copy = repeated.dropDuplicates(["__id", "__hash"])
     return single.union(first_copy.select(*[F.col(f"`{c}`") for c in docs.columns]))
