@@ -8,7 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tipweave.functions.phrases import contains_any, equals_any, starts_with_any
+from tipweave.functions.phrases import (
+    any_true,
+    contains_all,
+    contains_any,
+    equals_any,
+    starts_with_any,
+)
 from tipweave.functions.text import (
     SPACE,
     blank,
@@ -57,6 +63,7 @@ class NameRules:
     junk_prefixes: Sequence[str] = ()
     junk_phrases: Sequence[str] = ()
     junk_patterns: Sequence[str] = ()
+    junk_pairs: Sequence[tuple[str, str]] = ()
     generic_labels: Sequence[str] = ()
     label_patterns: Sequence[str] = ()
     generic_cuisine: Sequence[str] = ()
@@ -156,6 +163,7 @@ def is_junk_capture(c: Column, r: NameRules) -> Column:
         | starts_with_any(s, r.junk_prefixes)
         | contains_any(s, r.junk_phrases)
         | _any_pattern(s, r.junk_patterns)
+        | any_true(contains_all(s, pair) for pair in r.junk_pairs)
     )
 
 

@@ -555,3 +555,57 @@ CATEGORY_RULES = (
      ("זגגות", "זגג", "זכוכית", "לזגג",),
      ()),
 )
+
+# Phrases that are part of no venue name.
+REJECT_PHRASES = (
+    "דגים ופירות ים", "דגים ופרות ים", "הישנה שלכם", "הישן שלכם", "הנחמד הקרוב", "דיסק הקשיח",
+    "דילמה", "בתקופות", "מועדון אזורי לניצולי שואה", "בתעסוקה ומגורים", "חלוש ידבר איתך",
+    "כרגע בתקיפה ארצית של המנהל", "תקיפה ארצית של המנהל", "לבר ומהבר שוב למסעדה", "ל24 שעות",
+    "ל 24 שעות", "כבר ראיתי", "יטוחים", "יטחוני", "ימיינו", "ינוני", "יניהם", "יקורת", "כולנו",
+    "כושר", "ליבם", "מכונת קפה", "מכונות קפה", "קפסולות קפה", "קפה בקפסולות", "שקיות קפה",
+    "שקית קפה", "חבילות קפה", "חבילת קפה", "אבקת קפה", "אבקת נמס", "קפה נמס", "פולי קפה",
+    "סוגי קפה", "נספרסו", "פודים", "טורקי סגורות", "סגורות חדשות בתוקף", "בחגור גם",
+    "אחלה מוצרים", "מוצרים אחרים", "בגינה - לרוב", "ברוב האנשים אין גינה", "בחצר המשחקים",
+    "באוירה פסטורלית", "בבית יהושע בימי", "ביום שלישי אחהצ", "בימי סגורה", "באתר הזה",
+    "איטליה בסמוך", "בין השרון", "בין תל אביב", "בין הים", "בין רעננה", "עסק שעושה",
+    "שעושה משלוח", "שעושים משלוח", "שעושה שליח", "דרושים מלצר", "דרושים עובד", "דרושים ברמן",
+    "מחפשת מישהו", "מחפש מישהו", "האם באמת", "על האירנים", "על הדמוקרטיה", "על הדשא",
+    "על כל אנשי", "על כל גרם", "על עלובי", "עם דיוקים", "עם מאפים ועוגיות", "עם עוגות מעולות",
+    "עם חדר פרטי", "עם שליחויות", "של המוזיאון", "של המכולת", "של הבן שלי", "של מילואמניק",
+    "של חומוס שגם", "של ישראלי אבל", "של גיסי", "של שגב", "vcf", ".vcf", "http://", "https://",
+    "whatsapp", "לכל שימוש אחר", " חדר פרטי ", " חדר נפרד ", " לארוחת ", " למשפחה ", " עם ילדים ",
+    " שאפשר למצוא ", " שאפשר להזמין ", "שאפשר לקחת אליה אור", "שאפשר לקחת אליו אור",
+    "שאפשר לקחת אליה אורח", "שאפשר לקחת אליו אורח", " שאפשר לקחת אליה ", " שאפשר לקחת אליו ",
+    "המלצתכן למסעד", "אנא המלצתכן", " שפתוחה בשישי ", " שפתוח בשבת ", " קרובה למשפחה ",
+    " קרוב לרכבת ", " קרוב עם אפשרות ", " משהו חצי הדרך ", " עד תל אביב ", " בסביבה (",
+    " באזורנו ", "באזורינו", "באזורנו", "באזורכם", "באזורכן", "באזורם", "באזורה", "באזורו",
+    "באיזורנו", "באיזורכם", "באיזורכן", "באיזורם", "באיזורה", "באיזורו", "איטלקית קטנה וחמודה",
+    "איטלקית ממש משפחתית נחמדה וטעימה", "אינטימית ומאד טובה באזור", "אירנית כנראה",
+    "כנראה של הודעות", "הפרות כביכול", "אם הילדים שלנו", "אם משאירים", "אם זה", "אצלך סבירה",
+    "אצל השכנה", "את הכלבים שלי", "את הקפוצ'ינו", "את רותי", "מסתובבת חופשי", "מסתובב חופשי",
+    " בשיכון ", " באיזורנו ", "מיוחדת היא מסעדת", "וארגוני המחאה", " אחים לנשק",
+    "מטבח מבשל באולם", "אולם אירועים אביגדור",
+)
+
+# Phrases of talk, time and other topics that are no venue.
+CHAT_PHRASES = (
+    "מעל שבועיים", "מעל שבוע", "מאות עסקים של", "מפגשים 7", "מעולה (כבר אמרנו", "מעולה ומומלצת",
+    "מעולה צריך להזמין", "מצוינת וגדולה", "מצוות", "מקביל", "מרחב", "מהמכונה", "מתקרר", "מדעי ☕",
+    "מוסיקה", "מחלקות", "נושא", "נחת", "ניקיון", "נקראת", "נסגר", "נתניה מגיע הביתה", "סבלנות",
+    "סדרה", "סוכות", "סיפוק", "עבורנו", "עצמאות", "עצמם", "עצמנו", "פוסט", "פקק", "פתוחה הבוקר",
+    "פתוחה עכשיו", "פתוחים ביום ששי", "קצת כסף", "תחום", "תחפושת", "תשלום", "תמיכתו",
+    "תעמוד לרשות", "יוצא גם הוא לחופש", "כתובת", "רומז לנו", "שיתוק", "שלטון", "שפע",
+    "שצריכה להגיע", "שקרוב לפארק", "תופרת ושם", "למי שכבר מורגל", "למעט לקוחות", "למפקד הקרוב",
+    "לשעבר", "מי שרוצה מוזמנת", "מילואימניקים", "מי שכבר", "שלא שומרים", "ששנראית מתוקה",
+    "שליד הגן", "נמצאת ב w hotel", "טובה ליד", "ליפשיץ הנהדר", "ליפשיץ כמובן", "ליפשיץ פתוח",
+    "ליפשיץ פתוח מחר", "ליפשיץ🙏", "ליפשיץ במכולת", "ליפשיץ במקולת", "מה זה טעים", "מגניב ☕",
+    "מגניב לארוחות", "מונטיפיורי ועוד", "מוצ''ש", "מצד ימין בשר", "מקסיקנית של המאכל", "מתיתיהו",
+    "נאדי 4", "נעי ם", "סגורה והחל", "עוטף - נתיב", "עושה משלוחים של אוכל", "פלאזה ליד גן",
+    "פופולר תל אביב", "פיאנו פיאנו", "פייבוקס", "פסטה לוקו", "צבעים בקפה", "צרפתי מאלף",
+    "קוקו בתוך hotel", "קטן ו2 כורסאות", "קלילה אז יש", "קפה עושה שלום", "קפה שושה", "ראסרי",
+    "רדיוס", "רומנטית משהו", "רמב״ן גם טובה", "שבחוות הסוסים", "שבט", "שבילך", "שבילכם",
+    "שושה בצופית", "שיאה", "שייקים גלידה", "ששולחים דרך wolt", "תאילנדית חדשה בנתניה", "תל יצחק",
+    "תמונות", "בתא בצמרות", "בשם burger station", "בורגרז בטירה", "בטירה בשם", "הכי שוות ברדיוס",
+    "המדרחוב בכפר", "המדרחוב משעה", "המוכר מאפים", "החדש במושב", "החדש בצופית", "היוונית במתחם",
+    "מדליקה בסביבה",
+)
