@@ -126,15 +126,29 @@ def test_note_fold_equals_loop(spark, max_notes):
     b, l = spark.createDataFrame(base, schema), spark.createDataFrame(later, schema)
     order = ["chat_id", "msg_seq", "pos"]
     kept = fold_notes(b, l, "k", order, "note", max_notes)
-    parts = note_texts(kept, "k", order, "note", width=16).orderBy("k", "part").collect()
+    texts = {r.k: r.note for r in note_texts(kept, "k", order, "note", width=16).collect()}
     heads = {r.k: r.note for r in note_heads(kept, "k", order, "note", 30).collect()}
     for k, _, _, _, text in base:
         want = _fold(text, [n for kk, _, _, _, n in later if kk == k])
-        got = " | ".join(r.note for r in parts if r.k == k)
-        assert got == want
+        assert texts[k] == want
         assert heads[k] == want[:30]
-    if max_notes == 512:
-        assert all(r.part == 0 for r in parts)
+
+
+@pytest.mark.parametrize("n", [510, 512, 513, 515, 2100])
+def test_no_note_is_lost_at_any_number(spark, n):
+    schema = "k string, chat_id string, msg_seq long, pos int, note string"
+    base = spark.createDataFrame([("k", "c", 0, 0, "base")], schema)
+    later = spark.createDataFrame([("k", "c", i, 0, f"note {i:05d}") for i in range(1, n + 1)], schema)
+    order = ["chat_id", "msg_seq", "pos"]
+    [row] = note_texts(fold_notes(base, later, "k", order, "note"), "k", order, "note").collect()
+    assert row.note == " | ".join(["base", *[f"note {i:05d}" for i in range(1, n + 1)]])
+
+
+def test_merged_notes_are_whole(spark):
+    rows = [(i, "Dan Cohen", f"05000{i % 2}", "x", False, f"note {i:05d}", "") for i in range(600)]
+    schema = "seq long, name string, phone string, field string, from_local boolean, note string, extra_info string"
+    [row] = dup.apply_merge(spark.createDataFrame(rows, schema))[0].collect()
+    assert row.note == " | ".join(f"note {i:05d}" for i in range(600))
 
 
 RULES = [

@@ -152,8 +152,11 @@ def match_by_grams(
     occurrence is checked. Keywords shorter than a gram meet on themselves.
     Returns ``row_id, priority, label, keyword, n``.
     """
-    numbered = rules.filter("keyword <> ''").select(
-        F.col("priority").cast("long").alias("priority"), "label", "keyword"
+    guard = F.col("guard") if "guard" in rules.columns else F.lit(None).cast("string")
+    numbered = (
+        rules.filter("keyword <> ''")
+        .groupBy(F.col("priority").cast("long").alias("priority"), "label", "keyword", guard.alias("guard"))
+        .agg(F.count(F.lit(1)).alias("_times"))
     )
     offered = numbered.withColumn(
         "_gram",
@@ -166,7 +169,7 @@ def match_by_grams(
     shared = offered.groupBy("_gram").agg(F.count(F.lit(1)).alias("_sharing"))
     anchors = (
         offered.join(shared, "_gram")
-        .groupBy("priority", "label", "keyword")
+        .groupBy("priority", "label", "keyword", "guard", "_times")
         .agg(F.min_by("_gram", F.struct("_sharing", "_gram")).alias("_gram"))
     )
     # The exploded side is far bigger than the planner can know, so the rule side is the one to
@@ -176,16 +179,16 @@ def match_by_grams(
     )
     built = broadcast_if_small(anchors, MAX_BROADCAST_RULES, otherwise="shuffle_hash")
     candidates = spread.join(built, "_gram").drop("_gram")
+    # A guarded keyword counts where its guard matches, which is where the keyword stands alone.
+    n = F.when(F.col("guard").isNull(), occurrences(F.col(text), F.col("keyword"))).otherwise(
+        F.regexp_count(F.col(text), F.coalesce("guard", F.lit("")))
+    )
     return (
         candidates.join(texts.select(row_id, text), row_id)
         .filter(F.contains(text, F.col("keyword")))
-        .select(
-            row_id,
-            "priority",
-            "label",
-            "keyword",
-            occurrences(F.col(text), F.col("keyword")).cast("long").alias("n"),
-        )
+        .withColumn("n", n.cast("long") * F.col("_times"))
+        .filter("n > 0")
+        .select(row_id, "priority", "label", "keyword", "n")
     )
 
 
@@ -195,12 +198,14 @@ def vote_from_matches(matches: DataFrame, row_id: str) -> DataFrame:
         F.sum("n").alias("n"), F.min("priority").alias("first")
     )
     return totals.groupBy(row_id).agg(
-        F.max_by("label", F.struct("n", -F.col("first"))).alias("label")
+        F.max(F.struct("n", -F.col("first"), "label"))["label"].alias("label")
     )
 
 
 def first_from_matches(matches: DataFrame, row_id: str) -> DataFrame:
-    return matches.groupBy(row_id).agg(F.min_by("label", "priority").alias("label"))
+    return matches.groupBy(row_id).agg(
+        F.min(F.struct("priority", "label"))["label"].alias("label")
+    )
 
 
 def label_rows(df: DataFrame, row_id: str, text: str, rules: DataFrame, mode: str) -> DataFrame:

@@ -107,8 +107,7 @@ def _ordered_pairs(tokens: Column) -> Column:
 
 def _inside(shorts: DataFrame, longs: DataFrame, blocks: Column) -> DataFrame:
     """Ordered subsequences: each short name meets the long ones on its rarest block."""
-    # One shuffle by block serves the count and both joins.
-    offered = longs.withColumn("_block", F.explode(blocks)).repartition("norm_field", "_block")
+    offered = longs.withColumn("_block", F.explode(blocks))
     common = offered.groupBy("norm_field", "_block").agg(F.count(F.lit(1)).alias("_n"))
     wanted = shorts.withColumn("_block", F.explode(blocks))
     rarest = (
@@ -383,7 +382,7 @@ def merge_members(k: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFram
     """One merged record per group, its phones, and its notes.
 
     Returns ``merged`` (scalars), ``phones`` (``group_id, phone`` with the sort key) and ``notes``
-    (``group_id, part, note``). Members are the rows of the group's triples.
+    (``group_id, note``). Members are the rows of the group's triples.
     """
     rows = members.join(k, ["norm_field", "norm_name", "norm_phone"])
     name, extra, field = blank(F.col("name")), strip(blank(F.col("extra_info"))), blank(F.col("field"))
@@ -413,10 +412,8 @@ def merge_members(k: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFram
         .groupBy("group_id", "_note")
         .agg(F.min("_seq").alias("_seq"))
     )
-    big = said.groupBy("group_id").count().filter("count > 512").select("group_id", F.lit(True).alias("_big"))
-    ordered = said.join(big, "group_id", "left").select(
-        "group_id", "_seq", F.lit(0).alias("_tie"), F.col("_note").alias("note"),
-        F.coalesce("_big", F.lit(False)).alias("many"),
+    ordered = said.select(
+        "group_id", "_seq", F.lit(0).alias("_tie"), F.col("_note").alias("note")
     )
     return merged, phones, note_texts(ordered, "group_id", ["_seq", "_tie"], "note")
 
@@ -432,15 +429,17 @@ def apply_merge(entries: DataFrame, seq: str = "seq", generic: Sequence[str] = G
     groups, members = all_groups(triples(k), generic)
     holders = members.filter("norm_phone <> ''").join(groups, "group_id")
     owner = holders.groupBy("norm_phone").agg(F.max_by("group_id", "rank").alias("group_id"))
-    placed = k.join(owner, "norm_phone", "left")
+    # Rows without a phone have no owner; they stay out of the join, where they would all meet.
+    called, silent = k.filter("norm_phone <> ''"), k.filter("norm_phone = ''")
+    placed = called.join(owner, "norm_phone", "left").unionByName(
+        silent.withColumn("group_id", F.lit(None).cast("string"))
+    )
     positions = placed.filter("group_id IS NOT NULL").groupBy("group_id").agg(
         F.min("_seq").alias("_seq")
     )
     live = durable(members.join(positions, "group_id", "left_semi"))
     merged, phones, notes = merge_members(k, live)
-    out = merged.join(positions, "group_id").join(
-        notes.filter("part = 0").select("group_id", "note"), "group_id", "left"
-    )
+    out = merged.join(positions, "group_id").join(notes, "group_id", "left")
     columns = ["group_id", "name", "phone", "field", "from_local", "note", "extra_info", "_seq"]
     untouched = placed.filter("group_id IS NULL").select(columns)
     catalogue = untouched.unionByName(
@@ -449,13 +448,10 @@ def apply_merge(entries: DataFrame, seq: str = "seq", generic: Sequence[str] = G
     return catalogue, phones, notes
 
 
-def nest_phones(catalogue: DataFrame, phones: DataFrame, most: int = 10_000) -> DataFrame:
-    """Catalogue with ``phones`` as an array where a record has more than one.
-
-    A record with more than ``most`` phones has them in the ``phones`` table only.
-    """
+def nest_phones(catalogue: DataFrame, phones: DataFrame) -> DataFrame:
+    """Catalogue with ``phones`` as an array where a record has more than one."""
     sizes = phones.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
-    listed = phones.join(sizes.filter(F.col("_n").between(2, most)), "group_id", "left_semi")
+    listed = phones.join(sizes.filter(F.col("_n") > 1), "group_id", "left_semi")
     in_order = F.array_sort(F.collect_list(F.struct("sort_key", "norm_phone")))
     lists = listed.groupBy("group_id").agg(
         F.transform(in_order, lambda p: p["norm_phone"]).alias("phones")

@@ -68,20 +68,14 @@ def bodies(ctx: Column) -> Column:
 
 def with_contacts(mentions: DataFrame, keyed_contacts: DataFrame) -> DataFrame:
     """Contact by file name, else by name without the suffix; mentions of unknown cards drop."""
-    by_file = keyed_contacts.select(F.col("key").alias("_k1"), F.col("contact").alias("_c1"))
-    by_stem = keyed_contacts.select(F.col("key").alias("_k2"), F.col("contact").alias("_c2"))
     full = strip(F.lower("vcf_name"))
-    found = (
-        mentions.withColumn("_k1", full)
-        .join(by_file, "_k1", "left")
-        .withColumn(
-            "_k2", F.when(F.col("_c1").isNull(), F.replace(full, F.lit(".vcf"), F.lit("")))
-        )
-        .join(by_stem, "_k2", "left")
-        .withColumn("contact", F.coalesce("_c1", "_c2"))
-        .filter(F.col("contact").isNotNull())
-        .drop("_k1", "_k2", "_c1", "_c2")
-    )
+    named = mentions.withColumn("key", full).filter(F.col("key").isNotNull())
+    contacts = keyed_contacts.select("key", "contact")
+    by_file = named.join(contacts, "key")
+    # Only what the first join leaves over is looked up again, by a key of its own.
+    rest = named.join(contacts, "key", "left_anti")
+    by_stem = rest.withColumn("key", F.replace("key", F.lit(".vcf"), F.lit(""))).join(contacts, "key")
+    found = by_file.unionByName(by_stem).filter(F.col("contact").isNotNull()).drop("key")
     stem = strip(F.replace("vcf_name", F.lit(".vcf"), F.lit("")))
     name = name_from_first_letter(F.coalesce(non_blank(F.col("contact.name")), stem))
     return found.withColumn("name", F.coalesce(non_blank(name), stem))

@@ -25,13 +25,13 @@ def fold_notes(
     note: str,
     max_notes: int = MAX_NOTES_PER_ROW,
 ) -> DataFrame:
-    """Notes that stay after folding, one row each: ``key, order…, note, many``.
+    """Notes that stay after folding, one row each: ``key, order…, note``.
 
     ``base`` has one row per key, whose note always stays; a later note stays unless it is empty or
     an earlier note already says it. Equal notes are merged before anything is grouped. A key with
     up to ``max_notes`` different notes is folded in one row; the notes of a bigger key never meet
     in one place: each is compared, by a join on a rare run of letters, with the notes that can
-    contain it (``many`` is true for these keys).
+    contain it.
     """
     base = durable(base.select(key, *order, note))
     texts = base.select(key, F.col(note).alias("_base"))
@@ -52,16 +52,14 @@ def fold_notes(
         .join(texts, key)
     )
     kept_few = folded.select(key, F.explode(_keep_new("_base", "_all")).alias("_kept")).select(
-        key, "_kept._order", F.col("_kept._note").alias(note), F.lit(False).alias("many")
+        key, "_kept._order", F.col("_kept._note").alias(note)
     )
-    first = base.select(key, F.struct(*order).alias("_order"), note, F.lit(False).alias("many"))
+    first = base.select(key, F.struct(*order).alias("_order"), note)
     kept = first.unionByName(kept_few)
     if any_big:
         many = durable(distinct.join(big, key, "left_semi"))
-        kept = kept.unionByName(
-            _not_contained(many, key, "_order", note).withColumn("many", F.lit(True))
-        )
-    return kept.select(key, *[F.col(f"_order.{o}").alias(o) for o in order], note, "many")
+        kept = kept.unionByName(_not_contained(many, key, "_order", note))
+    return kept.select(key, *[F.col(f"_order.{o}").alias(o) for o in order], note)
 
 
 def _keep_new(base: str, notes: str) -> Column:
@@ -88,7 +86,7 @@ def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFra
         key,
         order,
         F.explode(grams(F.col(note), lengths)).alias("_run"),
-    ).repartition(key, "_run")
+    )
     size, middle = F.length(note), max(_SHORT_GRAMS)
     own = (
         F.when(size >= _LONG_GRAM, grams(F.col(note), [_LONG_GRAM]))
@@ -123,27 +121,23 @@ def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFra
 def note_texts(
     kept: DataFrame, key: str, order: Sequence[str], note: str, width: int = PART_WIDTH
 ) -> DataFrame:
-    """``key, part, note``: the folded text of each contact.
+    """``key, note``: the whole folded text of each contact, whatever the number of its notes.
 
-    A contact has one part, number 0. Only a contact with very many notes has more; its parts
-    follow ranges of the last-but-one order column, so no part can grow without bound.
+    Notes are put together by ranges of the last-but-one order column first, so no task sorts all
+    notes of a big contact; what then meets by contact is the finished parts.
     """
     spans = [F.col(o) for o in order[:-2]] + [F.floor(F.col(order[-2]) / width).cast("long")]
-    span = F.when(F.col("many"), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(spans)]))
     parts = (
-        kept.withColumn("_span", span)
+        kept.withColumn("_span", F.struct(*[s.alias(f"s{i}") for i, s in enumerate(spans)]))
         .groupBy(key, "_span")
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_order"), note))).alias("_all")
-        )
-        .select(
-            key,
-            "_span",
-            F.array_join(F.transform("_all", lambda n: n[note]), SEPARATOR).alias(note),
-        )
+        .agg(_in_order(F.struct(*order), note).alias("_part"))
     )
-    by_span = Window.partitionBy(key).orderBy(F.col("_span").asc_nulls_first())
-    return parts.withColumn("part", F.row_number().over(by_span) - 1).select(key, "part", note)
+    return parts.groupBy(key).agg(_in_order(F.col("_span"), "_part").alias(note))
+
+
+def _in_order(place: Column, text: str) -> Column:
+    texts = F.array_sort(F.collect_list(F.struct(place.alias("_at"), F.col(text).alias("_text"))))
+    return F.array_join(F.transform(texts, lambda n: n["_text"]), SEPARATOR)
 
 
 def note_heads(

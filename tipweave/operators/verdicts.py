@@ -26,6 +26,7 @@ from tipweave.operators.venues import (
     place_near_name,
 )
 
+# Patterns of the parts of an answer that is no clean object.
 _TEXT = r"""["']?%s["']?\s*:\s*"((?:[^"\\]|\\.)*)\""""
 _INCLUDE = r"""(?i)["']?include["']?\s*[:=]\s*(true|false)\b"""
 VENUES_SCHEMA = (
@@ -51,27 +52,33 @@ def read_verdict(raw: Column) -> Column:
     A readable object is taken as it is; otherwise the parts are picked out of the text.
     """
     text = strip(blank(raw))
-    parsed = F.from_json(
-        json_object(raw), "struct<include: string, field: string, reason: string>"
+    found = json_object(raw)
+    parsed = F.from_json(found, "struct<include: string, field: string, reason: string>")
+    readable = F.try_parse_json(F.when(found != "", found)).isNotNull()
+    # A text counts by being there, even the text "false"; other values by being no zero.
+    value = blank(parsed["include"])
+    written = found.rlike(r'"include"\s*:\s*"')
+    truth = F.when(written, value != "").otherwise(
+        ~F.lower(value).isin("", "false", "null", "[]", "{}")
+        & (F.coalesce(value.try_cast("double"), F.lit(1.0)) != 0)
     )
-    strict = parsed["include"]
     blob = F.coalesce(non_blank(F.regexp_extract(text, r"(?s)(\{.*\})", 1)), text)
-    loose = F.coalesce(
+    loose = F.lower(F.coalesce(
         non_blank(F.regexp_extract(blob, _INCLUDE, 1)), non_blank(F.regexp_extract(text, _INCLUDE, 1))
-    )
+    ))
 
     def picked(key: str) -> Column:
-        found = _unescape(F.regexp_extract(blob, "(?s)" + _TEXT % key, 1))
-        return F.when(strict.isNotNull(), blank(parsed[key])).otherwise(found)
+        taken = _unescape(F.regexp_extract(blob, "(?s)" + _TEXT % key, 1))
+        return strip(F.when(readable, blank(parsed[key])).otherwise(taken))
 
-    include = F.lower(F.coalesce(strict, loose))
+    include = F.coalesce(F.when(readable, truth).otherwise(loose == "true"), F.lit(False))
+    judged = (readable | loose.isNotNull()) & (text != "")
     return F.struct(
-        (include == "true").alias("include"),
-        F.when(include.isNotNull(), picked("field")).alias("field"),
-        F.when(include.isNotNull(), picked("reason")).alias("reason"),
-        F.when(text == "", "empty answer")
-        .when(include.isNull(), "no verdict in the answer")
-        .alias("error"),
+        F.when(judged, include).alias("include"),
+        # Only an included mention has a category.
+        F.when(judged, F.when(include, picked("field")).otherwise("")).alias("field"),
+        F.when(judged, picked("reason")).alias("reason"),
+        F.when(text == "", "empty answer").when(~judged, "no verdict in the answer").alias("error"),
     )
 
 

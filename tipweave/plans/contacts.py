@@ -91,7 +91,7 @@ def build_contacts(
         first.withColumn("_first_field", cat.guarded(at_first, F.col("name"), F.col("note"), r.guards))
         .withColumn("from_local", local)
         .drop("note")
-        .join(texts.filter("part = 0").drop("part"), "phone_key")
+        .join(texts, "phone_key")
         .join(heads, "phone_key")
         .join(grown, "phone_key")
     )

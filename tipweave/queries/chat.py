@@ -340,7 +340,7 @@ FOLD_NOTE = "CASE WHEN value < 5 THEN event_type ELSE event_type || ' ' || props
     "note_fold",
     f"""
     WITH e AS (SELECT user_id, event_id, {FOLD_NOTE} AS note FROM events)
-    SELECT user_id, CAST(0 AS INTEGER) AS part,
+    SELECT user_id,
       list_reduce(list(note ORDER BY event_id),
         lambda acc, n: CASE WHEN contains(acc, n) THEN acc ELSE acc || ' | ' || n END) AS note
     FROM e GROUP BY user_id

@@ -436,12 +436,24 @@ def empty_category_report(spark, folder):
 
 
 def answers(spark, folder):
-    """Answers around the event properties: clean, fenced, in prose, unquoted, empty."""
+    """Answers around the event properties: clean, fenced, in prose, unquoted, empty.
+
+    In the objects ``include`` is a truth value, a number, a text (of which only the empty one is
+    false, as the text "false" is not) or null.
+    """
     e = table(spark, folder, "events")
     k = F.regexp_extract("props", r"(\d+)", 1)
     yes = F.when(F.col("value") < 10, "true").otherwise("false")
+    low, kind = F.col("value") < 10, F.col("event_id") % 5
+    include = (
+        F.when(kind == 0, yes)
+        .when(kind == 1, F.when(low, "1").otherwise("0"))
+        .when(kind == 2, F.when(low, '"yes"').otherwise('""'))
+        .when(kind == 3, '"false"')
+        .otherwise("null")
+    )
     obj = F.concat(
-        F.lit('{"include": '), yes, F.lit(', "field": "f'), k, F.lit('", "reason": "kind '),
+        F.lit('{"include": '), include, F.lit(', "field": "f'), k, F.lit('", "reason": "kind '),
         "event_type", F.lit('"}'),
     )
     raw = (
@@ -457,15 +469,17 @@ def answers(spark, folder):
 @query(
     "verdict_parse",
     r"""
-    SELECT event_id,
-      CASE WHEN event_type <> 'error' THEN value < 10 END AS include,
-      CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN ''
+    WITH judged AS (
+      SELECT *, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN value < 10
+        WHEN event_id % 5 < 3 THEN value < 10 ELSE event_id % 5 = 3 END AS include FROM events)
+    SELECT event_id, include,
+      CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' OR NOT include THEN ''
            ELSE 'f' || regexp_extract(props, '([0-9]+)', 1) END AS field,
       CASE WHEN event_type = 'error' THEN NULL
            WHEN event_type = 'signup' THEN 'a "b" ' || regexp_extract(props, '([0-9]+)', 1)
            ELSE 'kind ' || event_type END AS reason,
       CASE WHEN event_type = 'error' THEN 'empty answer' END AS error
-    FROM events
+    FROM judged
     """,
 )
 def verdict_parse(spark, folder):

@@ -23,9 +23,13 @@ def escape(c: Column) -> Column:
 
 
 def card_text(name: Column, phones: Column, field: Column, extra: Column) -> Column:
-    """vCard 3.0 text, null without a usable phone. The first mobile is the preferred number."""
-    listed = F.slice(
-        F.filter(F.transform(phones, lambda p: strip(blank(p))), lambda p: p != ""), 1, MOST_PHONES
+    """vCard 3.0 text, null without a usable phone. The first mobile is the preferred number.
+
+    Of a phone list the first ``MOST_PHONES`` count, blank ones among them; ``split_phones`` drops
+    blanks before that cut.
+    """
+    listed = F.filter(
+        F.transform(F.slice(phones, 1, MOST_PHONES), lambda p: strip(blank(p))), lambda p: p != ""
     )
     numbers = F.filter(F.transform(listed, international), lambda p: p != "")
     mobiles = F.transform(numbers, lambda p: is_mobile(p))
@@ -59,7 +63,10 @@ def card_text(name: Column, phones: Column, field: Column, extra: Column) -> Col
 
 
 def split_phones(all_phones: Column) -> Column:
-    return F.split(blank(all_phones), r"\|")
+    """The phones of a text that joins them by bars."""
+    return F.filter(
+        F.transform(F.split(blank(all_phones), r"\|"), lambda p: strip(p)), lambda p: p != ""
+    )
 
 
 def write_cards(cards: DataFrame, card: str, path: str) -> None:
