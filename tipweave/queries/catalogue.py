@@ -176,10 +176,13 @@ def changelog_latest(spark, folder):
 )
 def add_conflicts(spark, folder):
     key = lambda n: F.concat(F.lit("05"), F.lpad(n.cast("string"), 8, "0"))
-    cat = table(spark, folder, "customer").filter("c_acctbal > 1000").select(
-        key(F.col("c_custkey")).alias("phone"),
+    # Customers with little money have phones that no request has.
+    rich = F.col("c_acctbal") > 1000
+    far = lambda k: F.when(rich, k).otherwise(F.concat(F.lit("07"), F.substring(k, 3, 8)))
+    cat = table(spark, folder, "customer").select(
+        far(key(F.col("c_custkey"))).alias("phone"),
         F.lit(None).cast("string").alias("phone_display"),
-        F.array(key(10 * F.col("c_nationkey") + 7000)).alias("phones"),
+        F.array(far(key(10 * F.col("c_nationkey") + 7000))).alias("phones"),
     )
     o = table(spark, folder, "orders")
     requests = o.select(
@@ -252,9 +255,9 @@ VOTE_EVENTS_SQL = f"""
   d AS (SELECT item_key, seq, row_number() OVER (PARTITION BY item_key ORDER BY seq) AS rn,
           CAST(next = 'like' AS INT) - CAST(prev = 'like' AS INT) AS dl,
           CAST(next = 'dislike' AS INT) - CAST(prev = 'dislike' AS INT) AS dd FROM ok),
-  st AS (SELECT CAST(c_custkey AS VARCHAR) AS item_key, greatest(c_nationkey - 10, 0) AS likes,
+  st AS (SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'old ' ELSE '' END || c_custkey AS item_key, greatest(c_nationkey - 10, 0) AS likes,
            coalesce(CASE WHEN c_acctbal > 2000 THEN CAST(floor(c_acctbal / 1000) AS INT) END, 0) AS dislikes
-         FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+         FROM customer),
   run(item_key, rn, seq, likes, dislikes) AS (
     SELECT k.item_key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), coalesce(st.likes, 0), coalesce(st.dislikes, 0)
     FROM (SELECT DISTINCT item_key FROM d) k LEFT JOIN st USING (item_key)
@@ -285,15 +288,19 @@ def vote_events(events):
 
 
 def vote_targets(spark, folder):
-    return table(spark, folder, "customer").filter("c_acctbal >= 0").select(
-        F.lit("entry").alias("item_type"), F.col("c_custkey").cast("string").alias("item_key")
+    # Customers in debt are listed under keys that no event has.
+    lead = F.when(F.col("c_acctbal") < 0, "old ").otherwise("")
+    return table(spark, folder, "customer").select(
+        F.lit("entry").alias("item_type"),
+        F.concat(lead, F.col("c_custkey").cast("string")).alias("item_key"),
     )
 
 
 def stored_votes(spark, folder):
-    return table(spark, folder, "customer").filter("c_mktsegment <> 'MACHINERY'").select(
+    lead = F.when(F.col("c_mktsegment") == "MACHINERY", "old ").otherwise("")
+    return table(spark, folder, "customer").select(
         F.lit("entry").alias("item_type"),
-        F.col("c_custkey").cast("string").alias("item_key"),
+        F.concat(lead, F.col("c_custkey").cast("string")).alias("item_key"),
         (F.col("c_nationkey") - 10).cast("long").alias("likes"),
         F.when(F.col("c_acctbal") > 2000, F.floor(F.col("c_acctbal") / 1000)).alias("dislikes"),
     )
@@ -355,8 +362,8 @@ def catalog_with_votes(spark, folder):
 @query(
     "orphan_votes",
     """
-    SELECT CAST(c_custkey AS VARCHAR) AS item_key FROM customer
-    WHERE c_mktsegment <> 'MACHINERY' AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)
+    SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'old ' ELSE '' END || c_custkey AS item_key FROM customer
+    WHERE c_mktsegment = 'MACHINERY' OR c_custkey NOT IN (SELECT s_suppkey FROM supplier)
     """,
 )
 def orphan_votes(spark, folder):

@@ -315,10 +315,12 @@ def local_mentions(spark, folder):
     """,
 )
 def mention_contact_join(spark, folder):
-    c = table(spark, folder, "customer").filter("c_acctbal >= 0")
+    c = table(spark, folder, "customer")
+    # Cards of customers in debt lie under names that no order mentions.
+    lead = F.when(F.col("c_acctbal") < 0, "cards/old ").otherwise("cards/")
     suffix = F.when(F.col("c_mktsegment") == "BUILDING", ".vcf.vcf").otherwise(".VCF")
     cards = c.select(
-        F.concat(F.lit("cards/"), "c_name", suffix).alias("file_path"),
+        F.concat(lead, "c_name", suffix).alias("file_path"),
         F.lit(0).alias("card_no"),
         F.col("c_name").alias("fn"),
         F.lit("").alias("n_name"),

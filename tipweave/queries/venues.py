@@ -302,8 +302,9 @@ def _venues(spark, folder):
 
 def _websites(spark, folder):
     c = table(spark, folder, "customer")
-    return c.filter("c_acctbal > 3000").select(
-        F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name"),
+    shown = F.when(F.col("c_acctbal") > 3000, "Supplier").otherwise("Shop")
+    return c.select(
+        F.replace("c_name", F.lit("Customer"), shown).alias("name"),
         F.when(F.col("c_mktsegment") == "BUILDING", "")
         .otherwise(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".example.org")))
         .alias("website"),
@@ -311,9 +312,10 @@ def _websites(spark, folder):
 
 
 SITES_SQL = """
-  site AS (SELECT replace(c_name, 'Customer', 'Supplier') AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN ''
+  site AS (SELECT replace(c_name, 'Customer', CASE WHEN c_acctbal > 3000 THEN 'Supplier' ELSE 'Shop' END)
+             AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN ''
              ELSE 'https://' || lower(c_mktsegment) || '.example.org' END AS website
-           FROM customer WHERE c_acctbal > 3000)
+           FROM customer)
 """
 
 
@@ -388,7 +390,7 @@ def evidence_verdicts(spark, folder):
     WITH {LINKS_SQL},
     vocab AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(title, '\\([^)]*\\)', ' ', 'g'),
             '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g')), '\\s+')) AS token FROM l),
-    d AS (SELECT DISTINCT name, list_filter(tokens, lambda x: length(x) >= 5) AS tokens FROM t)
+    d AS (SELECT DISTINCT name, list_filter(tokens, lambda x: length(x) >= 2) AS tokens FROM t)
     SELECT DISTINCT name FROM d WHERE len(tokens) = 0 OR EXISTS (
       SELECT 1 FROM vocab WHERE list_contains(d.tokens, token))
     """,
@@ -397,7 +399,7 @@ def web_evidence(spark, folder):
     links = _links(spark, folder)
     names = links.select("name").distinct()
     return ev.keep_mentioned(
-        names.withColumn("id", F.col("name")), "id", "name", links, "title", min_length=5
+        names.withColumn("id", F.col("name")), "id", "name", links, "title"
     ).select("name")
 
 
@@ -411,8 +413,10 @@ def web_evidence(spark, folder):
     """,
 )
 def evidence_cache(spark, folder):
-    nation = table(spark, folder, "nation").filter("n_regionkey < 4")
-    where = F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"))
+    nation = table(spark, folder, "nation")
+    # Verdicts on nations of the last region are kept under places that no row has.
+    kind = F.when(F.col("n_regionkey") < 4, "nation ").otherwise("country ")
+    where = F.concat(kind, F.col("n_nationkey").cast("string"))
     cache = table(spark, folder, "supplier").join(
         nation, F.col("s_nationkey") == F.col("n_nationkey")
     ).select(evidence_key(F.col("s_name"), where).alias("key"), (F.col("n_regionkey") > 1).alias("ok"))
