@@ -19,6 +19,7 @@ of their own; extra columns are ignored unless named in ``keep``; an empty table
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,72 +41,90 @@ GENERATIONS = 10
 POPULATION = 5
 #: Bins filled less than this share are opened again in the next level.
 SLACK = 0.98
-#: Words whose ids a worker remembers; bounds its memory.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers; bounds its memory.
+REMEMBERED = 300_000
 
+# The white space pattern of byte-level vocabularies, a fixed value.
+_SPLIT = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 _ODD = re.compile(r"\s |^ ")
-_TAIL = re.compile(r"([^\W\d_])([.,;:!?%$&*#|)\]}\"]+)\Z")
+_ODD_ASCII = tuple(c + " " for c in " \n\t\r\v\f\x1c\x1d\x1e\x1f")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizers(path: str):
+    """The vocabulary of the file for whole texts, and a quicker reader of the same for words."""
+    import json
     import os
 
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their names in a text are ordinary text
-    return found
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True  # their names in a text are ordinary text
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model["added_tokens"] if t["special"]}
+    letters = _byte_letters()
+    ranks = {
+        bytes(letters[c] for c in token): i
+        for token, i in model["model"]["vocab"].items() if token not in special
+    }
+    return whole, tiktoken.Encoding(
+        "words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}
+    )
 
 
 class Encoder:
     """Ids of whole texts, with the ids of words remembered.
 
     Tokens never reach over the edge between a character and white space after it, so a text is
-    the sum of its words, each with the one space before it; nor over the edge between a letter
-    and the closing punctuation of a word. Texts with runs of white space are encoded in one go.
+    the sum of its words, each with the one space before it. Texts with runs of white space are
+    encoded in one go.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.whole, words = _tokenizers(path)
+        self.encode = words.encode_ordinary
         self.known: dict[str, bytes] = {}
 
-    def _new(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def _new(self, word: str) -> bytes:
+        ids = array("I", self.encode(word)).tobytes()
+        if len(self.known) < REMEMBERED:  # common words come early
+            self.known[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if _ODD.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if _odd(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]]
-        got = [self.known.get(w) for w in words]
-        if None in got:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            missing = {w for w, g in zip(words, got, strict=True) if g is None or not self.known}
-            split = {w: _TAIL.search(w) for w in missing}
-            parts = {w: (w[: m.start(2)], m[2]) for w, m in split.items() if m}
-            plain = {w for w in missing if w not in parts}
-            plain.update(x for pair in parts.values() for x in pair)
-            unknown = [w for w in plain if w not in self.known]
-            if unknown:
-                self._new(unknown)
-            for w, (head, tail) in parts.items():
-                self.known[w] = self.known[head] + self.known[tail]
-            got = [self.known[w] for w in words]
-        return b"".join(got)
+        words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _with_space(text)
+        known, new = self.known.get, self._new
+        return b"".join([known(w) or new(w) for w in words])
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _odd(text: str) -> bool:
+    """Is there white space before a space, or a space at the start?"""
+    if text.isascii():
+        return text[0] == " " or any(s in text for s in _ODD_ASCII)
+    return _ODD.search(text) is not None
+
+
+def _with_space(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 def _cutter(path: str, capacity: int, end: int, keep: list[pa.Field]):
@@ -120,7 +139,7 @@ def _cutter(path: str, capacity: int, end: int, keep: list[pa.Field]):
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = Encoder(path)
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
             kept = [batch.column(f.name).to_pylist() for f in keep]
