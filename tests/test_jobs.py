@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipweave.operators import category as cat
@@ -22,7 +23,8 @@ from tipweave.rules.loaders import aliases, extended, keyword_rules, norm_rules,
 from tipweave.sinks.catalogue import write_json
 from tipweave.sources.cards import contacts, parse_cards, read_cards
 from tipweave.sources.chat import read_chat
-from tipweave.streaming.changes import start_snapshots
+from tipweave.sources.catalogue import complete_numbers
+from tipweave.streaming.changes import current_catalogue, start_changes
 from tipweave.streaming.messages import stream_mentions, stream_venues
 from tipweave.streaming import votes as votes_stream
 from tipweave.streaming.votes import current_counters, start_counters
@@ -274,11 +276,33 @@ def test_change_stream_writes_versions(spark, folder):
     for i, change in enumerate([("051", 1, "edit", "field", "g", None), ("052", 2, "delete", None, None, None)]):
         spark.createDataFrame([change], ov.CHANGE_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/log")
     stream = spark.readStream.schema(ov.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/log")
-    start_snapshots(stream, base, f"{folder}/cat", f"{folder}/cp").awaitTermination()
-    rows = spark.read.parquet(f"{folder}/cat/batch=0000000001").collect()
+    start_changes(stream, f"{folder}/cat", f"{folder}/cp").awaitTermination()
+    rows = current_catalogue(spark, f"{folder}/cat", base).collect()
     assert [(r.name, r.field, r.phone) for r in rows] == [("A", "g", "051")]
 
 
+@pytest.mark.parametrize("size", [1, 2, 4, 9])
+def test_change_stream_does_not_depend_on_the_cut(spark, folder, size):
+    base = spark.createDataFrame(
+        [(i, f"N{i}", f"05{i}", None, "f", False, "n", "") for i in range(4)],
+        "seq long, name string, phone string, phones array<string>, field string, from_local boolean, note string, extra_info string",
+    )
+    log = [
+        ("050", 1, "edit", "phone", "0599", None), ("050", 2, "edit", "field", "g", None),
+        ("051", 3, "note", None, "of the overlay", None), ("051", 4, "edit", "note", "edited", None),
+        ("052", 6, "edit", "name", "newer", None), ("052", 5, "edit", "name", "older", None),
+        ("053", 7, "delete", None, None, None), ("053", 8, "edit", "name", "gone", None),
+        ("050", 9, "flag", None, "true", None),
+    ]
+    for i in range(0, len(log), size):
+        spark.createDataFrame(log[i : i + size], ov.CHANGE_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/log")
+    stream = spark.readStream.schema(ov.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/log")
+    start_changes(stream, f"{folder}/cat", f"{folder}/cp").awaitTermination()
+    got = sorted((r.name, r.phone, r.field, r.from_local, r.note) for r in current_catalogue(spark, f"{folder}/cat", base).collect())
+    assert got == [("N0", "0599", "g", True, "n"), ("N1", "051", "f", False, "of the overlay"), ("newer", "052", "f", False, "n")]
+    assert len(complete_numbers(spark, f"{folder}/cat", "batch")) <= 2
+
+
 def test_message_stream(spark, folder):
     messages = spark.createDataFrame(
         [

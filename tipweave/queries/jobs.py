@@ -18,7 +18,7 @@ from tipweave.queries.registry import any_contains, query, table, values
 from tipweave.runtime import fresh_path
 from tipweave.sources.cards import contacts
 from tipweave.sources.catalogue import with_legacy_column
-from tipweave.streaming.changes import current_snapshot, start_snapshots
+from tipweave.streaming.changes import current_catalogue, start_changes
 
 KEYWORDS = [r for r in text.KEYWORDS if r.keyword not in ("tion", "er", "en", "a")]
 RULE_TABLE = f"r(priority, keyword, label) AS (VALUES {values((r.priority, r.keyword, r.label) for r in KEYWORDS)})"
@@ -134,14 +134,17 @@ def judge_candidates(spark, folder):
     """,
 )
 def change_stream(spark, folder):
-    """The change log as a stream: the last snapshot is the merged catalogue."""
+    """The change log as a stream of several batches, which split the changes of a key."""
     base, _, changes = overlay_inputs(spark, folder)
     log = fresh_path(spark, "changes")
-    changes.write.parquet(log)
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1_000).parquet(log)
+    # The log in four files by the hash of a change: each key has changes in several of them.
+    changes.repartition(4, "key", "seq").write.parquet(log)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(log)
     root = fresh_path(spark, "snapshots")
-    start_snapshots(stream, base, root, fresh_path(spark, "snapshots-log")).awaitTermination()
-    return current_snapshot(spark, root).select("name", "phone", "field", "from_local", "note")
+    start_changes(stream, root, fresh_path(spark, "snapshots-log")).awaitTermination()
+    return current_catalogue(spark, root, base).select(
+        "name", "phone", "field", "from_local", "note"
+    )
 
 
 @query(

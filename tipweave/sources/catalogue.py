@@ -57,6 +57,15 @@ def folder_names(spark: SparkSession, root: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
 
+def drop_numbers(spark: SparkSession, root: str, kind: str, below: int) -> None:
+    """Remove the folders ``kind=<number>`` with smaller numbers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in folder_names(spark, root):
+        if n.startswith(f"{kind}=") and int(n.split("=")[1]) < below:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}"), True)
+
+
 def complete_numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
     """Numbers of the completely written folders ``kind=<number>``, in order."""
     return sorted(

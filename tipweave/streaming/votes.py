@@ -4,6 +4,7 @@ A micro-batch is reduced by the same closed form as the batch job (a hot item is
 then folded into the stored counters of the items it touches. The state is a log: batch *n* writes
 the new counters of its items only, and every so often a full snapshot is written. Batch *n* reads
 what came before it and writes its own folder, so a batch repeated after a failure gives the same.
+What lies before the last two snapshots is removed.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tipweave.operators.votes import COUNTERS, ITEM, apply_votes, clean_state
-from tipweave.sources.catalogue import VOTE_SCHEMA, complete_numbers
-
+from tipweave.sources.catalogue import VOTE_SCHEMA, complete_numbers, drop_numbers
 
 SNAPSHOT_EVERY = 64
 
@@ -64,6 +64,9 @@ def start_counters(
         before = read_state(batch.sparkSession, root, batch_id)
         if batch_id and batch_id % SNAPSHOT_EVERY == 0:
             _write(before, _folder(root, "snapshot", batch_id))
+            # A repeated batch starts from the last snapshot but one at the earliest.
+            for kind in ("snapshot", "batch"):
+                drop_numbers(batch.sparkSession, root, kind, below=batch_id - SNAPSHOT_EVERY)
         touched = batch.select(*ITEM).distinct()
         own = before.join(touched, list(ITEM), "left_semi")
         _write(apply_votes(batch, own), _folder(root, "batch", batch_id))
