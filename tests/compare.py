@@ -71,8 +71,10 @@ def compare(spark, folder: str, name: str, fn, sql: str | None):
 
 
 def main(argv):
-    from tipweave.queries import QUERIES, SQL
+    import __spark_entry__ as entry_points
+    from tipweave.runtime import drop_work
 
+    QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
     folder = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
     spark = session()
@@ -87,6 +89,7 @@ def main(argv):
         took = time.time() - start
         kind = "" if name in SQL else " (rows only)"
         print(f"{'ok ' if problem is None else 'BAD'} {name}{kind} rows={n} {took:.1f}s", flush=True)
+        drop_work(spark)
         if problem:
             print("   ", problem[:2500], flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")

@@ -26,8 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; ``drop_work`` removes what lies there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. Results that still read them must be done."""
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -45,17 +58,25 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, otherwise: str) -> DataFrame:
-    """Hint a broadcast if a count says so; a bigger table gets the ``otherwise`` join hint."""
-    small = df.limit(max_rows + 1).count() <= max_rows
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int, otherwise: str, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast if rows and bytes of the table are few; a bigger table gets the
+    ``otherwise`` join hint."""
+    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, t in df.dtypes if t == "string"]
+    size = sum(texts, F.lit(16 * len(df.columns)))
+    rows, volume = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    small = rows <= max_rows and (volume or 0) <= max_bytes
     return F.broadcast(df) if small else df.hint(otherwise)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work to all cores when the input has fewer splits than cores.
+    """Give heavy per-row work to all cores when the input is a single split.
 
-    A large input has many more splits than cores and is left as it is; a file with one row group
-    would otherwise be read, and everything up to the next shuffle done, by one task.
+    That is at most ``spark.sql.files.maxPartitionBytes``; larger inputs are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if cores > 1 and df.rdd.getNumPartitions() == 1 else df
