@@ -17,7 +17,7 @@ from tipweave.functions.phrases import equals_any
 from tipweave.functions.text import blank, fold_name, strip, words
 from tipweave.operators.components import connected_components
 from tipweave.operators.notes import SEPARATOR, note_texts
-from tipweave.runtime import durable
+from tipweave.runtime import durable, join_facts
 
 # The letter that may lead a name part, and names that say a trade only.
 LEAD_LETTER = "ל"
@@ -275,7 +275,7 @@ def _links(nodes: DataFrame, related: DataFrame) -> DataFrame:
         .select(*keys, F.when(~F.col("_other") & (F.col("_p") == F.col("_q")), F.col("_p")).alias("_spared"))
     )
     spokes = (
-        nodes.join(hubs, keys)
+        join_facts(nodes, hubs, keys)
         .filter(F.col("_spared").isNull() | (F.col("norm_phone") != F.col("_spared")))
         .select(
             _node(f, F.col("norm_name"), F.col("norm_phone")).alias("u"),
@@ -431,7 +431,7 @@ def apply_merge(entries: DataFrame, seq: str = "seq", generic: Sequence[str] = G
     owner = holders.groupBy("norm_phone").agg(F.max_by("group_id", "rank").alias("group_id"))
     # Rows without a phone have no owner; they stay out of the join, where they would all meet.
     called, silent = k.filter("norm_phone <> ''"), k.filter("norm_phone = ''")
-    placed = called.join(owner, "norm_phone", "left").unionByName(
+    placed = join_facts(called, owner, "norm_phone", "left").unionByName(
         silent.withColumn("group_id", F.lit(None).cast("string"))
     )
     positions = placed.filter("group_id IS NOT NULL").groupBy("group_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tipweave.functions.ids import evidence_key
 from tipweave.functions.text import blank, cap, strip
+from tipweave.runtime import join_facts
 
 # Words that say nothing about a venue.
 STOP_TOKENS = (
@@ -72,9 +73,8 @@ def cache_misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
 def keep_evident(rows: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows with a website, or with a positive verdict."""
     known = cache.groupBy("key").agg(F.bool_or("ok").alias("_ok"))
-    judged = rows.withColumn("key", evidence_key(F.col("name"), F.col("location"))).join(
-        known, "key", "left"
-    )
+    keyed = rows.withColumn("key", evidence_key(F.col("name"), F.col("location")))
+    judged = join_facts(keyed, known, "key", "left")
     return judged.filter(has_website(F.col("website")) | F.coalesce("_ok", F.lit(False))).drop(
         "key", "_ok"
     )

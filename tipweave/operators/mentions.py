@@ -18,6 +18,7 @@ from tipweave.functions.text import (
     strip,
 )
 from tipweave.operators.sequence import around
+from tipweave.runtime import join_facts
 
 # The attachment mark and the sizes of context, messages and notes.
 # The pattern starts at a line start or where the last match ended: tried anywhere, it would read
@@ -171,7 +172,7 @@ def later_mentions(
     """Mentions after the entry of their phone; these fold in whatever their own verdict is."""
     firsts = entries.select("phone_key", F.struct(*order).alias("_first"))
     return (
-        candidates.join(firsts, "phone_key")
+        join_facts(candidates, firsts, "phone_key")
         .filter(F.struct(*order) > F.col("_first"))
         .drop("_first")
     )

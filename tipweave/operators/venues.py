@@ -23,6 +23,7 @@ from tipweave.functions.text import (
 from tipweave.operators.dictionary import longest_alias
 from tipweave.operators.messages import MessageRules, qualifies, reject_reason
 from tipweave.operators.names import NameRules, clean_name, is_junk_capture, is_plausible
+from tipweave.runtime import join_facts
 from tipweave.sources.chat import worth_scanning
 
 # Length caps of catalogue columns.
@@ -364,7 +365,7 @@ def merge_rows(
         (F.coalesce(F.min("_name") == F.max("_name"), F.lit(False))).alias("_one_name"),
         F.max(F.col("_location") == "").alias("_any_blank"),
     )
-    placed = k.join(facts, "_key").withColumn(
+    placed = join_facts(k, facts, "_key").withColumn(
         "_part", F.when(F.col("_one_name") | F.col("_any_blank"), "").otherwise(F.col("_location"))
     )
     group = ["_key", "_part"]

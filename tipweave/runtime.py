@@ -49,6 +49,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Rows joined with what was found out about their keys, which may be hot.
+
+    Spark splits a hot key only if no aggregate on it stands between the shuffle and the join, so
+    the facts, one row per key, are kept first.
+    """
+    return rows.join(durable(facts), on, how)
+
+
 def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
     """The rows of a rule table if there are at most ``max_rows``, else None.
 
