@@ -494,3 +494,32 @@ def recommendation_topics(spark, folder):
     return labelled.groupBy("label", "recommends").agg(
         F.count(F.lit(1)).alias("n"), F.sum("chars").cast("long").alias("chars")
     )
+
+
+@query(
+    "note_fold_big",
+    """
+    SELECT o_orderpriority, 'first | ' || string_agg('note ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), ' | '
+      ORDER BY o_orderkey) AS note
+    FROM orders GROUP BY 1
+    """,
+)
+def note_fold_big(spark, folder):
+    """Contacts with some thousand different notes each."""
+    o = table(spark, folder, "orders").select(
+        "o_orderpriority",
+        F.lit(0).alias("chat_id"),
+        F.col("o_orderkey").alias("msg_seq"),
+        F.lit(0).alias("pos"),
+        F.concat(F.lit("note "), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("note"),
+    )
+    order = ["chat_id", "msg_seq", "pos"]
+    first = o.select("o_orderpriority").distinct().select(
+        "o_orderpriority",
+        F.lit(0).alias("chat_id"),
+        F.lit(-1).cast("long").alias("msg_seq"),
+        F.lit(0).alias("pos"),
+        F.lit("first").alias("note"),
+    )
+    kept = fold_notes(first, o, "o_orderpriority", order, "note")
+    return note_texts(kept, "o_orderpriority", order, "note")

@@ -15,7 +15,7 @@ from tipweave.operators.dictionary import (
     match_by_grams,
     voted_label,
 )
-from tipweave.operators.verdicts import read_venues, read_verdict
+from tipweave.operators.verdicts import read_venues, read_verdict, with_verdicts
 from tipweave.queries.registry import query, table, values
 from tipweave.sinks import reports
 
@@ -548,3 +548,53 @@ def keyword_report(spark, folder):
     suggested = mining.suggested_keywords(entries, [("ring", "metal"), ("gear", "machine")], "name")
     phrases = mining.phrase_counts(entries, [("red", [[("name", "red")]])])
     return reports.suggestion_lines(suggested, phrases).select("line")
+
+
+@query(
+    "judged_mentions",
+    r"""
+    WITH judged AS (
+      SELECT event_id, props, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN value < 10
+        WHEN event_id % 5 < 3 THEN value < 10 ELSE event_id % 5 = 3 END AS include, event_type FROM events)
+    SELECT o_orderkey AS mention_id, coalesce(include, false) AS include,
+      CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' OR NOT include THEN ''
+           ELSE 'f' || regexp_extract(props, '([0-9]+)', 1) END AS judged_field,
+      CASE WHEN event_type = 'error' THEN 'empty answer' END AS error
+    FROM orders LEFT JOIN judged ON event_id = o_orderkey
+    """,
+)
+def judged_mentions(spark, folder):
+    """Mentions with the answers of a judge; those it never saw are not included."""
+    mentions = table(spark, folder, "orders").select(F.col("o_orderkey").alias("mention_id"))
+    read = answers(spark, folder).select(
+        F.col("event_id").alias("mention_id"), read_verdict(F.col("raw")).alias("v")
+    )
+    judged = with_verdicts(mentions, read.select("mention_id", "v.*"))
+    return judged.select("mention_id", "include", "judged_field", "error")
+
+
+@query(
+    "dictionary_guarded",
+    """
+    SELECT o_orderkey, 'k' || o_custkey AS keyword, CAST(1 AS BIGINT) AS n
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 20
+    UNION ALL
+    SELECT o_orderkey, 'k' || c_custkey, 2
+    FROM orders JOIN customer ON c_nationkey >= 20
+      AND starts_with('k' || o_custkey, 'k' || c_custkey)
+    """,
+)
+def dictionary_guarded(spark, folder):
+    """Keywords that count where their guard matches, and plain ones, matched by letter runs."""
+    texts = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.concat_ws("", F.lit("k"), "o_custkey", F.lit(" k"), "o_custkey", F.lit("z")).alias("t"),
+    )
+    key = F.concat(F.lit("k"), F.col("c_custkey").cast("string"))
+    rules = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("priority"),
+        key.alias("keyword"),
+        F.lit("label").alias("label"),
+        F.when(F.col("c_nationkey") < 20, F.concat(key, F.lit("(?![0-9z])"))).alias("guard"),
+    )
+    return match_by_grams(texts, "o_orderkey", "t", rules).select("o_orderkey", "keyword", "n")
