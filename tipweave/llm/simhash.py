@@ -179,11 +179,14 @@ def _led(members: DataFrame, most: int, parts: int) -> DataFrame:
 
 def links(nodes: DataFrame, most: int, parts: int) -> DataFrame:
     """``(u, v)`` that connect what lies within ``most`` bits; nodes are ``(node, prints, keys)``."""
-    members = stored(
-        nodes.select("node", "prints", F.posexplode("keys").alias("t", "key")), "members"
-    )
+    # Few buckets are shared, so whole fingerprints are looked up for what is in those only.
+    members = stored(nodes.select("node", F.posexplode("keys").alias("t", "key")), "members")
     sizes = members.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(members.join(stored(sizes, "buckets"), ["t", "key"]), "met")
+    shared = members.join(stored(sizes, "buckets"), ["t", "key"])
+    if parts == 1:
+        met = stored(shared.withColumn("prints", F.array("node")), "met")
+    else:
+        met = stored(stored(shared, "shared").join(nodes.select("node", "prints"), "node"), "met")
     light = _self_join(met.where(F.col("n") <= LIGHT), most, parts)
     heavy = met.where(F.col("n") > LIGHT).drop("n")
     return light.union(_turned(heavy) if most <= 2 and parts == 1 else _led(heavy, most, parts))
