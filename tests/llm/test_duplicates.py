@@ -130,6 +130,32 @@ def test_equal_rows_leave_one(spark):
         (1, "a b c d e f"), (None, None)]
 
 
+def edited_pair(rng, i, edits):
+    """Two texts that differ in ``edits`` words, and the share of five-word shingles they share."""
+    base = words(rng, 400, 9000)
+    copy = list(base)
+    for at in rng.sample(range(400), edits):
+        copy[at] = f"z{i}_{at}"
+    a, b = ({" ".join(t[k : k + 5]) for k in range(396)} for t in (base, copy))
+    return " ".join(base), " ".join(copy), len(a & b) / len(a | b)
+
+
+def test_pairs_of_two_at_the_required_similarity(spark):
+    rng = random.Random(17)
+    rows, shares = [], {}
+    for i in range(240):
+        a, b, shares[i] = edited_pair(rng, i, 5 + i % 10)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert all(2 * i in left for i in shares)
+    met = {i for i in shares if 2 * i + 1 not in left}
+    high = {i for i, s in shares.items() if 0.8 <= s <= 0.9}
+    assert len(high) > 80 and len(high & met) >= 0.93 * len(high)
+    assert not {i for i in met if shares[i] < 0.8}
+    assert len(set(shares) - high) > 80
+
+
 def passages_rows():
     rng = random.Random(21)
     passage = " ".join(" ".join(words(rng, 8, 9000)) + "," for _ in range(9))

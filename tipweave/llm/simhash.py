@@ -13,7 +13,10 @@ In larger ones,
 * for larger distances, the least fingerprint of a bucket leads: the others are compared with it,
   those within the distance link to it, and the rest go on under their own least one until the
   rest is light. A link between two that follow different leaders of one large bucket is found in
-  another bucket that they share, or not at all; nothing else is left out.
+  another bucket that they share, or not at all.
+
+Distances above ``sure`` are no verdict: such pairs are joined with their texts and checked by the
+shingles they share, unless other links have put both into one group.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; equal texts and
 repeated rows share a node; rows without an id count, but never name a component that has an id;
@@ -78,21 +81,28 @@ def majority(h: np.ndarray, parts: int) -> np.ndarray:
     return 2 * total > len(h)
 
 
-def _printer(words: int, parts: int, block: int):
+def block_choices(bits: int, block: int, rounds: int) -> np.ndarray:
+    """Bit numbers of the blocks: all bits in order, then in ``rounds - 1`` fixed shuffled orders."""
+    rng = np.random.default_rng(SEED)
+    orders = [np.arange(bits), *[rng.permutation(bits) for _ in range(rounds - 1)]]
+    return np.concatenate([o[: bits // block * block].reshape(-1, block) for o in orders])
+
+
+def _printer(words: int, parts: int, block: int, rounds: int):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text_hash", pa.int64()),
         ("prints", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choices = block_choices(64 * parts, block, rounds) if block else None
         for batch in batches:
             prints, blocks = [], []
             for t in batch.column("text"):
                 bits = majority(shingle_hashes(t.as_py(), words), parts)
                 prints.append(np.packbits(bits).view(">i8").astype(np.int64))
                 if block:
-                    some = bits[: len(bits) // block * block].reshape(-1, block)
-                    blocks.append(some @ (1 << np.arange(block, dtype=np.int64)))
+                    blocks.append(bits[choices] @ (1 << np.arange(block, dtype=np.int64)))
                 else:
                     blocks.append(None)
             yield pa.RecordBatch.from_arrays(
@@ -104,14 +114,16 @@ def _printer(words: int, parts: int, block: int):
     return run
 
 
-def fingerprints(docs: DataFrame, words: int, parts: int = 1, block: int = 0) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, words: int, parts: int = 1, block: int = 0, rounds: int = 1
+) -> DataFrame:
     """``(doc_id, text_hash, prints, blocks)``: ``parts`` times 64 bits, and the values of blocks
-    of ``block`` bits if that is given."""
+    of ``block`` bits, cut ``rounds`` times in different orders, if that is given."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
     )
     return rows.mapInArrow(
-        _printer(words, parts, block),
+        _printer(words, parts, block, rounds),
         "doc_id bigint, text_hash bigint, prints array<bigint>, blocks array<bigint>",
     )
 
@@ -134,7 +146,9 @@ def _self_join(members: DataFrame, most: int, parts: int) -> DataFrame:
     here = members.select("t", "key", F.col("node").alias("u"), F.col("prints").alias("__a"))
     there = members.select("t", "key", F.col("node").alias("v"), F.col("prints").alias("__b"))
     pairs = here.join(there, ["t", "key"]).where("u < v")
-    return pairs.where(_distance("__a", "__b", parts) <= most).select("u", "v")
+    return pairs.select("u", "v", _distance("__a", "__b", parts).alias("far")).where(
+        F.col("far") <= most
+    )
 
 
 def _turned(members: DataFrame) -> DataFrame:
@@ -147,12 +161,14 @@ def _turned(members: DataFrame) -> DataFrame:
     )
     least = keys.groupBy("reached").agg(F.min("node").alias("least"))
     return keys.join(least, "reached").where("least < node").select(
-        F.col("least").alias("u"), F.col("node").alias("v")
+        F.col("least").alias("u"), F.col("node").alias("v"),
+        F.bit_count(F.col("least").bitwiseXOR(F.col("node"))).alias("far"),
     )
 
 
-def _led(members: DataFrame, most: int, parts: int) -> DataFrame:
-    """Links of the members of large buckets with the leaders of their buckets."""
+def _led(members: DataFrame, most: int, parts: int, sure: int) -> DataFrame:
+    """Links of the members of large buckets with the leaders of their buckets. Only members within
+    ``sure`` leave a bucket by it: other links may fail a later check."""
     found, left = [], members
     while not left.isEmpty():
         leaders = stored(
@@ -162,23 +178,29 @@ def _led(members: DataFrame, most: int, parts: int) -> DataFrame:
             "leaders",
         )
         met = left.join(leaders, ["t", "key"]).withColumn(
-            "near", _distance("prints", "__lead", parts) <= most
+            "far", _distance("prints", "__lead", parts)
         )
-        met = stored(met.select("t", "key", "node", "prints", "u", "near"), "led")
-        found.append(met.where("near AND u < node").select("u", F.col("node").alias("v")))
-        rest = met.where("NOT near").select("t", "key", "node", "prints")
+        met = stored(met.select("t", "key", "node", "prints", "u", "far"), "led")
+        near = met.where((F.col("far") <= most) & (F.col("u") < F.col("node")))
+        found.append(near.select("u", F.col("node").alias("v"), "far"))
+        rest = met.where((F.col("far") > sure) & (F.col("u") < F.col("node")))
+        rest = rest.select("t", "key", "node", "prints")
         sizes = stored(rest.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")), "sizes")
         sized = stored(rest.join(sizes.where("n > 1"), ["t", "key"]), "rest")
         found.append(_self_join(sized.where(F.col("n") <= LIGHT), most, parts))
         left = sized.where(F.col("n") > LIGHT).drop("n")
-    links = found[0] if found else members.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    links = found[0] if found else members.select(
+        F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("far")
+    )
     for more in found[1:]:
         links = links.union(more)
     return links
 
 
-def links(nodes: DataFrame, most: int, parts: int) -> DataFrame:
-    """``(u, v)`` that connect what lies within ``most`` bits; nodes are ``(node, prints, keys)``."""
+def links(nodes: DataFrame, most: int, parts: int, sure: int | None = None) -> DataFrame:
+    """``(u, v, far)`` that connect what lies within ``most`` bits, and the bits that differ; nodes
+    are ``(node, prints, keys)``. Links of more than ``sure`` bits are open to a later check."""
+    sure = most if sure is None else sure
     # Few buckets are shared, so whole fingerprints are looked up for what is in those only.
     members = stored(nodes.select("node", F.posexplode("keys").alias("t", "key")), "members")
     sizes = members.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -189,10 +211,73 @@ def links(nodes: DataFrame, most: int, parts: int) -> DataFrame:
         met = stored(stored(shared, "shared").join(nodes.select("node", "prints"), "node"), "met")
     light = _self_join(met.where(F.col("n") <= LIGHT), most, parts)
     heavy = met.where(F.col("n") > LIGHT).drop("n")
-    return light.union(_turned(heavy) if most <= 2 and parts == 1 else _led(heavy, most, parts))
+    return light.union(_turned(heavy) if most <= 2 and parts == 1 else _led(heavy, most, parts, sure))
 
 
-def labelled(prints: DataFrame, most: int, parts: int, masks: list[int] | None = None) -> DataFrame:
+def _alike(words: int, least: float):
+    """Pairs of texts that share at least ``least`` of all their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x = np.unique(shingle_hashes(a.as_py(), words))
+                y = np.unique(shingle_hashes(b.as_py(), words))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+    return run
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs of nodes whose texts, ``(node, text)``, are alike."""
+    for end, name in (("u", "a"), ("v", "b")):
+        side = texts.select(F.col("node").alias(end), F.col("text").alias(name))
+        pairs = pairs.join(side, end)
+    return pairs.select("u", "v", "a", "b").mapInArrow(_alike(words, least), "u bigint, v bigint")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different groups."""
+    for end in ("u", "v"):
+        at = roots.select(F.col("node").alias(end), F.col("root").alias(f"__{end}"))
+        pairs = pairs.join(at, end, "left")
+    ends = [F.coalesce(F.col(f"__{end}"), F.col(end)) for end in ("u", "v")]
+    return pairs.where(ends[0] != ends[1]).drop("__u", "__v")
+
+
+def checked_roots(
+    pairs: DataFrame, texts: DataFrame, words: int, least: float, sure: int
+) -> DataFrame:
+    """Groups by links of up to ``sure`` bits, and by others whose texts are alike.
+
+    A link within a group changes nothing and is not checked. The nearest open link of each node is
+    checked first, so a large group needs about one check a member; then all that are left."""
+    nearest = pairs.groupBy("u", "v").agg(F.min("far").alias("far"))
+    nearest = stored(nearest, "pairs")
+    found = stored(nearest.where(F.col("far") <= sure).select("u", "v"), "sure")
+    roots = components(found)
+    open_ = stored(_apart(nearest.where(F.col("far") > sure), roots), "open")
+    for first in (True, False):
+        if open_.isEmpty():
+            break
+        some = open_
+        if first:
+            some = open_.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u"))
+        alike = stored(_checked(some.select("u", "v"), texts, words, least), "alike")
+        found = found.union(alike)
+        roots = components(found)
+        if first:
+            left = open_.join(some.select("u", "v"), ["u", "v"], "left_anti")
+            open_ = stored(_apart(left, roots), "open")
+    return roots
+
+
+def labelled(
+    prints: DataFrame, most: int, parts: int, masks: list[int] | None = None, grouped=components,
+    sure: int | None = None,
+) -> DataFrame:
     """Each row of ``prints`` with its ``node`` and the ``root`` node of its group."""
     if parts == 1:
         node, keys = F.col("prints")[0], None
@@ -202,7 +287,7 @@ def labelled(prints: DataFrame, most: int, parts: int, masks: list[int] | None =
         keys = F.array(*[node.bitwiseAND(F.lit(m)) for m in masks])
     rows = prints.withColumn("node", node)
     nodes = rows.select("node", "prints", keys.alias("keys")).dropDuplicates(["node"])
-    roots = components(links(nodes, most, parts)).withColumnRenamed("node", "__node")
+    roots = grouped(links(nodes, most, parts, sure)).withColumnRenamed("node", "__node")
     return rows.join(roots, rows["node"] == roots["__node"], "left").select(
         "doc_id", "text_hash", "prints", "node", F.coalesce("root", "node").alias("root")
     )
@@ -220,18 +305,40 @@ def components_of(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     )
 
 
-#: One document of each group: five words, 768 bits in 32 blocks of 24. Texts that share 0.8 of
-#: their shingles differ in about 0.148 of the bits (angle of the cosine 0.89), give or take 0.013.
-WORDS, PARTS, BLOCK, MOST = 5, 12, 24, 118
+#: One document of each group: five words, 768 bits in 32 blocks of 24, cut in four orders. Texts
+#: that share 0.8 of their shingles differ in about 0.148 of the bits (angle of the cosine 0.89),
+#: 114 of 768, give or take 10. Three deviations more are looked at; three less need no check.
+WORDS, PARTS, BLOCK, ROUNDS, MOST, SURE = 5, 12, 24, 4, 144, 84
+ALIKE = 0.8
 
 
 def one_of_each(
-    docs: DataFrame, words: int = WORDS, parts: int = PARTS, block: int = BLOCK, most: int = MOST
+    docs: DataFrame, words: int = WORDS, parts: int = PARTS, block: int = BLOCK, most: int = MOST,
+    rounds: int = ROUNDS, sure: int = SURE, least: float = ALIKE,
 ) -> DataFrame:
     """The documents without those near one of smaller id; equal rows leave one."""
-    prints = stored(fingerprints(docs, words, parts, block), "prints")
+    prints = stored(fingerprints(docs, words, parts, block, rounds), "prints")
+    # Nodes are fingerprints; any of their texts stands for the rest.
+    ends = prints.groupBy(F.xxhash64("prints").alias("node")).agg(F.min("text_hash").alias("h"))
+    keyed_texts = docs.select(F.xxhash64("text").alias("h"), "text")
+
+    def grouped(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "links")
+        wanted = stored(
+            pairs.where(F.col("far") > sure).select(F.explode(F.array("u", "v")).alias("node"))
+            .distinct().join(ends, "node"),
+            "ends",
+        )
+        texts = stored(
+            keyed_texts.join(wanted, "h").dropDuplicates(["node"]).select("node", "text"), "texts"
+        )
+        return checked_roots(pairs, texts, words, least, sure)
+
     rows = stored(
-        labelled(prints, most, parts).select("doc_id", "text_hash", "root"), "labelled"
+        labelled(prints, most, parts, grouped=grouped, sure=sure).select(
+            "doc_id", "text_hash", "root"
+        ),
+        "labelled",
     )
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
     first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
