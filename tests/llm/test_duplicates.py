@@ -156,6 +156,20 @@ def test_pairs_of_two_at_the_required_similarity(spark):
     assert len(set(shares) - high) > 80
 
 
+def test_copies_that_fill_a_source_leave_one_whole(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    text = "\n".join(" ".join(words(rng, 12, 9000)) for _ in range(20))
+    rows = [(i, text, "s") for i in range(40)]
+    rows += [(100 + i, "Menu\n" + " ".join(words(rng, 90, 9000)), "s") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    cleaned = corpus_pipeline.lines(spark, docs, "")
+    left = {r.doc_id: r.text for r in corpus_pipeline.near(spark, cleaned, "").collect()}
+    assert left[0] == text and len(left) == 81
+    assert not any("Menu" in t for t in left.values())  # boilerplate still goes
+
+
 def passages_rows():
     rng = random.Random(21)
     passage = " ".join(" ".join(words(rng, 8, 9000)) + "," for _ in range(9))

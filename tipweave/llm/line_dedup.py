@@ -35,10 +35,17 @@ def _digests(lines: Column) -> Column:
     return F.array_distinct(F.transform(full, lambda s: F.xxhash64(s)))
 
 
-def line_shares(pages: DataFrame, min_pages: int, site: str, text: str) -> DataFrame:
+def line_shares(
+    pages: DataFrame, min_pages: int, site: str, text: str, copies: bool = True
+) -> DataFrame:
     """``(__site, digest, pages, all_pages)`` of lines on at least ``min_pages`` pages of a site."""
-    sited = pages.select(marked(site).alias("__site"), F.col(text).alias("__text"))
-    lines = sited.select("__site", F.explode(_digests(F.split("__text", "\n"))).alias("digest"))
+    sited = pages.select(
+        marked(site).alias("__site"), F.xxhash64(text).alias("__page"),
+        _digests(F.split(F.col(text), "\n")).alias("__digests"),
+    )
+    if not copies:
+        sited = sited.dropDuplicates(["__site", "__page"])
+    lines = sited.select("__site", F.explode("__digests").alias("digest"))
     counted = lines.groupBy("__site", "digest").agg(F.count(F.lit(1)).alias("pages"))
     totals = sited.groupBy("__site").agg(F.count(F.lit(1)).alias("all_pages"))
     return counted.where(F.col("pages") >= min_pages).join(totals, "__site")
@@ -46,10 +53,12 @@ def line_shares(pages: DataFrame, min_pages: int, site: str, text: str) -> DataF
 
 def drop_boilerplate(
     pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    site: str = "source", text: str = "text",
+    site: str = "source", text: str = "text", copies: bool = True,
 ) -> DataFrame:
-    """The pages without the boilerplate lines of their site, and the number of dropped lines."""
-    shares = line_shares(pages, min_pages, site, text)
+    """The pages without the boilerplate lines of their site, and the number of dropped lines.
+
+    Without ``copies``, pages of a site with equal texts count as one page; all of them stay."""
+    shares = line_shares(pages, min_pages, site, text, copies)
     common = shares.where(F.col("pages") > F.lit(ratio) * F.col("all_pages"))
     listed = stored(
         common.groupBy("__site").agg(F.collect_set("digest").alias("__common")), "boilerplate"
