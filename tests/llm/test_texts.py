@@ -45,6 +45,22 @@ def test_page_texts(spark):
     assert html_text.page_texts(docs.where("false")).count() == 0
 
 
+def test_content_in_every_container_and_no_link_lists():
+    long, p = (PARAGRAPH * 3).strip(), PARAGRAPH.strip()
+    head = "<body><div class=top><a href=/>Home</a> <a href=/x>All of our pages</a></div>"
+    for page, want in [
+        (f"{head}<div class=post><div class=lead><p>{p}</p></div><div class=body><h2>T</h2><p>{long}</p>"
+         f"</div></div>", [p, "T", long]),
+        (f"{head}<div class=post><h2>T</h2><p>{p}</p><blockquote><p>{long}</p></blockquote><p>x</p>"
+         f"<ul><li>one<li>two</ul></div>", ["T", p, long, "x", "one", "two"]),
+        (f"{head}<div class=post><h2>T</h2><p>{p}</p><ul><li>{long}</li><li>{long}</li></ul></div>",
+         ["T", p, long, long]),
+        (f"<article><p>{p}</p><ul><li><a href=/1>Other story</a></li><li><a href=/2>One more</a></li>"
+         f"</ul><p>{p}</p></article>", [p, p]),
+    ]:
+        assert html_text.main_text(page).split("\n") == want
+
+
 def test_long_and_hostile_pages_end():
     assert html_text.main_text("<p>" * 20_000 + "x") == "x"
     assert html_text.main_text("<div>" * 3_000 + "x" + "</div>" * 10)

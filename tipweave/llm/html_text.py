@@ -11,9 +11,10 @@ paths the blocks' text length and punctuation are summed up, links count against
     score(path)       = ratio * log(1 + punctuation) * (1 - share of text in links)
 
 Scores are smoothed along the page over neighbouring blocks, fused with the unsmoothed ones and cut
-at a share of their mean weighted by text. The paths above it are content; what stands under the
-same element as the heaviest of them (up to the article or main element, if there is one) belongs to
-the same text, so headings and one-word paragraphs stay.
+at a share of their mean weighted by text. The paths above it are content, wherever they stand. What
+stands under the same element as one of them (up to the article or main element, if there is one)
+belongs to the same text, so headings and one-word paragraphs stay; of the body as such an element
+only its own children, unless it has most of the content. Paths that are mostly links are out.
 
 References are decoded, white space inside a block becomes one space, blocks are joined by one
 line break. Defined cases: a null or empty page, and one without text outside the zones, has the
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 
 #: Score cut as a share of the mean score, and the weights of a block and its neighbours.
 CUT = 0.2
+#: Paths with a greater share of their text in links are link lists.
+LINKED = 0.5
 KERNEL = (0.25, 0.5, 0.25)
 
 _TOKEN = re.compile(
@@ -75,6 +78,7 @@ OUTSIDE_WORDS = frozenset(
     .split()
 )
 ARTICLE = frozenset("article main".split())
+WHOLE = frozenset("html body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end when one of the same set begins.
 ENDED_BY = {
@@ -251,17 +255,33 @@ def main_text(page: str | None) -> str:
     scores = path_scores(found)
     total = sum(len(text) for _, text, _ in found)
     mean = sum(s * len(text) for s, (_, text, _) in zip(scores, found, strict=True)) / total
+    size, in_links = defaultdict(int), defaultdict(int)
+    for path, text, linked in found:
+        size[path] += len(text)
+        in_links[path] += linked
+    lists = {path for path, n in size.items() if in_links[path] > LINKED * n}
     content, weight = set(), defaultdict(float)
     for s, (path, text, linked) in zip(scores, found, strict=True):
-        if s >= CUT * mean:
+        if s >= CUT * mean and (path not in lists or len(lists) == len(size)):
             content.add(path)
             weight[_container(path)] += len(text) - linked
-    within = max(weight, key=weight.get)
-    chosen = [
-        text for path, text, _ in found
-        if path[: len(within)] == within or (not within and path in content)
-    ]
-    return "\n".join(chosen)
+    if not content:  # all text outside link lists lacks marks
+        return "\n".join(text for path, text, _ in found if path not in lists)
+    heaviest = max(weight, key=weight.get)
+
+    def beside(path: tuple[str, ...]) -> bool:
+        if path in lists:
+            return False
+        for n in range(1, len(path) + 1):
+            if path[:n] in weight and (
+                path[:n] == heaviest or n >= len(path) - 1
+                or path[n - 1].split(".")[0] not in WHOLE
+            ):
+                return True
+        return False
+
+    kept = {path: path in content or beside(path) for path in size}
+    return "\n".join(text for path, text, _ in found if kept[path])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
