@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import clashing, no_docs, odd_docs, odd_rows, words
-from tipweave.llm import simhash, unit_dedup
+from tipweave.llm import near_texts, simhash, unit_dedup
 from tipweave.llm.graph import components
 
 
@@ -100,9 +100,9 @@ def test_pair_tables_cover_all_pairs_within_two_bits():
             assert any(not m & (1 << a | 1 << b) for m in masks)
 
 
-@pytest.mark.parametrize("light", [64, 3])
-def test_one_of_each_group_stays(spark, monkeypatch, light):
-    monkeypatch.setattr(simhash, "LIGHT", light)
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_one_of_each_group_stays(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_texts, "CHUNK", chunk)
     rng = random.Random(11)
     rows = odd_rows()
     for g in range(12):
@@ -114,19 +114,19 @@ def test_one_of_each_group_stays(spark, monkeypatch, light):
             rows.append((1000 + g * 10 + c, " ".join(copy), "en", "s", 0))
     docs = clashing(spark.createDataFrame(
         rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
-    got = simhash.one_of_each(docs)
+    got = near_texts.one_of_each(docs)
     assert got.columns == docs.columns
     ids = [r.doc_id for r in got.collect()]
     assert [i for i in sorted(x for x in ids if x and x >= 1000)] == [1000 + g * 10 for g in range(12)]
     assert ids.count(25) == 0 and ids.count(0) == 1  # 25 copies 0
     assert ids.count(26) == 2  # one id, two texts
-    assert simhash.one_of_each(no_docs(spark)).count() == 0
+    assert near_texts.one_of_each(no_docs(spark)).count() == 0
 
 
 def test_equal_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(None, None)] * 2,
                                  "doc_id bigint, text string")
-    assert sorted(map(tuple, simhash.one_of_each(docs).collect()), key=repr) == [
+    assert sorted(map(tuple, near_texts.one_of_each(docs).collect()), key=repr) == [
         (1, "a b c d e f"), (None, None)]
 
 
@@ -147,7 +147,7 @@ def test_pairs_of_two_at_the_required_similarity(spark):
         a, b, shares[i] = edited_pair(rng, i, 5 + i % 10)
         rows += [(2 * i, a), (2 * i + 1, b)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    left = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    left = {r.doc_id for r in near_texts.one_of_each(docs).collect()}
     assert all(2 * i in left for i in shares)
     met = {i for i in shares if 2 * i + 1 not in left}
     high = {i for i, s in shares.items() if 0.8 <= s <= 0.9}
@@ -156,13 +156,78 @@ def test_pairs_of_two_at_the_required_similarity(spark):
     assert len(set(shares) - high) > 80
 
 
+def loose_group(rng, n, edits, size=400):
+    """A text, and copies that each have other words changed: nearer to it than to each other."""
+    base = words(rng, size, 9000)
+    out = [" ".join(base)]
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(size), edits):
+            copy[at] = f"q{i}_{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_a_loose_group_is_joined_by_its_middle(spark, monkeypatch, chunk):
+    """0.88 of the shingles are shared with the middle, which has the largest id, 0.78 otherwise."""
+    monkeypatch.setattr(near_texts, "CHUNK", chunk)
+    rng = random.Random(31)
+    with_middle, without = loose_group(rng, 150, 5), loose_group(rng, 60, 9)[1:]
+    rows = [(1000 - i, t) for i, t in enumerate(with_middle)]
+    rows += [(2000 + i, t) for i, t in enumerate(without)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    left = {r.doc_id for r in near_texts.one_of_each(docs).collect()}
+    assert len([i for i in left if i <= 1000]) <= 3 and 850 in left
+    assert len([i for i in left if i >= 2000]) == 60  # 0.64 among themselves: no copies
+
+
+def test_groups_meet_brute_force_on_close_texts(spark):
+    rng = random.Random(37)
+    rows = []
+    for g in range(30):
+        for t in loose_group(rng, rng.randrange(1, 6), rng.randrange(1, 4)):
+            rows.append((len(rows), t))
+    shingles = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    union = Union()
+    for i in range(len(rows)):
+        union.find(i)
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                union.join(i, j)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in near_texts.one_of_each(docs).collect()}
+    assert left == {union.find(i) for i in range(len(rows))}
+
+
+def test_near_copies_that_fill_a_source_leave_one_whole(spark):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    base = [words(rng, 12, 9000) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        lines = [list(x) for x in base]
+        for at in rng.sample(range(25), 4 if i else 0):
+            lines[at][rng.randrange(12)] = f"q{i}_{at}"
+        rows.append((i, "\n".join(" ".join(x) for x in lines), "s"))
+    rows += [(100 + i, "Menu\n" + "\n".join(" ".join(words(rng, 20, 9000)) for _ in range(3)), "s")
+             for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    left = {r.doc_id: r.text for r in
+            corpus_pipeline.near(spark, corpus_pipeline.lines(spark, docs, ""), "").collect()}
+    assert left[0] == rows[0][1] and len(left) <= 125
+    assert not any("Menu" in t for t in left.values())
+
+
 def test_copies_that_fill_a_source_leave_one_whole(spark):
     import corpus_pipeline
 
     rng = random.Random(23)
     text = "\n".join(" ".join(words(rng, 12, 9000)) for _ in range(20))
     rows = [(i, text, "s") for i in range(40)]
-    rows += [(100 + i, "Menu\n" + " ".join(words(rng, 90, 9000)), "s") for i in range(80)]
+    rows += [(100 + i, "Menu\n" + "\n".join(" ".join(words(rng, 30, 9000)) for _ in range(3)), "s")
+             for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     cleaned = corpus_pipeline.lines(spark, docs, "")
     left = {r.doc_id: r.text for r in corpus_pipeline.near(spark, cleaned, "").collect()}

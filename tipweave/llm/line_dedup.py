@@ -51,15 +51,41 @@ def line_shares(
     return counted.where(F.col("pages") >= min_pages).join(totals, "__site")
 
 
+def _of_differing(
+    pages: DataFrame, common: DataFrame, ratio: float, min_pages: int, site: str, text: str
+) -> DataFrame:
+    """Those of the common lines that are still common if only pages count that are for the most part
+    something else: near copies of one page share most of their lines, and are not boilerplate."""
+    listed = common.groupBy("__site").agg(F.collect_set("digest").alias("__common"))
+    sited = pages.select(
+        marked(site).alias("__site"), F.xxhash64(text).alias("__page"),
+        _digests(F.split(F.col(text), "\n")).alias("__digests"),
+    ).dropDuplicates(["__site", "__page"])
+    own = sited.join(stored(listed, "candidates"), "__site").withColumn(
+        "__own", F.array_intersect("__digests", "__common")
+    )
+    differing = own.where(2 * F.size("__own") <= F.size("__digests"))
+    seen = differing.select("__site", F.explode("__own").alias("digest")).groupBy(
+        "__site", "digest"
+    ).agg(F.count(F.lit(1)).alias("pages"))
+    totals = common.select("__site", "digest", "all_pages")
+    return seen.join(totals, ["__site", "digest"]).where(
+        (F.col("pages") >= min_pages) & (F.col("pages") > F.lit(ratio) * F.col("all_pages"))
+    )
+
+
 def drop_boilerplate(
     pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
     site: str = "source", text: str = "text", copies: bool = True,
 ) -> DataFrame:
     """The pages without the boilerplate lines of their site, and the number of dropped lines.
 
-    Without ``copies``, pages of a site with equal texts count as one page; all of them stay."""
+    Without ``copies``, pages of a site with equal texts count as one page, and a line must be common
+    among pages of which common lines are at most half, so near copies keep theirs; all pages stay."""
     shares = line_shares(pages, min_pages, site, text, copies)
     common = shares.where(F.col("pages") > F.lit(ratio) * F.col("all_pages"))
+    if not copies:
+        common = _of_differing(pages, stored(common, "common"), ratio, min_pages, site, text)
     listed = stored(
         common.groupBy("__site").agg(F.collect_set("digest").alias("__common")), "boilerplate"
     )

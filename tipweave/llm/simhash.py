@@ -4,23 +4,15 @@ A fingerprint has a bit set where over half of the shingle hashes have it set. I
 blocks so that close fingerprints agree in some (`tables`), rows meet by equal blocks, and their
 distance is then taken. Copies are folded first: nodes are distinct fingerprints.
 
-No bucket is paired off whole. Buckets of up to ``LIGHT`` fingerprints are joined with themselves.
-In larger ones,
-
-* for a distance of two, every fingerprint is written to the keys it reaches by turning no bit or
-  one bit; two fingerprints share a key exactly if they differ in two bits at most, and at most 65
-  share one, so linking each with the least of its key gives all links by rows in proportion;
-* for larger distances, the least fingerprint of a bucket leads: the others are compared with it,
-  those within the distance link to it, and the rest go on under their own least one until the
-  rest is light. A link between two that follow different leaders of one large bucket is found in
-  another bucket that they share, or not at all.
-
-Distances above ``sure`` are no verdict: such pairs are joined with their texts and checked by the
-shingles they share, unless other links have put both into one group.
+No bucket is paired off whole. Buckets of up to ``LIGHT`` fingerprints are joined with themselves. In
+larger ones every fingerprint is written to the keys it reaches by turning no bit or one bit; two
+fingerprints share a key exactly if they differ in two bits at most, and at most 65 share one, so
+linking each with the least of its key gives all links by rows in proportion. Both ways give the same
+links. Longer fingerprints, with checks by text, are in `near_texts`.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; equal texts and
 repeated rows share a node; rows without an id count, but never name a component that has an id;
-an empty table gives no rows. Extra columns are kept by ``one_of_each`` and ignored elsewhere.
+an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,128 +158,24 @@ def _turned(members: DataFrame) -> DataFrame:
     )
 
 
-def _led(members: DataFrame, most: int, parts: int, sure: int) -> DataFrame:
-    """Links of the members of large buckets with the leaders of their buckets. Only members within
-    ``sure`` leave a bucket by it: other links may fail a later check."""
-    found, left = [], members
-    while not left.isEmpty():
-        leaders = stored(
-            left.groupBy("t", "key").agg(
-                F.min_by("prints", "node").alias("__lead"), F.min("node").alias("u")
-            ),
-            "leaders",
-        )
-        met = left.join(leaders, ["t", "key"]).withColumn(
-            "far", _distance("prints", "__lead", parts)
-        )
-        met = stored(met.select("t", "key", "node", "prints", "u", "far"), "led")
-        near = met.where((F.col("far") <= most) & (F.col("u") < F.col("node")))
-        found.append(near.select("u", F.col("node").alias("v"), "far"))
-        rest = met.where((F.col("far") > sure) & (F.col("u") < F.col("node")))
-        rest = rest.select("t", "key", "node", "prints")
-        sizes = stored(rest.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        sized = stored(rest.join(sizes.where("n > 1"), ["t", "key"]), "rest")
-        found.append(_self_join(sized.where(F.col("n") <= LIGHT), most, parts))
-        left = sized.where(F.col("n") > LIGHT).drop("n")
-    links = found[0] if found else members.select(
-        F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("far")
-    )
-    for more in found[1:]:
-        links = links.union(more)
-    return links
-
-
-def links(nodes: DataFrame, most: int, parts: int, sure: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, most: int) -> DataFrame:
     """``(u, v, far)`` that connect what lies within ``most`` bits, and the bits that differ; nodes
-    are ``(node, prints, keys)``. Links of more than ``sure`` bits are open to a later check."""
-    sure = most if sure is None else sure
+    are ``(node, prints, keys)``."""
     # Few buckets are shared, so whole fingerprints are looked up for what is in those only.
     members = stored(nodes.select("node", F.posexplode("keys").alias("t", "key")), "members")
     sizes = members.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = members.join(stored(sizes, "buckets"), ["t", "key"])
-    if parts == 1:
-        met = stored(shared.withColumn("prints", F.array("node")), "met")
-    else:
-        met = stored(stored(shared, "shared").join(nodes.select("node", "prints"), "node"), "met")
-    light = _self_join(met.where(F.col("n") <= LIGHT), most, parts)
-    heavy = met.where(F.col("n") > LIGHT).drop("n")
-    return light.union(_turned(heavy) if most <= 2 and parts == 1 else _led(heavy, most, parts, sure))
-
-
-def _alike(words: int, least: float):
-    """Pairs of texts that share at least ``least`` of all their shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x = np.unique(shingle_hashes(a.as_py(), words))
-                y = np.unique(shingle_hashes(b.as_py(), words))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
-
-    return run
-
+    met = stored(shared.withColumn("prints", F.array("node")), "met")
+    light = _self_join(met.where(F.col("n") <= LIGHT), most, 1)
+    return light.union(_turned(met.where(F.col("n") > LIGHT).drop("n")))
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs of nodes whose texts, ``(node, text)``, are alike."""
-    for end, name in (("u", "a"), ("v", "b")):
-        side = texts.select(F.col("node").alias(end), F.col("text").alias(name))
-        pairs = pairs.join(side, end)
-    return pairs.select("u", "v", "a", "b").mapInArrow(_alike(words, least), "u bigint, v bigint")
 
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different groups."""
-    for end in ("u", "v"):
-        at = roots.select(F.col("node").alias(end), F.col("root").alias(f"__{end}"))
-        pairs = pairs.join(at, end, "left")
-    ends = [F.coalesce(F.col(f"__{end}"), F.col(end)) for end in ("u", "v")]
-    return pairs.where(ends[0] != ends[1]).drop("__u", "__v")
-
-
-def checked_roots(
-    pairs: DataFrame, texts: DataFrame, words: int, least: float, sure: int
-) -> DataFrame:
-    """Groups by links of up to ``sure`` bits, and by others whose texts are alike.
-
-    A link within a group changes nothing and is not checked. The nearest open link of each node is
-    checked first, so a large group needs about one check a member; then all that are left."""
-    nearest = pairs.groupBy("u", "v").agg(F.min("far").alias("far"))
-    nearest = stored(nearest, "pairs")
-    found = stored(nearest.where(F.col("far") <= sure).select("u", "v"), "sure")
-    roots = components(found)
-    open_ = stored(_apart(nearest.where(F.col("far") > sure), roots), "open")
-    for first in (True, False):
-        if open_.isEmpty():
-            break
-        some = open_
-        if first:
-            some = open_.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u"))
-        alike = stored(_checked(some.select("u", "v"), texts, words, least), "alike")
-        found = found.union(alike)
-        roots = components(found)
-        if first:
-            left = open_.join(some.select("u", "v"), ["u", "v"], "left_anti")
-            open_ = stored(_apart(left, roots), "open")
-    return roots
-
-
-def labelled(
-    prints: DataFrame, most: int, parts: int, masks: list[int] | None = None, grouped=components,
-    sure: int | None = None,
-) -> DataFrame:
+def labelled(prints: DataFrame, most: int, masks: list[int]) -> DataFrame:
     """Each row of ``prints`` with its ``node`` and the ``root`` node of its group."""
-    if parts == 1:
-        node, keys = F.col("prints")[0], None
-    else:
-        node, keys = F.xxhash64("prints"), F.col("blocks")
-    if masks is not None:
-        keys = F.array(*[node.bitwiseAND(F.lit(m)) for m in masks])
-    rows = prints.withColumn("node", node)
+    rows = prints.withColumn("node", F.col("prints")[0])
+    keys = F.array(*[F.col("node").bitwiseAND(F.lit(m)) for m in masks])
     nodes = rows.select("node", "prints", keys.alias("keys")).dropDuplicates(["node"])
-    roots = grouped(links(nodes, most, parts, sure)).withColumnRenamed("node", "__node")
+    roots = components(links(nodes, most)).withColumnRenamed("node", "__node")
     return rows.join(roots, rows["node"] == roots["__node"], "left").select(
         "doc_id", "text_hash", "prints", "node", F.coalesce("root", "node").alias("root")
     )
@@ -298,70 +186,8 @@ def components_of(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     if most != 2:
         raise ValueError("four blocks, two of them shared, are made for a distance of two bits")
     prints = stored(fingerprints(docs, words), "prints")
-    rows = stored(labelled(prints, most, 1, pair_tables(4, 2)), "labelled")
+    rows = stored(labelled(prints, most, pair_tables(4, 2)), "labelled")
     least = stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-#: One document of each group: five words, 768 bits in 32 blocks of 24, cut in four orders. Texts
-#: that share 0.8 of their shingles differ in about 0.148 of the bits (angle of the cosine 0.89),
-#: 114 of 768, give or take 10. Three deviations more are looked at; three less need no check.
-WORDS, PARTS, BLOCK, ROUNDS, MOST, SURE = 5, 12, 24, 4, 144, 84
-ALIKE = 0.8
-
-
-def one_of_each(
-    docs: DataFrame, words: int = WORDS, parts: int = PARTS, block: int = BLOCK, most: int = MOST,
-    rounds: int = ROUNDS, sure: int = SURE, least: float = ALIKE,
-) -> DataFrame:
-    """The documents without those near one of smaller id; equal rows leave one."""
-    prints = stored(fingerprints(docs, words, parts, block, rounds), "prints")
-    # Nodes are fingerprints; any of their texts stands for the rest.
-    ends = prints.groupBy(F.xxhash64("prints").alias("node")).agg(F.min("text_hash").alias("h"))
-    keyed_texts = docs.select(F.xxhash64("text").alias("h"), "text")
-
-    def grouped(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "links")
-        wanted = stored(
-            pairs.where(F.col("far") > sure).select(F.explode(F.array("u", "v")).alias("node"))
-            .distinct().join(ends, "node"),
-            "ends",
-        )
-        texts = stored(
-            keyed_texts.join(wanted, "h").dropDuplicates(["node"]).select("node", "text"), "texts"
-        )
-        return checked_roots(pairs, texts, words, least, sure)
-
-    rows = stored(
-        labelled(prints, most, parts, grouped=grouped, sure=sure).select(
-            "doc_id", "text_hash", "root"
-        ),
-        "labelled",
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
-    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    # How often the first row itself occurs, so that its copies can be told from a single row.
-    times = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__times"))
-    chosen = stored(
-        first.select("root", "first.doc_id", "first.text_hash").alias("a")
-        .join(
-            times.alias("b"),
-            (F.col("a.root") == F.col("b.root")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-            & (F.col("a.text_hash") == F.col("b.text_hash")),
-        )
-        .select(
-            F.col("a.doc_id").alias("__id"), F.col("a.text_hash").alias("__hash"), "__times"
-        ),
-        "chosen",
-    )
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = keyed.join(
-        chosen,
-        keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__text_hash"] == chosen["__hash"]),
-    )
-    single = kept.where("__times = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.where("__times > 1")
-    first_copy = repeated.dropDuplicates(["__id", "__hash"])
-    return single.union(first_copy.select(*[F.col(f"`{c}`") for c in docs.columns]))
