@@ -15,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tipweave.llm import line_dedup, mixing, packing, simhash, toxicity
+from tipweave.llm import line_dedup, mixing, near_texts, packing, toxicity
 from tipweave.llm.tables import stored, table
 
 #: Model fitting and graph rounds can't be said in SQL; the tests compare with brute force.
@@ -27,12 +27,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Copies count once: near-dedup comes later, and must find one of each group whole.
+    # Copies count once, near copies too: near-dedup comes later, and must find one of each whole.
     return line_dedup.drop_boilerplate(docs, copies=False).drop("dropped_lines")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_texts.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
