@@ -41,6 +41,7 @@ MOST, SURE, ALIKE = 144, 84, 0.8
 #: Nodes of a bucket that are compared at once.
 CHUNK = 1024
 NEAREST, GROUPS, ALL = range(3)
+LINK, OPEN, LEFT = range(3)
 
 
 def _printed(words: int, parts: int):
@@ -61,21 +62,24 @@ def _printed(words: int, parts: int):
 
 
 def _blocks(parts: int, block: int, rounds: int):
-    """Per node one row for each block: its number and value in one number."""
+    """Per node one row for each block (of whole bytes): its number and value in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choices = block_choices(64 * parts, block, rounds)
-        table = np.arange(len(choices), dtype=np.int64) << block
+        table = np.arange(len(choices), dtype=np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            flat = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint8)
-            bits = np.unpackbits(flat.reshape(len(batch), -1), axis=1)
-            keys = bits[:, choices] @ (1 << np.arange(block, dtype=np.int64)) + table
-            node = np.repeat(np.array(batch.column("node")), len(choices))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(node)], ["bucket", "node"]
-            )
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                flat = np.frombuffer(b"".join(some.column("prints").to_pylist()), np.uint8)
+                bits = np.unpackbits(flat.reshape(len(some), -1), axis=1)
+                packed = np.packbits(bits[:, choices.ravel()], axis=1)
+                keys = np.broadcast_to(table, (len(some), len(choices)))
+                for one in packed.reshape(len(some), len(choices), block // 8).transpose(2, 0, 1):
+                    keys = keys << 8 | one
+                node = np.repeat(np.array(some.column("node")), len(choices))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(node)], ["bucket", "node"]
+                )
 
     return run
 
@@ -142,13 +146,15 @@ def _parts(linked: np.ndarray) -> np.ndarray:
 
 
 def _pairs(most: int, sure: int, what: int):
-    """Of each bucket: sure links (``far`` 0) and pairs to check, as ``(u, v, far)``, u below v."""
+    """Of each bucket: sure links (``kind`` `LINK`) and pairs to check (`OPEN`) as ``(u, v, far)``, u
+    below v; in the first round also the buckets (`LEFT`) where later ones can find any."""
 
-    def of_bucket(node, root, chunk, prints):
+    def of_bucket(bucket, one, other, node, root, chunk, prints):
         order = np.argsort(node)
         node, root, chunk, prints = node[order], root[order], chunk[order], prints[order]
         if (root == root[0]).all():
             return
+        of = np.full(len(node), OPEN)
         far = distances(prints)
         open_ = (root[:, None] != root[None, :]) & (far <= most)
         if chunk.min() != chunk.max():  # each chunk alone is another group
@@ -156,13 +162,15 @@ def _pairs(most: int, sure: int, what: int):
         if what == NEAREST:
             part = _parts(open_ & (far <= sure))
             hit = np.flatnonzero(part != np.arange(len(part)))
-            yield node[part[hit]], node[hit], np.zeros(len(hit), np.int64)
+            yield node[part[hit]], node[hit], far[part[hit], hit].astype(np.int64), of[hit] * 0 + LINK
             open_ &= part[:, None] != part[None, :]
             reach = np.where(open_, far, np.int16(32767))
             best = reach.argmin(1)
             i = np.flatnonzero(open_[np.arange(len(node)), best])
             a, b = node[i], node[best[i]]
-            yield np.minimum(a, b), np.maximum(a, b), far[i, best[i]].astype(np.int64)
+            yield np.minimum(a, b), np.maximum(a, b), far[i, best[i]].astype(np.int64), of[i]
+            if len(i):
+                yield bucket[:1], one[:1], other[:1], of[:1] * 0 + LEFT
             return
         i, k = np.nonzero(np.triu(open_, 1))
         if what == GROUPS and len(i):
@@ -172,7 +180,7 @@ def _pairs(most: int, sure: int, what: int):
             low, high = low[order], high[order]
             first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             i, k = i[order[first]], k[order[first]]
-        yield node[i], node[k], far[i, k].astype(np.int64)
+        yield node[i], node[k], far[i, k].astype(np.int64), of[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -192,12 +200,12 @@ def _pairs(most: int, sure: int, what: int):
                 ends.append(len(held[0]))
             found = [
                 p for a, b in zip(ends, ends[1:])
-                for p in of_bucket(held[3][a:b], held[4][a:b], held[5][a:b], held[6][a:b])
+                for p in of_bucket(*(x[a:b] for x in held))
             ]
             held = [x[ends[-1] :] for x in held]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v", "far"]
+                    [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v", "far", "kind"]
                 )
 
     return run
@@ -217,9 +225,9 @@ def _pairs_of(buckets: DataFrame, roots: DataFrame | None, most: int, sure: int,
     rows = rows.select("bucket", "one", "other", "node", root.alias("root"), "chunk", "prints")
     keys = ["bucket", "one", "other"]
     pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        _pairs(most, sure, what), "u bigint, v bigint, far bigint"
+        _pairs(most, sure, what), "u bigint, v bigint, far bigint, kind bigint"
     )
-    return stored(pairs.groupBy("u", "v").agg(F.min("far").alias("far")), "pairs")
+    return stored(pairs, "pairs")
 
 
 def _alike(words: int, least: float):
@@ -267,18 +275,26 @@ def groups(
     """``(node, root)`` of the nodes ``(node, prints)`` that are not the least of their group."""
     buckets = buckets_of(nodes, parts)
     pairs = _pairs_of(buckets, None, most, sure, NEAREST)
-    links = pairs.where("far = 0").select("u", "v")
+    links = pairs.where(F.col("kind") == LINK).select("u", "v")
+    left = pairs.where(F.col("kind") == LEFT).select(
+        F.col("u").alias("bucket"), F.col("v").alias("one"), F.col("far").alias("other")
+    )
+    pairs = pairs.where(F.col("kind") == OPEN).select("u", "v", "far").distinct()
     roots = components(links)
     seen = None
     for what in (NEAREST, GROUPS, ALL):
         if what == NEAREST:
-            open_ = _apart(pairs.where("far > 0"), roots)
+            open_ = _apart(pairs, roots)
             # The nearest of each node, from whichever bucket.
             ends = open_.select("u", "v", "far", F.explode(F.array("u", "v")).alias("of"))
             chosen = ends.groupBy("of").agg(F.min(F.struct("far", "u", "v")).alias("p"))
             chosen = chosen.select("p.u", "p.v").distinct()
         else:
-            open_ = _apart(_pairs_of(buckets, roots, most, sure, what), roots)
+            if what == GROUPS:
+                some = buckets.join(left, ["bucket", "one", "other"], "left_semi")
+                some = stored(some, "left")
+            found = _pairs_of(some, roots, most, sure, what).select("u", "v", "far").distinct()
+            open_ = _apart(found, roots)
             open_ = open_.join(seen, ["u", "v"], "left_anti")
             chosen = open_.select("u", "v")
             if what == GROUPS:
