@@ -241,20 +241,22 @@ def _alike(words: int, least: float):
                 y = np.unique(shingle_hashes(b.as_py(), words))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).append_column("alike", pa.array(same, pa.bool_()))
+            ends = batch.select(["u", "v", "root_u", "root_v"])
+            yield ends.append_column("alike", pa.array(same, pa.bool_()))
 
     return run
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """``(u, v, alike)``; texts are ``(node, text)``."""
+    """``(u, v, root_u, root_v, alike)``; texts are ``(node, text)``."""
     wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
     some = stored(texts.join(wanted, "node").dropDuplicates(["node"]), "texts")
     for end, name in (("u", "a"), ("v", "b")):
         pairs = pairs.join(some.select(F.col("node").alias(end), F.col("text").alias(name)), end)
     return stored(
-        pairs.select("u", "v", "a", "b").mapInArrow(
-            _alike(words, least), "u bigint, v bigint, alike boolean"
+        pairs.select("u", "v", "root_u", "root_v", "a", "b").mapInArrow(
+            _alike(words, least),
+            "u bigint, v bigint, root_u bigint, root_v bigint, alike boolean",
         ),
         "checked",
     )
@@ -268,6 +270,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_u <> root_v")
 
 
+def _merged(roots: DataFrame, checked: DataFrame) -> DataFrame:
+    """The groups with those joined that hold texts found alike: only groups are looked at again."""
+    links = checked.where("alike").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    new = components(links)
+    onward = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    moved = roots.join(onward, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stored(moved.unionByName(new), "roots")
+
+
 def groups(
     nodes: DataFrame, texts: DataFrame, most: int = MOST, sure: int = SURE, words: int = WORDS,
     least: float = ALIKE, parts: int = PARTS,
@@ -275,20 +286,19 @@ def groups(
     """``(node, root)`` of the nodes ``(node, prints)`` that are not the least of their group."""
     buckets = buckets_of(nodes, parts)
     pairs = _pairs_of(buckets, None, most, sure, NEAREST)
-    links = pairs.where(F.col("kind") == LINK).select("u", "v")
+    roots = components(pairs.where(F.col("kind") == LINK).select("u", "v"))
     left = pairs.where(F.col("kind") == LEFT).select(
         F.col("u").alias("bucket"), F.col("v").alias("one"), F.col("far").alias("other")
     )
     pairs = pairs.where(F.col("kind") == OPEN).select("u", "v", "far").distinct()
-    roots = components(links)
+    pair = F.struct("far", "u", "v", "root_u", "root_v")
     seen = None
     for what in (NEAREST, GROUPS, ALL):
         if what == NEAREST:
             open_ = _apart(pairs, roots)
             # The nearest of each node, from whichever bucket.
-            ends = open_.select("u", "v", "far", F.explode(F.array("u", "v")).alias("of"))
-            chosen = ends.groupBy("of").agg(F.min(F.struct("far", "u", "v")).alias("p"))
-            chosen = chosen.select("p.u", "p.v").distinct()
+            ends = open_.select(pair.alias("p"), F.explode(F.array("u", "v")).alias("of"))
+            chosen = ends.groupBy("of").agg(F.min("p").alias("p")).select("p.*").distinct()
         else:
             if what == GROUPS:
                 some = buckets.join(left, ["bucket", "one", "other"], "left_semi")
@@ -296,18 +306,17 @@ def groups(
             found = _pairs_of(some, roots, most, sure, what).select("u", "v", "far").distinct()
             open_ = _apart(found, roots)
             open_ = open_.join(seen, ["u", "v"], "left_anti")
-            chosen = open_.select("u", "v")
+            chosen = open_
             if what == GROUPS:
                 two = [F.least("root_u", "root_v").alias("a"), F.greatest("root_u", "root_v").alias("b")]
-                chosen = open_.groupBy(*two).agg(F.min(F.struct("far", "u", "v")).alias("p"))
-                chosen = chosen.select("p.u", "p.v")
+                chosen = open_.groupBy(*two).agg(F.min(pair).alias("p")).select("p.*")
         chosen = stored(chosen, "chosen")
         if chosen.isEmpty():
             break
         checked = _checked(chosen, texts, words, least)
-        seen = checked if seen is None else seen.unionByName(checked)
-        links = links.unionByName(checked.where("alike").select("u", "v"))
-        roots = components(links)
+        done = checked.select("u", "v")
+        seen = done if seen is None else seen.unionByName(done)
+        roots = _merged(roots, checked)
     return roots
 
 
