@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 # White space as the source data defines it, direction marks, name punctuation.
 SPACE = r"[\s\x1c-\x1f]"
+WHITE = "".join(map(chr, (
+    *range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)))
 NBSP = "\u00a0"
 DIRECTION_MARKS = "\u200e\u200f"
 SENDER_MARKS = "\u200e\u200f\u202a\u202c"
@@ -32,7 +36,7 @@ def let(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Both ends, any white space (the built-in trim takes plain spaces only)."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -20,6 +20,8 @@ from tipweave.runtime import broadcast_if_small, rows_if_small
 
 MAX_INLINE_RULES = 2_000
 MAX_BROADCAST_RULES = 200_000
+#: More rules than this are looked for by one pattern first, as most texts hold none of them.
+FEW_RULES = 64
 GRAM = 3
 
 
@@ -59,10 +61,15 @@ def _constant(rules: Sequence[Rule], casefold: bool) -> Column:
 
 
 def _hits(text: Column, rules: Sequence[Rule], casefold: bool) -> Column:
-    """Array of (priority, label, n) of the rules found in the text."""
+    """Array of (priority, label, n) of the rules found in the text.
+
+    The rules are looked for in a lambda, so the text is put in lower case before it, once."""
+    return let(F.lower(text), lambda hay: _found(hay, rules, True)) if casefold else _found(text, rules, False)
+
+
+def _found(hay: Column, rules: Sequence[Rule], casefold: bool) -> Column:
     plain = [r for r in rules if not r.guard]
     guarded = [r for r in rules if r.guard]
-    hay = F.lower(text) if casefold else text
     found = []
     if plain:
         present = F.filter(_constant(plain, casefold), lambda r: F.contains(hay, r["keyword"]))
@@ -90,6 +97,9 @@ def _hits(text: Column, rules: Sequence[Rule], casefold: bool) -> Column:
 
 
 def _anything(text: Column, rules: Sequence[Rule], casefold: bool) -> Column:
+    """False only if no rule is found; few rules are looked for one by one at once."""
+    if len(rules) <= FEW_RULES:
+        return F.lit(True)
     plain = contains_any(text, [r.keyword for r in rules if not r.guard], casefold)
     hay = F.lower(text) if casefold else text
     return plain | any_true(hay.rlike(r.guard) for r in rules if r.guard)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable_counted(df: DataFrame, wanted: Column | None = None) -> tuple[DataFrame, int]:
+    """`durable`, and how many of its rows are ``wanted`` (all, if nothing is given), counted while
+    they are written: no job of its own asks whether any are left."""
+    seen = Observation()
+    count = F.count(F.lit(1)) if wanted is None else F.count_if(wanted)
+    return durable(df.observe(seen, count.alias("n"))), seen.get["n"]
+
+
 def join_facts(rows: DataFrame, facts: DataFrame, on, how: str = "inner") -> DataFrame:
     """Rows joined with what was found out about their keys, which may be hot.
 

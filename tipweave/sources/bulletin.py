@@ -42,7 +42,10 @@ def bulletin_items(
     dash = F.when(F.contains("line", F.lit(" – ")), " – ").when(
         F.contains("line", F.lit(" - ")), " - "
     )
-    split = lines.filter(
+    # An item is its line but for white space, so a word of a topical phrase is in the line as well:
+    # what cannot be topical is not parsed.
+    likely = contains_any(F.col("raw"), [max(p.split(), key=len) for p in topical if p.split()])
+    split = lines.filter(likely if topical else F.lit(False)).filter(
         (F.col("line") != "") & ~F.col("line").startswith(skip_prefix) & dash.isNotNull()
     ).withColumn("_at", F.position(dash, F.col("line")))
     name = fold_spaces(
