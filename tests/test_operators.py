@@ -380,6 +380,41 @@ def test_additions_equal_one_by_one(spark):
     assert accepted.count() + refused.count() == df.count()
 
 
+def _one_by_one(rows):
+    taken, won = set(), []
+    for i, phones in rows:
+        if not taken & set(phones):
+            taken |= set(phones)
+            won.append(i)
+    return won
+
+
+@pytest.mark.parametrize("settled", [2048, 16])
+def test_additions_along_a_chain_and_around_a_hub(spark, monkeypatch, settled):
+    """Each row of the chain shares a phone with the next; all of the hub share one."""
+    monkeypatch.setattr(ov, "SETTLED", settled)
+
+    def phone(i):
+        return f"05{i:08d}"
+
+    n = 2000 if settled > 1000 else 60
+    rows = [(i, [phone(i), phone(i + 1)]) for i in range(n)]
+    rows += [(n + i, [phone(50_000_000), phone(60_000_000 + i)]) for i in range(300)]
+    df = spark.createDataFrame(
+        [(i, "x", p[0], p[0], p) for i, p in rows],
+        "seq bigint, name string, phone string, phone_display string, phones array<string>",
+    )
+    spark.sparkContext.setJobGroup(f"chain-{settled}", "")
+    accepted, refused = ov.accept_additions(df, df.limit(0))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{settled}"))
+    spark.sparkContext.setJobGroup("", "")
+    want = _one_by_one(rows)
+    assert sorted(r.seq for r in accepted.collect()) == want
+    assert refused.count() == len(rows) - len(want)
+    if settled > 1000:
+        assert jobs < 150  # one by one it would be a thousand rounds
+
+
 def test_normaliser_rules_see_earlier_results(spark):
     df = spark.createDataFrame(
         [("x", "a", ""), ("barber", "z", ""), ("y", "mebty", ""), ("y", "meb", ""), ("a", "z", "")],

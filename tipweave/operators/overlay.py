@@ -9,15 +9,19 @@ aggregates that combine before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import cycle
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipweave.functions.phone import digits, last10
 from tipweave.functions.text import blank, non_blank, strip
-from tipweave.runtime import durable
+from tipweave.operators.components import connected_components
+from tipweave.runtime import durable, durable_counted, join_facts
 
+#: Rows of a component that one aggregate settles.
+SETTLED = 2048
 EDITABLE = ("name", "phone", "phone_display", "field", "extra_info", "recommender", "note")
 VENUE_COLUMNS = (
     "name", "restaurant_type", "location", "note", "extra_info", "website", "recommender",
@@ -203,32 +207,28 @@ def accept_additions(
 
     A row is refused if it shares a phone key with the catalogue, or with an earlier row of the
     batch that is itself accepted; keys meet in equi-joins. Within a batch an earlier row that was
-    refused must not block a later one, so rows are settled in rounds from the front: each round
-    accepts the rows that are first for all of their keys and refuses those that share a key with
-    them. Every round settles at least the first open row of each chain.
+    refused must not block a later one, so order matters along chains of rows that share keys.
+
+    Rows that are first for all of their keys are accepted at once, and what shares a key with them
+    is refused: that settles hot keys. What is left falls into components; of each, the first
+    ``SETTLED`` rows are settled in order by one aggregate, as no later row has a say in them. So a
+    chain takes one pass for every ``SETTLED`` rows, and most batches one in all.
     """
     keys = phone_keys(F.col("phone"), F.col("phone_display"), F.col("phones"))
     wanted = requests.select(seq, F.explode(keys).alias("phone_key"))
     taken = catalogue.select(F.explode(keys).alias("phone_key")).distinct()
     clash = wanted.join(taken, "phone_key", "left_semi").select(seq).distinct()
-    open_rows = durable(wanted.join(clash, seq, "left_anti"))
+    open_rows, left = durable_counted(wanted.join(clash, seq, "left_anti").distinct())
     accepted = None
-    while True:
-        first = open_rows.groupBy("phone_key").agg(F.min(seq).alias("_first"))
-        ranked = open_rows.join(first, "phone_key")
-        winners = (
-            ranked.groupBy(seq)
-            .agg(F.bool_and(F.col("_first") == F.col(seq)).alias("_wins"))
-            .filter("_wins")
-            .select(seq)
-        )
-        winners = durable(winners)
-        if winners.isEmpty():
+    for settle in cycle((_first_of_all, _in_order)):
+        if not left:
             break
-        accepted = winners if accepted is None else accepted.union(winners)
-        won_keys = open_rows.join(winners, seq, "left_semi").select("phone_key").distinct()
-        losers = open_rows.join(won_keys, "phone_key", "left_semi").select(seq).distinct()
-        open_rows = durable(open_rows.join(losers, seq, "left_anti"))
+        won, done = settle(open_rows, seq)
+        accepted = won if accepted is None else accepted.unionByName(won)
+        won_keys = durable(open_rows.join(won, seq).select("phone_key").distinct())
+        losers = open_rows.join(won_keys, "phone_key", "left_semi").select(seq)
+        gone = durable(losers.unionByName(done).distinct())
+        open_rows, left = durable_counted(open_rows.join(gone, seq, "left_anti"))
     if accepted is None:
         return requests.filter("false"), requests
     return (
@@ -237,6 +237,41 @@ def accept_additions(
     )
 
 
+def _first_of_all(open_rows: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that no earlier row shares a key with, twice: as accepted and as settled."""
+    first = open_rows.groupBy("phone_key").agg(F.min(seq).alias("_first"))
+    ranked = join_facts(open_rows, first, "phone_key")
+    wins = ranked.groupBy(seq).agg(F.bool_and(F.col("_first") == F.col(seq)).alias("_wins"))
+    won = durable(wins.filter("_wins").select(seq))
+    return won, won
+
+
+def _in_order(open_rows: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """The first rows of each component, settled one after another: accepted ones, and all."""
+    row, key = F.concat(F.lit("r"), F.col(seq)), F.concat(F.lit("k"), F.col("phone_key"))
+    parts = connected_components(open_rows.select(row.alias("u"), key.alias("v")))
+    listed = open_rows.groupBy(seq).agg(F.collect_set("phone_key").alias("_keys"))
+    placed = listed.withColumn("node", row).join(durable(parts), "node")
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(seq))
+    early = durable(placed.withColumn("_rank", rank).filter(F.col("_rank") <= SETTLED))
+    kind = open_rows.schema[seq].dataType.simpleString()
+    none = F.struct(
+        F.array().cast("array<string>").alias("taken"), F.array().cast(f"array<{kind}>").alias("won")
+    )
+
+    def step(state: Column, now: Column) -> Column:
+        return F.when(F.arrays_overlap(state["taken"], now["_keys"]), state).otherwise(
+            F.struct(
+                F.concat(state["taken"], now["_keys"]).alias("taken"),
+                F.concat(state["won"], F.array(now[seq])).alias("won"),
+            )
+        )
+
+    in_order = F.array_sort(F.collect_list(F.struct(seq, "_keys")))
+    won = early.groupBy("component").agg(F.aggregate(in_order, none, step)["won"].alias("won"))
+    return durable(won.select(F.explode("won").alias(seq))), early.select(seq)
+
+
 def merge_venue_changes(venues: DataFrame, added: DataFrame, changes: DataFrame) -> DataFrame:
     """Add, update and delete venues by id; an update that would blank the name is not applied."""
     deleted = changes.filter("op = 'delete'").select(F.col("key").alias("id")).distinct()
