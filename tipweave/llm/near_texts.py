@@ -8,12 +8,13 @@ for 64 bits and four blocks. So fingerprints have 768 bits here, cut in four ord
    fingerprints back and are kept: the buckets.
 2. A task reads its buckets one after another and takes all Hamming distances of a bucket by matrices.
    It sends no pairs: nodes within ``SURE`` bits (no check needed) are sent linked with the least one
-   of their part of the bucket, and each node with the nearest node beyond, up to ``MOST`` bits.
+   of their part of the bucket, and each part with the nearest node beyond, up to ``MOST`` bits.
    A bucket of over ``CHUNK`` nodes is cut in chunks that meet two by two in tasks of their own.
 3. Pairs beyond ``SURE`` count if their texts share 0.8 of their shingles. First the nearest pair of
-   each node is checked, then, among what is still apart, the nearest of each two groups, then all
-   that is left. A pair within a group changes nothing and is never checked, so a large group costs
-   about one check a node; three rounds do, whatever the size of a bucket.
+   each group is checked, for the blocks of the first order and then, with the groups so made, for
+   the others; then, among what is still apart, the nearest of each two groups, then all that is
+   left. A pair within a group changes nothing and is never checked, so a large group costs about
+   one check a node; four rounds do, whatever the size of a bucket.
 
 Defined cases: a null or blank text has a fingerprint of zeros and is like any other such; equal texts
 and repeated rows share a node, and one row of them stays; rows without an id stay only if no row of
@@ -160,15 +161,21 @@ def _pairs(most: int, sure: int, what: int):
         if chunk.min() != chunk.max():  # each chunk alone is another group
             open_ &= chunk[:, None] != chunk[None, :]
         if what == NEAREST:
-            part = _parts(open_ & (far <= sure))
-            hit = np.flatnonzero(part != np.arange(len(part)))
+            part = _parts((root[:, None] == root[None, :]) | (open_ & (far <= sure)))
+            _, first = np.unique(root, return_index=True)  # one member of each group
+            hit = first[root[first] != root[part[first]]]
             yield node[part[hit]], node[hit], far[part[hit], hit].astype(np.int64), of[hit] * 0 + LINK
+            # Of each part the nearest pair with another one.
             open_ &= part[:, None] != part[None, :]
             reach = np.where(open_, far, np.int16(32767))
             best = reach.argmin(1)
-            i = np.flatnonzero(open_[np.arange(len(node)), best])
-            a, b = node[i], node[best[i]]
-            yield np.minimum(a, b), np.maximum(a, b), far[i, best[i]].astype(np.int64), of[i]
+            near = reach[np.arange(len(node)), best]
+            order = np.lexsort((near, part))
+            i = order[np.unique(part[order], return_index=True)[1]]
+            i = i[near[i] < 32767]
+            a, b = np.minimum(i, best[i]), np.maximum(i, best[i])
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            yield node[a], node[b], far[a, b].astype(np.int64), of[a]
             if len(i):
                 yield bucket[:1], one[:1], other[:1], of[:1] * 0 + LEFT
             return
@@ -270,9 +277,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_u <> root_v")
 
 
-def _merged(roots: DataFrame, checked: DataFrame) -> DataFrame:
-    """The groups with those joined that hold texts found alike: only groups are looked at again."""
-    links = checked.where("alike").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+def _merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
+    """The groups with those joined that are linked: only groups are looked at again."""
+    links = linked.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
     new = components(links)
     onward = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
     moved = roots.join(onward, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
@@ -285,38 +292,46 @@ def groups(
 ) -> DataFrame:
     """``(node, root)`` of the nodes ``(node, prints)`` that are not the least of their group."""
     buckets = buckets_of(nodes, parts)
-    pairs = _pairs_of(buckets, None, most, sure, NEAREST)
-    roots = components(pairs.where(F.col("kind") == LINK).select("u", "v"))
-    left = pairs.where(F.col("kind") == LEFT).select(
-        F.col("u").alias("bucket"), F.col("v").alias("one"), F.col("far").alias("other")
-    )
-    pairs = pairs.where(F.col("kind") == OPEN).select("u", "v", "far").distinct()
     pair = F.struct("far", "u", "v", "root_u", "root_v")
-    seen = None
-    for what in (NEAREST, GROUPS, ALL):
+    of_first = F.shiftright("bucket", BLOCK) < 64 * parts // BLOCK
+    roots = seen = some = None
+    # The first order of blocks makes most of a group one; the others then have little to say of it.
+    for what, wave in ((NEAREST, of_first), (NEAREST, ~of_first), (GROUPS, None), (ALL, None)):
         if what == NEAREST:
-            open_ = _apart(pairs, roots)
-            # The nearest of each node, from whichever bucket.
-            ends = open_.select(pair.alias("p"), F.explode(F.array("u", "v")).alias("of"))
-            chosen = ends.groupBy("of").agg(F.min("p").alias("p")).select("p.*").distinct()
+            found = _pairs_of(buckets.where(wave), roots, most, sure, what)
+            links = found.where(F.col("kind") == LINK).select("u", "v")
+            if roots is None:
+                roots = components(links)
+            else:
+                roots = _merged(roots, _apart(links, roots))
+            left = found.where(F.col("kind") == LEFT).select(
+                F.col("u").alias("bucket"), F.col("v").alias("one"), F.col("far").alias("other")
+            )
+            # Buckets that the later rounds read again.
+            more = buckets.where(wave).join(left, ["bucket", "one", "other"], "left_semi")
+            some = more if some is None else some.unionByName(more)
+            found = found.where(F.col("kind") == OPEN)
         else:
             if what == GROUPS:
-                some = buckets.join(left, ["bucket", "one", "other"], "left_semi")
                 some = stored(some, "left")
-            found = _pairs_of(some, roots, most, sure, what).select("u", "v", "far").distinct()
-            open_ = _apart(found, roots)
+            found = _pairs_of(some, roots, most, sure, what)
+        open_ = _apart(found.select("u", "v", "far").distinct(), roots)
+        if seen is not None:
             open_ = open_.join(seen, ["u", "v"], "left_anti")
-            chosen = open_
-            if what == GROUPS:
-                two = [F.least("root_u", "root_v").alias("a"), F.greatest("root_u", "root_v").alias("b")]
-                chosen = open_.groupBy(*two).agg(F.min(pair).alias("p")).select("p.*")
+        chosen = open_
+        if what == NEAREST:  # of each group, from whichever bucket
+            ends = open_.select(pair.alias("p"), F.explode(F.array("root_u", "root_v")).alias("of"))
+            chosen = ends.groupBy("of").agg(F.min("p").alias("p")).select("p.*").distinct()
+        elif what == GROUPS:
+            two = [F.least("root_u", "root_v").alias("a"), F.greatest("root_u", "root_v").alias("b")]
+            chosen = open_.groupBy(*two).agg(F.min(pair).alias("p")).select("p.*")
         chosen = stored(chosen, "chosen")
         if chosen.isEmpty():
-            break
+            continue
         checked = _checked(chosen, texts, words, least)
         done = checked.select("u", "v")
         seen = done if seen is None else seen.unionByName(done)
-        roots = _merged(roots, checked)
+        roots = _merged(roots, checked.where("alike"))
     return roots
 
 
