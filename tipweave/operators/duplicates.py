@@ -459,5 +459,9 @@ def nest_phones(catalogue: DataFrame, phones: DataFrame) -> DataFrame:
     return catalogue.join(lists, "group_id", "left")
 
 
+def report_keys(label: str) -> list[Column]:
+    return [F.desc("n_phones"), F.col("norm_field"), F.col(label)]
+
+
 def report_order(groups: DataFrame, label: str) -> DataFrame:
-    return groups.orderBy(F.desc("n_phones"), "norm_field", label)
+    return groups.orderBy(*report_keys(label))

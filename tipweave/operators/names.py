@@ -167,23 +167,30 @@ def is_junk_capture(c: Column, r: NameRules) -> Column:
     )
 
 
-def scrub_foreign_letters(c: Column, script: str, letters: str, passes: int = 4) -> Column:
+def scrub_foreign_letters(
+    c: Column, script: str, letters: str, repairs: Sequence[tuple[str, str]] = (), passes: int = 10
+) -> Column:
     """Remove stray lower-case runs of another script from a name written in ``script``.
 
-    Each pass removes a run at the start, at the end, between words and inside words; a name of
-    at most ``CLEAN_LENGTH`` letters is stable after a few passes.
+    ``repairs`` are (pattern, text) pairs for letters that stand for one of the script; they come
+    first. Each pass removes a run at the start, at the end, between words and inside words; up to
+    ten passes are the rule, and a pass that finds nothing changes nothing.
     """
-    t = strip(blank(c))
+    whole = strip(blank(c))
+    for pattern, new in repairs:
+        whole = F.regexp_replace(whole, pattern, new)
+    t = whole
     for _ in range(passes):
         t = strip(F.regexp_replace(t, rf"^{letters}(?={script})", ""))
-        t = strip(F.regexp_replace(t, rf"(?<={script})\s+{letters}\s*$", ""))
-        t = F.regexp_replace(t, rf"(?<={script})\s+{letters}(?=\s+{script})", " ")
+        t = strip(F.regexp_replace(t, rf"(?U)(?<={script})\s+{letters}\s*$", ""))
+        t = F.regexp_replace(t, rf"(?U)(?<={script})\s+{letters}(?=\s+{script})", " ")
         t = F.regexp_replace(t, rf"(?<={script}){letters}(?={script})", " ")
         t = fold_spaces(t)
-    return F.when(c.rlike(script), t).otherwise(blank(c))
+    scrubbed = F.when(c.rlike(letters), t).otherwise(fold_spaces(whole))
+    return F.when(c.rlike(script), scrubbed).otherwise(blank(c))
 
 
-def clean_name(raw: Column, r: NameRules, scrub: tuple[str, str] | None = None) -> Column:
+def clean_name(raw: Column, r: NameRules, scrub: tuple | None = None) -> Column:
     """A tidy plausible name, or null."""
     s = strip_chars(drop_edit_markers(raw), QUOTES)
     s = F.regexp_replace(s, rf"(?U){SPACE}+", " ")

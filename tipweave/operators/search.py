@@ -66,11 +66,14 @@ def facets(catalogue: DataFrame, column: str) -> DataFrame:
     )
 
 
+def facet_keys(locale: str | None = None) -> list[Column]:
+    """Sort keys of facet values; with ``locale`` in the order of that language."""
+    value = F.col("value")
+    return [F.collate(value, locale), value] if locale else [value]
+
+
 def facet_order(values: DataFrame, locale: str | None = None) -> DataFrame:
-    """Values in order; with ``locale`` in the order of that language."""
-    if locale:
-        return values.orderBy(F.collate(F.col("value"), locale), "value")
-    return values.orderBy("value")
+    return values.orderBy(*facet_keys(locale))
 
 
 def category_list(catalogue: DataFrame, other: str, column: str = "field") -> DataFrame:
@@ -110,8 +113,12 @@ def show_venues(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def name_keys() -> list[Column]:
+    return [F.lower("name"), F.col("name")]
+
+
 def by_name(catalogue: DataFrame) -> DataFrame:
-    return catalogue.orderBy(F.lower("name"), "name")
+    return catalogue.orderBy(*name_keys())
 
 
 def shown_of_total(catalogue: DataFrame, found: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tipweave.runtime import durable
+
 RANGE_WIDTH = 1 << 18
 
 
@@ -38,7 +40,7 @@ def renumber(
     )
 
 
-def numbered(rows: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], out: str = "seq") -> DataFrame:
     """A distinct integer per row that follows ``order``.
 
     Rows are sorted into ranges and numbered inside them; ranges are as even as the data allows.
@@ -47,6 +49,17 @@ def numbered(rows: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
     return ranged.withColumn(out, F.monotonically_increasing_id())
 
 
+def placed(rows: DataFrame, order: Sequence[str | Column], out: str = "place") -> DataFrame:
+    """Add ``out`` = 0, 1, 2, … over all rows in ``order``, so that an order shows in the rows.
+
+    Rows are kept sorted by ranges, and the sizes of the earlier ranges (one row per range) are
+    added. The order should end with a column that tells equal rows apart.
+    """
+    # The number of a row holds its range above bit 33.
+    kept = durable(numbered(rows, [*order], "_at"))
+    return renumber(kept, [], "_at", out, 1 << 33).drop("_at")
+
+
 def around(
     rows: DataFrame,
     wanted: DataFrame,

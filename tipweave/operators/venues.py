@@ -267,7 +267,7 @@ class VenueRules:
     qualifiers: Sequence[str] = ()
     brands: Sequence[tuple[str, str]] = ()
     spellings: Sequence[tuple[str, str]] = ()
-    scrub: tuple[str, str] | None = None
+    scrub: tuple | None = None
     source_label: str = ""
 
 

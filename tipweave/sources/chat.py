@@ -132,7 +132,13 @@ def worth_scanning(messages: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Text members of zipped exports: (archive, member_no, member, content).
+    """Text members of zipped exports in a folder, see ``open_archives``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return open_archives(files.select("path", "content"))
+
+
+def open_archives(files: DataFrame) -> DataFrame:
+    """Text members of archives ``(path, content)``: ``(archive, member_no, member, content)``.
 
     One archive is opened by one task; a member is decoded with bad bytes replaced.
     """
@@ -152,7 +158,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                                 }
                             )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInPandas(
         members, "archive string, member_no long, member string, content string"
     )
