@@ -282,6 +282,34 @@ def test_passages_against_brute_force(spark):
             assert (i, text) in {(r[0], r[1]) for r in rows}
 
 
+def test_passages_that_start_and_end_inside_units(spark):
+    rng = random.Random(37)
+
+    def text(n):
+        parts = []
+        while n > 0:
+            size = min(n, rng.randrange(3, 19))
+            parts.append(" ".join(words(rng, size, 9000)) + rng.choice(",.;\n"))
+            n -= size
+        return " ".join(parts)
+
+    rows, plain = [], []
+    for i in range(300):
+        source = text(150).split(" ")
+        at, size = rng.randrange(1, 60), rng.randrange(51, 81)
+        own = [text(40).rstrip(",.;\n"), text(40)]
+        rows.append((i, " ".join(source)))
+        rows.append((1000 + i, f"{own[0]} {' '.join(source[at:at + size])} {own[1]}"))
+        plain.append((2000 + i, text(120)))
+    docs = spark.createDataFrame(rows + plain, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in unit_dedup.without_repeats(docs).collect()}
+    found = [i for i in range(300) if got[1000 + i].cuts]
+    assert len(found) >= 285
+    for i in found:  # the words around the passage stay
+        assert len(got[1000 + i].text.split()) >= 70
+    assert all(got[i].text == t for i, t in plain + rows[::2])
+
+
 def test_passages_keep_columns_and_take_no_rows(spark):
     docs = clashing(odd_docs(spark)).withColumn("cuts", F.lit("mine"))
     got = unit_dedup.without_repeats(docs)

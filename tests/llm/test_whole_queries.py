@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -91,23 +92,60 @@ def test_page_texts(spark):
     assert all(t for _, _, t, _ in want)
 
 
+def longer_passage(text, run, of_first):
+    """The span around a short run that agrees word by word with where its longest unit is first."""
+    start, end, size, (_, _, unit_start, unit_end, (other, o_start, o_end)) = run
+    mine = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\s.,;:!?]+", text)]
+    theirs = [(m.start(), m.end(), m[0].lower())
+              for m in re.finditer(r"[^\s.,;:!?]+", of_first[other])]
+    i, j = (next(n for n, w in enumerate([*ws, (9**9,) * 3]) if w[0] >= s)
+            for ws, s in ((mine, unit_start), (theirs, o_start)))
+    k, m = (next(n for n, w in enumerate([*ws, (9**9,) * 3]) if w[0] >= e)
+            for ws, e in ((mine, unit_end), (theirs, o_end)))
+    back = on = 0
+    while back < unit_dedup.REACH and min(i, j) > back and mine[i - 1 - back][2] == theirs[j - 1 - back][2]:
+        back += 1
+    while (on < unit_dedup.REACH and k + on < len(mine) and m + on < len(theirs)
+           and mine[k + on][2] == theirs[m + on][2]):
+        on += 1
+    agree = back + k - i + on
+    if agree < unit_dedup.PASSAGE_WORDS:
+        return None
+    return (min(start, mine[i - back][0]), max(end, mine[k + on - 1][1]), max(size, agree))
+
+
 def test_passages(spark, docs):
-    first: dict[str, int] = {}
+    first: dict[str, tuple] = {}
     got = {r.doc_id: r for r in rows(spark, "op10_unit_dedup")}
     assert len(got) == len(docs)
+    texts = {d.doc_id: d.text or "" for d in docs}
+    longer = 0
     for d in sorted(docs, key=lambda d: d.doc_id):
         text = d.text or ""
         runs: list[list] = []
         for place, (start, end, unit) in enumerate(unit_dedup.units(text)):
+            size = unit.count(" ") + 1
             if unit in first:
+                best = (size, place, start, end, first[unit])
                 if runs and runs[-1][0] == place - 1:
-                    runs[-1] = [place, runs[-1][1], end, runs[-1][3] + unit.count(" ") + 1]
+                    last = runs[-1]
+                    runs[-1] = [place, last[1], end, last[3] + size, max(last[4], best)]
                 else:
-                    runs.append([place, start, end, unit.count(" ") + 1])
-            first.setdefault(unit, d.doc_id)
-        cuts = [tuple(r[1:]) for r in runs if r[3] >= unit_dedup.MIN_WORDS]
+                    runs.append([place, start, end, size, best])
+            first.setdefault(unit, (d.doc_id, start, end))
+        spans = [tuple(r[1:4]) for r in runs if r[3] >= unit_dedup.MIN_WORDS]
+        short = [r[1:] for r in runs if unit_dedup.ANCHOR_WORDS <= r[3] < unit_dedup.MIN_WORDS]
+        more = [s for r in short if (s := longer_passage(text, r, texts))]
+        longer += len(more)
+        cuts: list[tuple] = []
+        for span in sorted(spans + more):
+            if cuts and cuts[-1][1] > span[0]:
+                cuts[-1] = (cuts[-1][0], max(cuts[-1][1], span[1]), max(cuts[-1][2], span[2]))
+            else:
+                cuts.append(span)
         assert [tuple(c) for c in got[d.doc_id].cuts or []] == cuts
         kept, at = "", 0
         for start, end, _ in cuts:
             kept, at = kept + text[at:start], end
         assert (got[d.doc_id].text or "") == kept + text[at:]
+    assert longer

@@ -7,6 +7,11 @@ Neighbouring repeats form a run, and runs of at least ``min_words`` words are cu
 words and short lines that recur by chance, or common lines like licences, stay. The original
 offsets of what was cut are kept.
 
+A passage seldom starts and ends with a unit. A shorter run, of at least ``ANCHOR_WORDS``, is
+therefore compared word by word with the earliest document that has its longest unit, up to
+``REACH`` words to both sides of that unit, into the partial units at both ends; if at least
+``PASSAGE_WORDS`` words agree, they are cut out. Only the words around such units are sent.
+
 Digests are joined with the table of digests that occur more than once. Both are kept or plain
 tables, so Spark can split a digest that occurs everywhere; what is gathered per document is its own
 cuts only.
@@ -20,19 +25,29 @@ the table has it; ``cuts`` and ``cut_chars`` are added or replaced; other column
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipweave.llm.tables import stored
 
-#: A passage of 50 words loses the rest of a unit at both ends, if it starts or ends inside one.
+#: Runs of whole units this long are cut as they are; punctuation at their ends goes with them.
 MIN_WORDS = 32
+#: Shorter runs of at least so many words are compared word by word.
+ANCHOR_WORDS = 8
+#: Words of a passage that is found word by word.
+PASSAGE_WORDS = 50
+#: Words compared at each side of a unit.
+REACH = 64
+#: Units of one id that are looked up together.
+TOGETHER = 1000
 LAST = 2**63 - 1
 
+_WORD = re.compile(r"[^\s.,;:!?]+")
 _UNIT = re.compile(r"[^.,;:!?\n]+[.,;:!?]*")
 _UNITS = pa.schema([
     ("rank", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()),
@@ -70,10 +85,118 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple], schema: pa.Schema = _UNITS) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, _UNITS, strict=True)], schema=_UNITS
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
+
+
+_AROUND = pa.schema([
+    ("rank", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()),
+    ("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()),
+    ("before", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())),
+    ("after", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
+])
+_AROUND_SQL = (
+    "rank bigint, text_hash bigint, place int, digest bigint, start int, end int, words int,"
+    " before array<string>, starts array<int>, after array<string>, ends array<int>"
+)
+
+
+def _look_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted units of each text with the words around them, nearest first."""
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("rank", "text_hash", "wanted")]
+        rows: list[tuple] = []
+        for rank, hashed, wanted, text in zip(*columns, batch.column("text"), strict=True):
+            body, wanted = text.as_py() or "", set(wanted)
+            found = [(m.start(), m.end()) for m in _WORD.finditer(body)]
+            starts = [f[0] for f in found]
+            for place, (start, end, plain) in enumerate(units(body)):
+                d = digest(plain) - 2**63
+                if d not in wanted:
+                    continue
+                first, last = bisect_left(starts, start), bisect_left(starts, end)
+                before, after = found[max(0, first - REACH):first][::-1], found[last:last + REACH]
+                rows.append((
+                    rank, hashed, place, d, start, end, last - first,
+                    [body[a:b].lower() for a, b in before], [a for a, _ in before],
+                    [body[a:b].lower() for a, b in after], [b for _, b in after],
+                ))
+                if len(rows) == 5_000:
+                    yield _rows(rows, _AROUND)
+                    rows = []
+        if rows:
+            yield _rows(rows, _AROUND)
+
+
+def _agreeing(mine: str, theirs: str) -> Column:
+    """How many leading words of two lists agree."""
+    same = F.zip_with(mine, theirs, lambda a, b: a.eqNullSafe(b))
+    differs = F.array_position(same, False)
+    return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")
+
+
+def _word_by_word(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """Spans of the short runs that belong to a longer passage of the earliest document.
+
+    Units are asked for by the id of their document, for rows without one by their text as well.
+    """
+    of = F.when(F.col("rank") == LAST, F.col("text_hash")).otherwise(F.lit(0)).alias("of")
+    same = F.col("first") == F.col("rank")
+    mine = short.select("rank", of, "digest")
+    theirs = short.select(
+        F.col("first").alias("rank"),
+        F.when(same & (F.col("rank") == LAST), F.col("text_hash")).otherwise(F.lit(0)).alias("of"),
+        "digest",
+    )
+    asked = stored(mine.union(theirs).distinct(), "asked")
+    sizes = stored(asked.groupBy("rank", "of").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / TOGETHER)).alias("part")
+    sets = asked.join(sizes, ["rank", "of"]).groupBy("rank", "of", part).agg(
+        F.collect_list("digest").alias("wanted")
+    )
+    found = texts.withColumn("of", of).join(stored(sets, "wanted"), ["rank", "of"])
+    around = stored(
+        found.select("rank", "text_hash", "wanted", "text")
+        .mapInArrow(_look_around, _AROUND_SQL)
+        .dropDuplicates(["rank", "text_hash", "place"]),
+        "around",
+    )
+    earliest = around.groupBy("rank", "digest").agg(
+        F.min_by(F.struct("before", "after"), F.struct("text_hash", "place")).alias("seen")
+    )
+    earliest = stored(earliest.select(
+        F.col("rank").alias("first"), "digest", F.col("seen.before").alias("b"),
+        F.col("seen.after").alias("a"),
+    ), "earliest")
+    own = short.select(
+        "rank", "text_hash", "place", "first", F.col("start").alias("run_start"),
+        F.col("end").alias("run_end"), F.col("words").alias("run_words"),
+    )
+    met = own.join(around, ["rank", "text_hash", "place"]).join(earliest, ["first", "digest"])
+    met = met.withColumns({"back": _agreeing("before", "b"), "on": _agreeing("after", "a")})
+    size = F.col("back") + F.col("words") + F.col("on")
+    start = F.coalesce(F.get("starts", F.col("back") - 1), F.col("start"))
+    end = F.coalesce(F.get("ends", F.col("on") - 1), F.col("end"))
+    return met.where(size >= PASSAGE_WORDS).select(
+        "rank", "text_hash", F.least(start, "run_start").alias("start"),
+        F.greatest(end, "run_end").alias("end"), F.greatest(size, "run_words").alias("words"),
+    )
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """Spans of a text that overlap become one."""
+    earlier = Window.partitionBy("rank", "text_hash").orderBy("start", "end")
+    until = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(until > F.col("start"), 0).otherwise(1)
+    return (
+        spans.withColumn("new", new).withColumn("span", F.sum("new").over(earlier))
+        .groupBy("rank", "text_hash", "span")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"))
+        .drop("span")
     )
 
 
@@ -99,14 +222,29 @@ def repeats(
         "common",
     )
     later = every.join(common, "digest").where("again OR rank > first")
-    later = later.select("rank", "text_hash", "place", "start", "end", "words").distinct()
+    later = later.select(
+        "rank", "text_hash", "place", "start", "end", "words", "digest", "first"
+    ).distinct()
     in_text = Window.partitionBy("rank", "text_hash")
     run = F.col("place") - F.row_number().over(in_text.orderBy("place"))
-    return (
+    longest = F.max_by(F.struct("place", "digest", "first"), F.struct("words", "place"))
+    runs = stored(
         later.withColumn("run", run).groupBy("rank", "text_hash", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-        .where(F.col("words") >= min_words).drop("run")
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
+            longest.alias("unit"),
+        )
+        .where(F.col("words") >= min(ANCHOR_WORDS, min_words)),
+        "runs",
+    )
+    whole = runs.where(F.col("words") >= min_words)
+    short = runs.where(F.col("words") < min_words).select(
+        "rank", "text_hash", "start", "end", "words", "unit.*"
+    )
+    spans = whole.select("rank", "text_hash", "start", "end", "words").unionByName(
+        _word_by_word(_ranked(docs, key, text), short)
     )
+    return _apart(spans)
 
 
 def without_repeats(
