@@ -473,3 +473,26 @@ def test_limit_takes_the_first_mentions(spark):
     )
     got = candidates(messages, cards, ContactRules((), (), [], limit=2)).select("name").collect()
     assert sorted(r.name for r in got) == ["P0", "P1"]
+
+
+def test_places_over_all_rows(spark):
+    rows = [(i, f"n{i * 37 % 11}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, name string").repartition(7)
+    got = {r.id: r.place for r in sq.placed(df, [F.desc("name"), F.col("id")]).collect()}
+    by_name = sorted(sorted(rows), key=lambda r: r[1], reverse=True)
+    assert got == {i: n for n, (i, _) in enumerate(by_name)}
+    assert sq.placed(df.filter("id < 0"), ["id"]).count() == 0
+
+
+def test_foreign_letters_go_to_the_last_run(spark):
+    from tipweave.operators.names import scrub_foreign_letters
+    from tipweave.rules import hebrew
+
+    runs = "א" + "".join(f" ab{c} ג" for c in "cdefghijk")
+    df = spark.createDataFrame(
+        [(runs,), ("kפה בר",), ("Bar ab",), ("בר  ב",), (None,)], "name string"
+    )
+    got = [r[0] for r in df.select(
+        scrub_foreign_letters(F.col("name"), *hebrew.VENUES.scrub)
+    ).collect()]
+    assert got == ["א" + " ג" * 9, "קפה בר", "Bar ab", "בר ב", ""]
