@@ -56,6 +56,23 @@ def test_top_k_of_nothing_and_of_huge_values(spark):
         (1, topk.MOST), (2, -topk.MOST)]
 
 
+def test_top_k_in_parts(spark, monkeypatch):
+    rows = vector_rows()
+    frame = spark.createDataFrame(rows, VECTORS)
+    for values in (2000, 500):  # parts of 250 and of 62 vectors
+        monkeypatch.setattr(topk, "PART_VALUES", values)
+        got = topk.top_k(frame, 7, F.col("id") % 50 == 0).collect()
+        assert sorted(map(tuple, got)) == brute(rows, 7, 50)
+
+
+def test_top_k_of_scores_up_to_what_a_long_holds(spark):
+    rows = [(i, [float(x), 1.0], 0) for i, x in enumerate([2**21, 2**20, 2**20 + 1, -(2**21), 3, 3])]
+    rows += [(10 + i, [float(2**21 - i * 2**10), float(i)], 0) for i in range(8)]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS), 4, F.col("id") % 3 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 3)
+    assert max(r.score for r in got) > 2**60
+
+
 def test_fingerprints_against_brute_force(spark):
     rows = odd_rows()
     got = fingerprints.fingerprint_pairs(clashing(odd_docs(spark))).collect()
