@@ -134,6 +134,28 @@ def test_note_fold_equals_loop(spark, max_notes):
         assert heads[k] == want[:30]
 
 
+@pytest.mark.parametrize("max_notes", [0, 30, 512])
+def test_notes_that_hold_the_separator(spark, max_notes):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9)]
+    base = [(f"k{k}", "c", 0, 0, rng.choice([*words, ""])) for k in range(4)]
+    later = [
+        (f"k{k}", "c", s, 0, rng.choice([" | ", " | ", "|", " "]).join(rng.choices(words, k=rng.randrange(1, 5))))
+        for k in range(3) for s in range(1, 25 + 20 * k)
+    ]
+    # What goes decides who are neighbours: with "a | b" gone, "b | d" lies across the edge of the others.
+    chain = ["a", "b", "a | b", "d", "b | d", "e ", "d | e", " f", "e  |  f", "x|y", "| d", "f"]
+    later += [("k3", "c", s, 0, n) for s, n in enumerate(chain, 1)]
+    schema = "k string, chat_id string, msg_seq long, pos int, note string"
+    order = ["chat_id", "msg_seq", "pos"]
+    kept = fold_notes(
+        spark.createDataFrame(base, schema), spark.createDataFrame(later, schema), "k", order, "note", max_notes
+    )
+    texts = {r.k: r.note for r in note_texts(kept, "k", order, "note").collect()}
+    for k, _, _, _, text in base:
+        assert texts[k] == _fold(text, [n for kk, _, _, _, n in later if kk == k])
+
+
 @pytest.mark.parametrize("n", [510, 512, 513, 515, 2100])
 def test_no_note_is_lost_at_any_number(spark, n):
     schema = "k string, chat_id string, msg_seq long, pos int, note string"

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipweave.operators.dictionary import grams
-from tipweave.runtime import durable
+from tipweave.operators.sequence import placed
+from tipweave.runtime import durable, join_facts
 
 SEPARATOR = " | "
+BAR = "|"
 MAX_NOTES_PER_ROW = 512
 PART_WIDTH = 4096
 _LONG_GRAM = 8
@@ -27,11 +29,12 @@ def fold_notes(
 ) -> DataFrame:
     """Notes that stay after folding, one row each: ``key, order…, note``.
 
-    ``base`` has one row per key, whose note always stays; a later note stays unless it is empty or
-    an earlier note already says it. Equal notes are merged before anything is grouped. A key with
-    up to ``max_notes`` different notes is folded in one row; the notes of a bigger key never meet
-    in one place: each is compared, by a join on a rare run of letters, with the notes that can
-    contain it.
+    ``base`` has one row per key, whose note always stays and comes first; a later note stays unless
+    it is empty or the text of the earlier ones, joined by the separator, already says it. Equal notes
+    are merged before anything is grouped. A key with up to ``max_notes`` different notes is folded in
+    one row; the notes of a bigger key never meet in one place: each is compared, by a join on a rare
+    run of letters, with the notes that can contain it, and one that holds separators also with
+    runs of neighbouring notes. The result is the same either way.
     """
     base = durable(base.select(key, *order, note))
     texts = base.select(key, F.col(note).alias("_base"))
@@ -58,7 +61,8 @@ def fold_notes(
     kept = first.unionByName(kept_few)
     if any_big:
         many = durable(distinct.join(big, key, "left_semi"))
-        kept = kept.unionByName(_not_contained(many, key, "_order", note))
+        single = durable(_not_contained(many, key, "_order", note))
+        kept = kept.unionByName(_not_across(first.join(big, key, "left_semi"), single, key, note))
     return kept.select(key, *[F.col(f"_order.{o}").alias(o) for o in order], note)
 
 
@@ -79,14 +83,12 @@ def _keep_new(base: str, notes: str) -> Column:
     return F.aggregate(notes, start, step, lambda acc: acc["kept"])
 
 
-def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFrame:
-    """Drop each note that an earlier, longer note of the same key contains."""
-    lengths = (*_SHORT_GRAMS, _LONG_GRAM)
-    runs = notes.select(
-        key,
-        order,
-        F.explode(grams(F.col(note), lengths)).alias("_run"),
-    )
+def _runs(texts: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+    return texts.select(*keys, F.explode(grams(text, (*_SHORT_GRAMS, _LONG_GRAM))).alias("_run"))
+
+
+def _rarest(notes: DataFrame, runs: DataFrame, key: str, order: str, note: str) -> DataFrame:
+    """``key, order, _run``: of the runs of each note the one that the fewest texts have."""
     size, middle = F.length(note), max(_SHORT_GRAMS)
     own = (
         F.when(size >= _LONG_GRAM, grams(F.col(note), [_LONG_GRAM]))
@@ -95,13 +97,19 @@ def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFra
     )
     offered = notes.select(key, order, F.explode(own).alias("_run"))
     common = runs.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (
+    return (
         offered.join(common, [key, "_run"])
         .groupBy(key, order)
         .agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
     )
+
+
+def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFrame:
+    """Drop each note that an earlier, longer note of the same key contains."""
+    runs = _runs(notes, [key, order], F.col(note))
     pairs = (
-        rarest.join(runs.withColumnRenamed(order, "_earlier"), [key, "_run"])
+        _rarest(notes, runs, key, order, note)
+        .join(runs.withColumnRenamed(order, "_earlier"), [key, "_run"])
         .filter(F.col("_earlier") < F.col(order))
         .select(key, order, "_earlier")
     )
@@ -118,6 +126,58 @@ def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFra
     return notes.join(told, [key, order], "left_anti").select(key, order, note)
 
 
+def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> DataFrame:
+    """Drop each note that lies across the edges of earlier notes: ``key, _order, note``.
+
+    ``notes`` are those that no single earlier note contains; of them only notes with a bar, or with
+    a space at an end, can match a separator. One with n bars reaches over at most n + 3 notes, so it
+    lies in one of the stretches of 2 (n + 2) notes that start every n + 2 notes, n being the key's
+    greatest. Which notes are neighbours depends on those dropped before, so this is repeated until
+    the same notes go: each time at least the next decision in order is final, mostly all are.
+    """
+    bars = F.length(note) - F.length(F.replace(F.col(note), F.lit(BAR)))
+    crossing = durable(
+        notes.filter((bars > 0) | (F.trim(F.col(note)) != F.col(note))).withColumn("_bars", bars)
+    )
+    if crossing.isEmpty():
+        return notes
+    strides = crossing.groupBy(key).agg((F.max("_bars") + 2).alias("_stride"))
+    crossing = crossing.drop("_bars")
+    gone = None
+    while True:
+        left = notes if gone is None else notes.join(gone, [key, "_order"], "left_anti")
+        lined = placed(join_facts(first.unionByName(left), strides, key), [key, "_order"], "_place")
+        block = F.floor(F.col("_place") / F.col("_stride"))
+        stretches = durable(
+            lined.withColumn("_block", F.explode(F.array(block - 1, block)))
+            .groupBy(key, "_block")
+            .agg(F.array_sort(F.collect_list(F.struct("_order", F.col(note).alias("_note")))).alias("_all"))
+        )
+        runs = _runs(stretches, [key, "_block"], _joined(F.col("_all")))
+        before = F.filter("_all", lambda n: n["_order"] < F.col("_order"))
+        now = durable(
+            _rarest(crossing, runs, key, "_order", note)
+            .join(runs, [key, "_run"])
+            .select(key, "_order", "_block")
+            .join(crossing, [key, "_order"])
+            .join(stretches, [key, "_block"])
+            .filter(F.contains(_joined(before), F.col(note)))
+            .select(key, "_order")
+            .distinct()
+        )
+        if gone is None:
+            same = now.isEmpty()
+        else:
+            same = now.exceptAll(gone).isEmpty() and gone.exceptAll(now).isEmpty()
+        if same:
+            return left
+        gone = now
+
+
+def _joined(notes: Column) -> Column:
+    return F.array_join(F.transform(notes, lambda n: n["_note"]), SEPARATOR)
+
+
 def note_texts(
     kept: DataFrame, key: str, order: Sequence[str], note: str, width: int = PART_WIDTH
 ) -> DataFrame:

@@ -523,3 +523,37 @@ def note_fold_big(spark, folder):
     )
     kept = fold_notes(first, o, "o_orderpriority", order, "note")
     return note_texts(kept, "o_orderpriority", order, "note")
+
+
+FOLD_MARKED = """concat('k', o_custkey % 40,
+  CASE WHEN o_orderkey % 3 > 0 THEN concat(' | k', o_orderkey % 37) ELSE '' END)"""
+
+
+@query(
+    "note_fold_marked",
+    f"""
+    WITH n AS (
+      SELECT o_orderpriority AS contact, o_orderkey, {FOLD_MARKED} AS note FROM orders
+      UNION ALL
+      SELECT concat('customer ', o_custkey), o_orderkey, {FOLD_MARKED} FROM orders)
+    SELECT contact, list_reduce(list(note ORDER BY o_orderkey),
+      lambda acc, n: CASE WHEN contains(acc, n) THEN acc ELSE acc || ' | ' || n END) AS note
+    FROM n GROUP BY contact
+    """,
+)
+def note_fold_marked(spark, folder):
+    """Notes that hold the separator, of contacts with few and with very many notes."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderpriority", F.concat(F.lit("customer "), "o_custkey").alias("customer"),
+        F.lit(0).alias("chat_id"), F.col("o_orderkey").alias("msg_seq"), F.lit(0).alias("pos"),
+        F.expr(FOLD_MARKED).alias("note"),
+    )
+    order = ["chat_id", "msg_seq", "pos"]
+    contact = F.explode(F.array("o_orderpriority", "customer")).alias("contact")
+    notes = orders.select(contact, *order, "note")
+    place = F.struct(*order)
+    first = notes.groupBy("contact").agg(F.min(place).alias("o"), F.min_by("note", place).alias("note"))
+    starts = first.select("contact", F.col("o.msg_seq").alias("_first"))
+    later = notes.join(starts, "contact").filter("msg_seq > _first")
+    kept = fold_notes(first.select("contact", "o.*", "note"), later, "contact", order, "note")
+    return note_texts(kept, "contact", order, "note")
