@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,7 +134,8 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
     a space at an end, can match a separator. One with n bars reaches over at most n + 3 notes, so it
     lies in one of the stretches of 2 (n + 2) notes that start every n + 2 notes, n being the key's
     greatest. Which notes are neighbours depends on those dropped before, so this is repeated until
-    the same notes go: each time at least the next decision in order is final, mostly all are.
+    the same notes go: each time at least the next decision in order is final, mostly all are. Keys
+    of which the same notes go are done.
     """
     bars = F.length(note) - F.length(F.replace(F.col(note), F.lit(BAR)))
     crossing = durable(
@@ -143,10 +145,12 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
         return notes
     strides = crossing.groupBy(key).agg((F.max("_bars") + 2).alias("_stride"))
     crossing = crossing.drop("_bars")
-    gone = None
+    some_first, some_notes, some_crossing = first, notes, crossing
+    gone = durable(crossing.select(key, "_order").filter(F.lit(False)))
+    finished = []
     while True:
-        left = notes if gone is None else notes.join(gone, [key, "_order"], "left_anti")
-        lined = placed(join_facts(first.unionByName(left), strides, key), [key, "_order"], "_place")
+        left = some_notes.join(gone, [key, "_order"], "left_anti")
+        lined = placed(join_facts(some_first.unionByName(left), strides, key), [key, "_order"], "_place")
         block = F.floor(F.col("_place") / F.col("_stride"))
         stretches = durable(
             lined.withColumn("_block", F.explode(F.array(block - 1, block)))
@@ -156,22 +160,24 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
         runs = _runs(stretches, [key, "_block"], _joined(F.col("_all")))
         before = F.filter("_all", lambda n: n["_order"] < F.col("_order"))
         now = durable(
-            _rarest(crossing, runs, key, "_order", note)
+            _rarest(some_crossing, runs, key, "_order", note)
             .join(runs, [key, "_run"])
             .select(key, "_order", "_block")
-            .join(crossing, [key, "_order"])
+            .join(some_crossing, [key, "_order"])
             .join(stretches, [key, "_block"])
             .filter(F.contains(_joined(before), F.col(note)))
             .select(key, "_order")
             .distinct()
         )
-        if gone is None:
-            same = now.isEmpty()
-        else:
-            same = now.exceptAll(gone).isEmpty() and gone.exceptAll(now).isEmpty()
-        if same:
-            return left
-        gone = now
+        changed = now.exceptAll(gone).unionByName(gone.exceptAll(now))
+        moved = durable(changed.select(key).distinct())
+        finished.append(now.join(moved, key, "left_anti"))
+        if moved.isEmpty():
+            return notes.join(reduce(DataFrame.unionByName, finished), [key, "_order"], "left_anti")
+        gone = now.join(moved, key, "left_semi")
+        some_first, some_notes, some_crossing = (
+            rows.join(moved, key, "left_semi") for rows in (first, notes, crossing)
+        )
 
 
 def _joined(notes: Column) -> Column:
