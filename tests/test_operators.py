@@ -14,12 +14,14 @@ from tipweave.operators import category as cat
 from tipweave.operators import dictionary as di
 from tipweave.operators import duplicates as dup
 from tipweave.operators import mentions as m
+from tipweave.operators import notes
 from tipweave.operators import overlay as ov
 from tipweave.operators import sequence as sq
 from tipweave.operators import votes as vt
 from tipweave.operators.components import connected_components
 from tipweave.operators.notes import fold_notes, note_heads, note_texts
 from tipweave.operators.verdicts import read_venues, read_verdict
+from tipweave.runtime import durable
 
 
 def test_phone_forms(spark):
@@ -166,6 +168,18 @@ def test_no_note_is_lost_at_any_number(spark, n):
     assert row.note == " | ".join(["base", *[f"note {i:05d}" for i in range(1, n + 1)]])
 
 
+def test_notes_never_meet_by_a_broadcast(spark):
+    """Like notes take next to nothing as a table, and many times that in the driver."""
+    rows = spark.range(2000).select(
+        F.lit("k").alias("k"), F.struct(F.col("id").alias("msg_seq")).alias("_order"),
+        F.format_string("note %09d", F.col("id") - F.col("id") % 2).alias("note"),
+    )
+    rows = rows.withColumn("note", F.concat("note", F.when(F.col("_order.msg_seq") % 2 == 0, "!").otherwise("")))
+    told = notes._not_contained(durable(rows), "k", "_order", "note")
+    assert {r.note[-1] for r in told.collect()} == {"!"} and told.count() == 1000
+    assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merged_notes_are_whole(spark):
     rows = [(i, "Dan Cohen", f"05000{i % 2}", "x", False, f"note {i:05d}", "") for i in range(600)]
     schema = "seq long, name string, phone string, field string, from_local boolean, note string, extra_info string"

@@ -84,8 +84,21 @@ def _keep_new(base: str, notes: str) -> Column:
     return F.aggregate(notes, start, step, lambda acc: acc["kept"])
 
 
-def _runs(texts: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    return texts.select(*keys, F.explode(grams(text, (*_SHORT_GRAMS, _LONG_GRAM))).alias("_run"))
+def _sorted_in(rows: DataFrame) -> DataFrame:
+    """Rows of a size with the notes, to be joined by a sort: kept as a table, like notes are many
+    times smaller than in memory, and the planner would send them whole through the driver."""
+    return rows.hint("merge")
+
+
+def _sizes(notes: DataFrame, note: str) -> list[int]:
+    """The sizes of the runs that ``_rarest`` looks for; no text needs others."""
+    size = F.least(F.length(note), F.lit(max(_SHORT_GRAMS)))
+    wanted = F.when(F.length(note) >= _LONG_GRAM, _LONG_GRAM).otherwise(size)
+    return sorted(r[0] for r in notes.select(wanted).distinct().collect())
+
+
+def _runs(texts: DataFrame, keys: Sequence[str], text: Column, sizes: Sequence[int]) -> DataFrame:
+    return texts.select(*keys, F.explode(grams(text, sizes)).alias("_run"))
 
 
 def _rarest(notes: DataFrame, runs: DataFrame, key: str, order: str, note: str) -> DataFrame:
@@ -99,7 +112,7 @@ def _rarest(notes: DataFrame, runs: DataFrame, key: str, order: str, note: str)
     offered = notes.select(key, order, F.explode(own).alias("_run"))
     common = runs.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        offered.join(common, [key, "_run"])
+        offered.join(_sorted_in(common), [key, "_run"])
         .groupBy(key, order)
         .agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
     )
@@ -107,24 +120,24 @@ def _rarest(notes: DataFrame, runs: DataFrame, key: str, order: str, note: str)
 
 def _not_contained(notes: DataFrame, key: str, order: str, note: str) -> DataFrame:
     """Drop each note that an earlier, longer note of the same key contains."""
-    runs = _runs(notes, [key, order], F.col(note))
+    runs = _runs(notes, [key, order], F.col(note), _sizes(notes, note))
     pairs = (
         _rarest(notes, runs, key, order, note)
-        .join(runs.withColumnRenamed(order, "_earlier"), [key, "_run"])
+        .join(_sorted_in(runs.withColumnRenamed(order, "_earlier")), [key, "_run"])
         .filter(F.col("_earlier") < F.col(order))
         .select(key, order, "_earlier")
     )
     told = (
-        pairs.join(notes, [key, order])
+        pairs.join(_sorted_in(notes), [key, order])
         .join(
-            notes.select(key, F.col(order).alias("_earlier"), F.col(note).alias("_longer")),
+            _sorted_in(notes.select(key, F.col(order).alias("_earlier"), F.col(note).alias("_longer"))),
             [key, "_earlier"],
         )
         .filter(F.contains("_longer", F.col(note)))
         .select(key, order)
         .distinct()
     )
-    return notes.join(told, [key, order], "left_anti").select(key, order, note)
+    return notes.join(_sorted_in(told), [key, order], "left_anti").select(key, order, note)
 
 
 def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> DataFrame:
@@ -144,12 +157,12 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
     if crossing.isEmpty():
         return notes
     strides = crossing.groupBy(key).agg((F.max("_bars") + 2).alias("_stride"))
-    crossing = crossing.drop("_bars")
+    crossing, sizes = crossing.drop("_bars"), _sizes(crossing, note)
     some_first, some_notes, some_crossing = first, notes, crossing
     gone = durable(crossing.select(key, "_order").filter(F.lit(False)))
     finished = []
     while True:
-        left = some_notes.join(gone, [key, "_order"], "left_anti")
+        left = some_notes.join(_sorted_in(gone), [key, "_order"], "left_anti")
         lined = placed(join_facts(some_first.unionByName(left), strides, key), [key, "_order"], "_place")
         block = F.floor(F.col("_place") / F.col("_stride"))
         stretches = durable(
@@ -157,14 +170,14 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
             .groupBy(key, "_block")
             .agg(F.array_sort(F.collect_list(F.struct("_order", F.col(note).alias("_note")))).alias("_all"))
         )
-        runs = _runs(stretches, [key, "_block"], _joined(F.col("_all")))
+        runs = _runs(stretches, [key, "_block"], _joined(F.col("_all")), sizes)
         before = F.filter("_all", lambda n: n["_order"] < F.col("_order"))
         now = durable(
             _rarest(some_crossing, runs, key, "_order", note)
-            .join(runs, [key, "_run"])
+            .join(_sorted_in(runs), [key, "_run"])
             .select(key, "_order", "_block")
-            .join(some_crossing, [key, "_order"])
-            .join(stretches, [key, "_block"])
+            .join(_sorted_in(some_crossing), [key, "_order"])
+            .join(_sorted_in(stretches), [key, "_block"])
             .filter(F.contains(_joined(before), F.col(note)))
             .select(key, "_order")
             .distinct()
@@ -173,7 +186,8 @@ def _not_across(first: DataFrame, notes: DataFrame, key: str, note: str) -> Data
         moved = durable(changed.select(key).distinct())
         finished.append(now.join(moved, key, "left_anti"))
         if moved.isEmpty():
-            return notes.join(reduce(DataFrame.unionByName, finished), [key, "_order"], "left_anti")
+            told = reduce(DataFrame.unionByName, finished)
+            return notes.join(_sorted_in(told), [key, "_order"], "left_anti")
         gone = now.join(moved, key, "left_semi")
         some_first, some_notes, some_crossing = (
             rows.join(moved, key, "left_semi") for rows in (first, notes, crossing)
