@@ -225,6 +225,19 @@ def test_label_rows_gives_the_same_for_big_tables(spark, monkeypatch, limit):
         assert small == big
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_many_rules_meet_few_texts_each(spark, monkeypatch, limit):
+    """Keywords of like letters: short runs would bring each text to a great part of the rules."""
+    monkeypatch.setattr(di, "MAX_BROADCAST_RULES", limit)
+    words = [f"k{i}" for i in range(0, 20_000, 7)] + ["z", "é" * 9, "a much longer keyword", "😀k\n7"]
+    rules = spark.createDataFrame([(0, w, "l") for w in words], "priority long, keyword string, label string")
+    texts = [f"k{i} k{i}z" for i in range(0, 20_000, 50)] + ["", "é" * 20, "a much longer keyword!", "😀k\n70 k"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "id int, t string")
+    got = {(r.id, r.keyword): r.n for r in di.match_by_grams(df, "id", "t", rules).collect()}
+    assert got == {(i, w): t.count(w) for i, t in enumerate(texts) for w in words if w in t}
+    assert di._candidates(df, "id", "t", rules, di.GRAM).count() < 3 * len(got)
+
+
 def test_longest_alias_prefers_table_order_on_ties(spark):
     df = spark.createDataFrame([("at aa and bb",), ("bb",), ("no",)], "t string")
     pairs = [("Town", "bb"), ("City", "aa"), ("Big Place", "zz")]

@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from tipweave.functions.phrases import any_true, contains_any
 from tipweave.functions.text import blank, let, occurrences
-from tipweave.runtime import broadcast_if_small, rows_if_small
+from tipweave.runtime import durable, is_small, rows_if_small
 
 MAX_INLINE_RULES = 2_000
 MAX_BROADCAST_RULES = 200_000
 #: More rules than this are looked for by one pattern first, as most texts hold none of them.
 FEW_RULES = 64
 GRAM = 3
+LONG_GRAMS = (4, 5, 6, 8, 12, 16)
+#: Rows of 64 bits that tell which runs a big rule table may hold.
+SKETCH_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -158,47 +161,70 @@ def match_by_grams(
 ) -> DataFrame:
     """All (row, rule) pairs where the keyword occurs in the text, for rule tables of any size.
 
-    Both sides meet on one gram of the keyword, the one that the fewest rules share; then the
-    occurrence is checked. Keywords shorter than a gram meet on themselves.
+    Both sides meet on one run of letters of the keyword, the one that the fewest rules share; then
+    the occurrence is checked. A run is as long as the keyword has room for: up to ``gram`` any
+    size, above that one of ``LONG_GRAMS``, as there are too few short runs for many rules. Of the
+    texts only runs of sizes that the rules have are made, and a rule table too big for a broadcast
+    is sent only those that its sketch holds.
     Returns ``row_id, priority, label, keyword, n``.
     """
+    candidates = _candidates(texts, row_id, text, rules, gram)
+    # A guarded keyword counts where its guard matches, which is where the keyword stands alone.
+    n = F.when(F.col("guard").isNull(), occurrences(F.col(text), F.col("keyword"))).otherwise(
+        F.regexp_count(F.col(text), F.coalesce("guard", F.lit("")))
+    )
+    # Sorted, as short texts are far smaller as files than in the driver, which a broadcast passes.
+    return (
+        candidates.join(texts.select(row_id, text).hint("merge"), row_id)
+        .filter(F.contains(text, F.col("keyword")))
+        .withColumn("n", n.cast("long") * F.col("_times"))
+        .filter("n > 0")
+        .select(row_id, "priority", "label", "keyword", "n")
+    )
+
+
+def _candidates(texts: DataFrame, row_id: str, text: str, rules: DataFrame, gram: int) -> DataFrame:
+    """The rows of ``texts`` by id, with each rule whose run they hold."""
     guard = F.col("guard") if "guard" in rules.columns else F.lit(None).cast("string")
     numbered = (
         rules.filter("keyword <> ''")
         .groupBy(F.col("priority").cast("long").alias("priority"), "label", "keyword", guard.alias("guard"))
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    offered = numbered.withColumn(
-        "_gram",
-        F.explode(
-            F.when(F.length("keyword") < gram, F.array("keyword")).otherwise(
-                grams(F.col("keyword"), [gram])
-            )
-        ),
-    )
+    own = F.array("keyword")
+    for size in [*range(2, gram + 1), *[g for g in LONG_GRAMS if g > gram]]:
+        own = F.when(F.length("keyword") >= size, grams(F.col("keyword"), [size])).otherwise(own)
+    offered = numbered.withColumn("_gram", F.explode(own))
     shared = offered.groupBy("_gram").agg(F.count(F.lit(1)).alias("_sharing"))
-    anchors = (
-        offered.join(shared, "_gram")
+    anchors = durable(
+        offered.join(shared.hint("merge"), "_gram")
         .groupBy("priority", "label", "keyword", "guard", "_times")
         .agg(F.min_by("_gram", F.struct("_sharing", "_gram")).alias("_gram"))
     )
+    sizes = sorted(r[0] for r in anchors.select(F.length("_gram")).distinct().collect())
     # The exploded side is far bigger than the planner can know, so the rule side is the one to
     # build from: in every task if it is small, else per partition of the grams.
-    spread = texts.select(
-        row_id, F.explode(grams(F.col(text), range(1, gram + 1))).alias("_gram")
-    )
-    built = broadcast_if_small(anchors, MAX_BROADCAST_RULES, otherwise="shuffle_hash")
-    candidates = spread.join(built, "_gram").drop("_gram")
-    # A guarded keyword counts where its guard matches, which is where the keyword stands alone.
-    n = F.when(F.col("guard").isNull(), occurrences(F.col(text), F.col("keyword"))).otherwise(
-        F.regexp_count(F.col(text), F.coalesce("guard", F.lit("")))
+    spread = texts.select(row_id, F.explode(grams(F.col(text), sizes or [gram])).alias("_gram"))
+    if is_small(anchors, MAX_BROADCAST_RULES):
+        return spread.join(F.broadcast(anchors), "_gram").drop("_gram")
+    return _sketched(spread, anchors).join(anchors.hint("shuffle_hash"), "_gram").drop("_gram")
+
+
+def _sketched(spread: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The runs that the anchors may hold: all that they hold, and few others.
+
+    Each anchor sets one bit, by its hash; the bits are a table of at most ``SKETCH_WORDS`` rows of
+    64, which every task can have. Very many anchors set them all, and then all runs are sent.
+    """
+    slot = F.pmod(F.xxhash64("_gram"), F.lit(64 * SKETCH_WORDS))
+    placed = {"_word": F.shiftright(slot, 6), "_at": (slot % 64).cast("int")}
+    marked = anchors.withColumns(placed).groupBy("_word").agg(
+        F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_bits")
     )
     return (
-        candidates.join(texts.select(row_id, text), row_id)
-        .filter(F.contains(text, F.col("keyword")))
-        .withColumn("n", n.cast("long") * F.col("_times"))
-        .filter("n > 0")
-        .select(row_id, "priority", "label", "keyword", "n")
+        spread.withColumns(placed).join(F.broadcast(marked), "_word")
+        .filter(F.expr("shiftright(_bits, _at) & 1L = 1L"))
+        .drop("_word", "_at", "_bits")
     )
 
 

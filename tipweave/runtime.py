@@ -83,16 +83,20 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list | None:
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether rows and bytes of the table are few enough for a broadcast."""
+    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, t in df.dtypes if t == "string"]
+    size = sum(texts, F.lit(16 * len(df.columns)))
+    rows, volume = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= max_rows and (volume or 0) <= max_bytes
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int, otherwise: str, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
     """Hint a broadcast if rows and bytes of the table are few; a bigger table gets the
     ``otherwise`` join hint."""
-    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, t in df.dtypes if t == "string"]
-    size = sum(texts, F.lit(16 * len(df.columns)))
-    rows, volume = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    small = rows <= max_rows and (volume or 0) <= max_bytes
-    return F.broadcast(df) if small else df.hint(otherwise)
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df.hint(otherwise)
 
 
 def spread(df: DataFrame) -> DataFrame:
