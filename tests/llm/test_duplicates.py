@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -310,6 +311,22 @@ def test_passages_that_start_and_end_inside_units(spark):
     assert all(got[i].text == t for i, t in plain + rows[::2])
 
 
+def test_words_around_units_are_sent_once_and_as_they_stand():
+    text = "One two,  Three\tFOUR five. one two, six!"
+    digests = [xxhash.xxh64_intdigest(p) - 2**63 for _, _, p in unit_dedup.units(text)]
+    for role, places in [(unit_dedup.EARLIEST, [0]), (unit_dedup.AGAIN, [0, 2]), (3, [0, 2])]:
+        asked = pa.RecordBatch.from_pylist([
+            {"rank": 1, "text_hash": 2, "wanted": [{"digest": digests[0], "role": role}], "text": text}
+        ])
+        [sent] = unit_dedup._look_around(iter([asked]))
+        rows = sent.to_pylist()
+        assert [r["place"] for r in rows] == places
+        assert (rows[0]["before"], rows[0]["after"]) == ("", "  Three\tFOUR five. one two, six")
+        if len(rows) == 2:
+            assert (rows[1]["before"], rows[1]["after"]) == ("One two,  Three\tFOUR five.", " six")
+            assert [r["role"] for r in rows] == [role, unit_dedup.AGAIN]
+
+
 def test_passages_keep_columns_and_take_no_rows(spark):
     docs = clashing(odd_docs(spark)).withColumn("cuts", F.lit("mine"))
     got = unit_dedup.without_repeats(docs)

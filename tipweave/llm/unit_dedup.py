@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipweave.llm.tables import stored
@@ -92,38 +92,41 @@ def _rows(rows: list[tuple], schema: pa.Schema = _UNITS) -> pa.RecordBatch:
     )
 
 
+#: What a unit is asked for: its document has it again, or had it first.
+AGAIN, EARLIEST = 1, 2
 _AROUND = pa.schema([
     ("rank", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()),
-    ("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()),
-    ("before", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())),
-    ("after", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
+    ("digest", pa.int64()), ("role", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
+    ("words", pa.int32()), ("before", pa.string()), ("after", pa.string()),
 ])
 _AROUND_SQL = (
-    "rank bigint, text_hash bigint, place int, digest bigint, start int, end int, words int,"
-    " before array<string>, starts array<int>, after array<string>, ends array<int>"
+    "rank bigint, text_hash bigint, place int, digest bigint, role int, start int, end int,"
+    " words int, before string, after string"
 )
 
 
 def _look_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted units of each text with the words around them, nearest first."""
+    """The wanted units of each text with the text around them, as far as the words reach."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("rank", "text_hash", "wanted")]
         rows: list[tuple] = []
         for rank, hashed, wanted, text in zip(*columns, batch.column("text"), strict=True):
-            body, wanted = text.as_py() or "", set(wanted)
+            body, roles = text.as_py() or "", {w["digest"]: w["role"] for w in wanted}
             found = [(m.start(), m.end()) for m in _WORD.finditer(body)]
             starts = [f[0] for f in found]
             for place, (start, end, plain) in enumerate(units(body)):
                 d = digest(plain) - 2**63
-                if d not in wanted:
+                role = roles.get(d, 0)
+                if not role:
                     continue
+                roles[d] = role & AGAIN  # of the earliest document only the first place counts
                 first, last = bisect_left(starts, start), bisect_left(starts, end)
-                before, after = found[max(0, first - REACH):first][::-1], found[last:last + REACH]
+                before, after = found[max(0, first - REACH):first], found[last:last + REACH]
                 rows.append((
-                    rank, hashed, place, d, start, end, last - first,
-                    [body[a:b].lower() for a, b in before], [a for a, _ in before],
-                    [body[a:b].lower() for a, b in after], [b for _, b in after],
+                    rank, hashed, place, d, role, start, end, last - first,
+                    body[before[0][0]:start] if before else "",
+                    body[end:after[-1][1]] if after else "",
                 ))
                 if len(rows) == 5_000:
                     yield _rows(rows, _AROUND)
@@ -132,40 +135,74 @@ def _look_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(rows, _AROUND)
 
 
-def _agreeing(mine: str, theirs: str) -> Column:
+_MET = pa.schema([
+    ("rank", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()),
+    ("words", pa.int64()),
+])
+_MET_COLUMNS = (
+    "rank", "text_hash", "start", "end", "words", "run_start", "run_end", "run_words",
+    "before", "after", "b", "a",
+)
+
+
+def _agreeing(mine: list[re.Match], theirs: list[re.Match]) -> int:
     """How many leading words of two lists agree."""
-    same = F.zip_with(mine, theirs, lambda a, b: a.eqNullSafe(b))
-    differs = F.array_position(same, False)
-    return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")
+    n = 0
+    for m, t in zip(mine, theirs, strict=False):
+        if m[0].lower() != t[0].lower():
+            break
+        n += 1
+    return n
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of which at least ``PASSAGE_WORDS`` words agree."""
+    for batch in batches:
+        rows: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in _MET_COLUMNS]
+        for rank, hashed, start, end, n, run_start, run_end, run_n, *texts in zip(*columns, strict=True):
+            before, after, b, a = ([*_WORD.finditer(t)] for t in texts)
+            back, on = _agreeing(before[::-1], b[::-1]), _agreeing(after, a)
+            if back + n + on < PASSAGE_WORDS:
+                continue
+            first = start - len(texts[0]) + before[-back].start() if back else start
+            last = end + after[on - 1].end() if on else end
+            rows.append((
+                rank, hashed, min(first, run_start), max(last, run_end), max(back + n + on, run_n)
+            ))
+        if rows:
+            yield _rows(rows, _MET)
 
 
 def _word_by_word(texts: DataFrame, short: DataFrame) -> DataFrame:
     """Spans of the short runs that belong to a longer passage of the earliest document.
 
-    Units are asked for by the id of their document, for rows without one by their text as well.
+    Units are asked for by the id of their document, for rows without one by their text as well. The
+    text around them is sent as it stands: words apart, with their offsets, take several times that.
     """
     of = F.when(F.col("rank") == LAST, F.col("text_hash")).otherwise(F.lit(0)).alias("of")
     same = F.col("first") == F.col("rank")
-    mine = short.select("rank", of, "digest")
+    mine = short.select("rank", of, "digest", F.lit(AGAIN).alias("role"))
     theirs = short.select(
         F.col("first").alias("rank"),
         F.when(same & (F.col("rank") == LAST), F.col("text_hash")).otherwise(F.lit(0)).alias("of"),
-        "digest",
+        "digest", F.lit(EARLIEST).alias("role"),
+    )
+    asked = stored(
+        mine.union(theirs).groupBy("rank", "of", "digest").agg(F.bit_or("role").alias("role")), "asked"
     )
-    asked = stored(mine.union(theirs).distinct(), "asked")
     sizes = stored(asked.groupBy("rank", "of").agg(F.count(F.lit(1)).alias("n")), "sizes")
     part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / TOGETHER)).alias("part")
     sets = asked.join(sizes, ["rank", "of"]).groupBy("rank", "of", part).agg(
-        F.collect_list("digest").alias("wanted")
+        F.collect_list(F.struct("digest", "role")).alias("wanted")
     )
     found = texts.withColumn("of", of).join(stored(sets, "wanted"), ["rank", "of"])
+    # Rows that are equal give equal spans, which become one.
     around = stored(
-        found.select("rank", "text_hash", "wanted", "text")
-        .mapInArrow(_look_around, _AROUND_SQL)
-        .dropDuplicates(["rank", "text_hash", "place"]),
+        found.select("rank", "text_hash", "wanted", "text").mapInArrow(_look_around, _AROUND_SQL),
         "around",
     )
-    earliest = around.groupBy("rank", "digest").agg(
+    earliest = around.where(F.col("role") >= EARLIEST).groupBy("rank", "digest").agg(
         F.min_by(F.struct("before", "after"), F.struct("text_hash", "place")).alias("seen")
     )
     earliest = stored(earliest.select(
@@ -176,14 +213,10 @@ def _word_by_word(texts: DataFrame, short: DataFrame) -> DataFrame:
         "rank", "text_hash", "place", "first", F.col("start").alias("run_start"),
         F.col("end").alias("run_end"), F.col("words").alias("run_words"),
     )
-    met = own.join(around, ["rank", "text_hash", "place"]).join(earliest, ["first", "digest"])
-    met = met.withColumns({"back": _agreeing("before", "b"), "on": _agreeing("after", "a")})
-    size = F.col("back") + F.col("words") + F.col("on")
-    start = F.coalesce(F.get("starts", F.col("back") - 1), F.col("start"))
-    end = F.coalesce(F.get("ends", F.col("on") - 1), F.col("end"))
-    return met.where(size >= PASSAGE_WORDS).select(
-        "rank", "text_hash", F.least(start, "run_start").alias("start"),
-        F.greatest(end, "run_end").alias("end"), F.greatest(size, "run_words").alias("words"),
+    again = around.where(F.col("role") != EARLIEST).drop("role")
+    met = own.join(again, ["rank", "text_hash", "place"]).join(earliest, ["first", "digest"])
+    return met.select(*_MET_COLUMNS).mapInArrow(
+        _compared, "rank bigint, text_hash bigint, start int, end int, words bigint"
     )
 
 
