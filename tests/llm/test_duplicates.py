@@ -311,6 +311,26 @@ def test_passages_that_start_and_end_inside_units(spark):
     assert all(got[i].text == t for i, t in plain + rows[::2])
 
 
+def test_units_are_sent_as_five_numbers_and_unpacked_alike(spark):
+    text = "\n".join(["One two,  Three\tFOUR five.", "one TWO, six!", "été 🙂 é;"] * 3)
+    asked = pa.RecordBatch.from_pylist([{"rank": 1, "text_hash": -2, "text": text}])
+    [sent] = unit_dedup._cut_up(iter([asked]))
+    assert sent.num_columns == 5 and {str(t) for t in sent.schema.types} == {"int64"}
+    # The largest place, start, length and number of words that a text can have.
+    top = 2**31 - 1
+    far = (3, 4, 5, top << 32 | top - 9, 9 << 32 | 2**30 << 1 | 1)
+    rows = [*(tuple(r.values()) for r in sent.to_pylist()), far]
+    packed = spark.createDataFrame(rows, unit_dedup._UNITS_SQL)
+    got = unit_dedup._unpacked(packed.withColumn("again", unit_dedup._again()))
+    want, seen = [], set()
+    for place, (start, end, plain) in enumerate(unit_dedup.units(text)):
+        want.append((place, start, end, plain.count(" ") + 1, plain in seen))
+        seen.add(plain)
+    want += [(top, top - 9, top, 2**30, True)]
+    got = got.select("place", "start", "end", "words", "again").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_words_around_units_are_sent_once_and_as_they_stand():
     text = "One two,  Three\tFOUR five. one two, six!"
     digests = [xxhash.xxh64_intdigest(p) - 2**63 for _, _, p in unit_dedup.units(text)]

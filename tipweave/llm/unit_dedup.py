@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipweave.llm.tables import stored
@@ -49,11 +49,14 @@ LAST = 2**63 - 1
 
 _WORD = re.compile(r"[^\s.,;:!?]+")
 _UNIT = re.compile(r"[^.,;:!?\n]+[.,;:!?]*")
+#: Every unit of every text is sent, so its four numbers travel as two: each field of a row of its
+#: own takes several bytes more than what it holds. ``at``: place, start; ``size``: length, words
+#: and, as the lowest bit, whether its document has had the digest before.
 _UNITS = pa.schema([
-    ("rank", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()),
-    ("digest", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()),
-    ("again", pa.bool_()),
+    ("rank", pa.int64()), ("text_hash", pa.int64()), ("digest", pa.int64()), ("at", pa.int64()),
+    ("size", pa.int64()),
 ])
+_UNITS_SQL = "rank bigint, text_hash bigint, digest bigint, at bigint, size bigint"
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -65,7 +68,7 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per unit; ``again`` if its document has had the digest before."""
+    """One row per unit."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         ranks, hashes = batch.column("rank").to_pylist(), batch.column("text_hash").to_pylist()
@@ -74,9 +77,10 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for place, (start, end, plain) in enumerate(units(text.as_py() or "")):
                 d = digest(plain) - 2**63
-                rows.append(
-                    (rank, hashed, place, d, start, end, plain.count(" ") + 1, d in seen)
-                )
+                words = plain.count(" ") + 1
+                rows.append((
+                    rank, hashed, d, place << 32 | start, end - start << 32 | words << 1 | (d in seen)
+                ))
                 seen.add(d)
                 if len(rows) == 50_000:
                     yield _rows(rows)
@@ -92,6 +96,20 @@ def _rows(rows: list[tuple], schema: pa.Schema = _UNITS) -> pa.RecordBatch:
     )
 
 
+def _again() -> Column:
+    return F.col("size").bitwiseAND(1) == 1
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``place``, ``start``, ``end`` and ``words`` in place of ``at`` and ``size``."""
+    start = F.col("at").bitwiseAND(2**32 - 1)
+    return rows.withColumns({
+        "place": F.shiftright("at", 32).cast("int"), "start": start.cast("int"),
+        "end": (start + F.shiftright("size", 32)).cast("int"),
+        "words": F.shiftright(F.col("size").bitwiseAND(2**32 - 1), 1).cast("int"),
+    }).drop("at", "size")
+
+
 #: What a unit is asked for: its document has it again, or had it first.
 AGAIN, EARLIEST = 1, 2
 _AROUND = pa.schema([
@@ -244,25 +262,20 @@ def repeats(
     docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``(rank, text_hash, start, end, words)`` of the runs of repeats, in code points."""
-    every = _ranked(docs, key, text).mapInArrow(
-        _cut_up,
-        "rank bigint, text_hash bigint, place int, digest bigint, start int, end int, words int,"
-        " again boolean",
-    )
+    every = _ranked(docs, key, text).mapInArrow(_cut_up, _UNITS_SQL)
     common = stored(
         every.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("digest", "first"),
         "common",
     )
-    later = every.join(common, "digest").where("again OR rank > first")
-    later = later.select(
-        "rank", "text_hash", "place", "start", "end", "words", "digest", "first"
-    ).distinct()
-    in_text = Window.partitionBy("rank", "text_hash")
-    run = F.col("place") - F.row_number().over(in_text.orderBy("place"))
+    later = every.join(common, "digest").where(_again() | (F.col("rank") > F.col("first")))
+    later = later.select("digest", "first", "rank", "text_hash", "at", "size").distinct()
+    # Numbered as they are sent: unpacked only behind the shuffle.
+    nth = F.row_number().over(Window.partitionBy("rank", "text_hash").orderBy("at"))
+    later = _unpacked(later.withColumn("nth", nth))
     longest = F.max_by(F.struct("place", "digest", "first"), F.struct("words", "place"))
     runs = stored(
-        later.withColumn("run", run).groupBy("rank", "text_hash", "run")
+        later.groupBy("rank", "text_hash", (F.col("place") - F.col("nth")).alias("run"))
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
             longest.alias("unit"),
